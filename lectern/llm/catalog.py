@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, quality_classifier, token_shards
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_shards": token_shards.op4_token_shards,
     "op5_mixing": mixing.op5_mixing,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
