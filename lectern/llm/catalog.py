@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, token_shards
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_shards": token_shards.op4_token_shards,
     "op5_mixing": mixing.op5_mixing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
