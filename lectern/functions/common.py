@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
-@F.pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).replace(" ", " ").strip())
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).replace("\u00a0", " ").strip())
 
 
 def normalize_text(text: Column) -> Column:
     """NFKC, NBSP to space, strip. ASCII text needs the strip only and stays in the JVM."""
     strip = F.regexp_replace(text, r"^[\t-\r\x1c-\x1f ]+|[\t-\r\x1c-\x1f ]+$", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(strip)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfkc, "string")(text)).otherwise(strip)
 
 
 def trim_text(text: Column) -> Column:
