@@ -237,8 +237,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones; rows with a null doc_id stay."""
-    bad = contamination(docs, items).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    bad = S.staged(contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return S.by_id(docs, bad, "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

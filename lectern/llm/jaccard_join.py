@@ -7,7 +7,7 @@ the sizes and the bound allow are compared exactly, by searching one sorted arra
 
 Tiles are the classes that share an index shingle. A sketch holds the SKETCH smallest shingle hashes of a set (the
 whole set when it is no larger). Two linked sets share at least SHARED sketch entries (for sets under 48: 75 % of
-them, always; for larger ones the chance to share fewer is below 1e-11, less than that of equal hashes in a large
+them, always; for larger ones the chance to share fewer is below 1e-10, as small as that of equal hashes in a large
 corpus), so only the entries left when the SHARED - 1 most frequent ones are set aside need be indexed. Lines or
 passages that very many documents share are thus seldom indexed, and entries of one document alone need no tile.
 
@@ -33,7 +33,7 @@ from . import shared as S
 
 WORDS = 5  #: words of a shingle
 PERCENT = 75  #: similarity of linked documents, in percent
-SKETCH, SHARED, SMALL = 64, 20, 48
+SKETCH, SHARED, SMALL = 64, 24, 48
 BITS = 8  #: 64-bit words of a signature
 
 _SIG = [f"s{i}" for i in range(BITS)]
@@ -115,15 +115,26 @@ def _may_link(x: str, y: str):
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that do link, by exact comparison of their sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = S.staged(texts.mapInArrow(_set_batches, "doc_id long, grams array<long>"), "sets").dropDuplicates(["doc_id"])
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    both = with_a.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+    """The pairs (a, b) that do link, by exact comparison of the sets of their texts."""
+    ids = S.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = S.by_id(docs, ids, "left_semi").mapInArrow(_set_batches, "doc_id long, grams array<long>")
+    sets = S.staged(sets, "sets").dropDuplicates(["doc_id"])
+    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
     return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long")
 
 
+def _distinct_tiles(entries: DataFrame) -> DataFrame:
+    """(gram, doc_id) of tiles with two documents or more; of tiles with the same documents, as the shingles of near
+    copies have, the first alone. Two 64-bit combinations of hashes, the count and both ends tell sets of documents apart."""
+    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    of_tile = entries.groupBy("gram").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(one).alias("h1"), F.bit_xor(two).alias("h2"),
+    ).where("low < high")
+    first = of_tile.groupBy("n", "low", "high", "h1", "h2").agg(F.min("gram").alias("gram")).select("gram")
+    return S.staged(entries.join(first, "gram"), "tiles")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that links reach from each node. Labels pass along links and are then shortened
     through the label's own label, until none changes; each round is written."""
@@ -154,22 +165,29 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     of_doc = entries.join(shared, "gram").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
     free = F.least("n", F.lit(SKETCH)) - need + 1 - (F.least("n", F.lit(SKETCH)) - F.size("found"))
     indexed = of_doc.where(free > 0).select("doc_id", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("x"))
-    member = F.struct("doc_id", "n", *_SIG)
-    tiles = S.staged(indexed.join(first.select("doc_id", member.alias("m")), "doc_id").select(F.col("x.gram").alias("gram"), "m"), "tiles")
-
-    stars = tiles.groupBy("gram").agg(F.min("m").alias("low"), F.max("m").alias("high")).where("low.doc_id < high.doc_id")
-    ends = tiles.join(stars, "gram").select("m", F.explode(F.array("low", "high")).alias("c")).where(_may_link("m", "c") & (F.col("m.doc_id") != F.col("c.doc_id")))
-    star_pairs = S.staged(ends.select(F.least("m.doc_id", "c.doc_id").alias("a"), F.greatest("m.doc_id", "c.doc_id").alias("b")).distinct(), "stars")
+    tiles = _distinct_tiles(S.staged(indexed.select(F.col("x.gram").alias("gram"), "doc_id"), "entries"))
+    nodes = S.staged(tiles.select(F.col("doc_id").alias("id")).distinct(), "nodes")
+
+    facts = first.select("doc_id", F.struct("n", *_SIG).alias("m"))
+    stars = tiles.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    ends = tiles.join(stars, "gram").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
+    star_pairs = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
+    star_pairs = star_pairs.join(facts.toDF("a", "x"), "a").join(facts.toDF("b", "y"), "b").where(_may_link("x", "y")).select("a", "b")
+    star_pairs = S.staged(star_pairs, "stars")
     links = S.staged(_linked(star_pairs, docs), "links")
-    nodes = tiles.select(F.col("m.doc_id").alias("id")).distinct()
     label = components(nodes, links)
 
-    named = tiles.join(label, F.col("m.doc_id") == label.id).select("gram", "m", "comp")
+    named = tiles.join(label, tiles.doc_id == label.id).select("gram", "doc_id", "comp")
     mixed = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
     rest = S.staged(named.join(mixed, "gram"), "mixed")
+    # a pair counts in the first tile alone of those that both are in
+    small = F.hash("gram")
+    of_doc = rest.groupBy("doc_id", "comp").agg(F.collect_list(small).alias("tiles")).join(facts, "doc_id")
+    rest = rest.select("gram", small.alias("tile"), "doc_id").join(of_doc, "doc_id")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m"))
-    pairs = cross.select(F.least("x.m.doc_id", "y.m.doc_id").alias("a"), F.greatest("x.m.doc_id", "y.m.doc_id").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("x.tiles", "y.tiles")) == F.col("x.tile")
+    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m") & once)
+    pairs = cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     pairs = S.staged(pairs.join(star_pairs, ["a", "b"], "left_anti"), "cross")
     if not pairs.isEmpty():
         label = components(nodes, links.unionByName(S.staged(_linked(pairs, docs), "links")))
@@ -189,11 +207,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component one document stays, that with the smallest doc_id; of repeated rows with that id one row.
     Rows with a null doc_id stay."""
-    lead = jaccard_classes(docs).where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("lead_id")).distinct()
-    kept = docs.join(lead, docs["doc_id"] == lead["lead_id"], "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
-    once = kept.join(again, kept["doc_id"] == again["again_id"], "left_anti")
-    twice = kept.join(again, kept["doc_id"] == again["again_id"], "left_semi")
+    lead = S.staged(jaccard_classes(docs).where("component_id = doc_id").select("doc_id").distinct(), "leads")
+    kept = S.by_id(docs, lead, "left_semi")
+    again = S.staged(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    once, twice = S.by_id(kept, again, "left_anti"), S.by_id(kept, again, "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.col("text"))
     twice = twice.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
     return once.unionByName(twice).unionByName(docs.where("doc_id is null"))

@@ -29,11 +29,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Drops a plan's shuffle files when it has run; what a stage wrote is read from its table, never from them.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged_at(df, new_path(df.sparkSession, name))
+
+
+def staged_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a given path."""
+    spark = df.sparkSession
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that may be broadcast (8 MB of longs); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_id(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """df's rows whose doc_id is in ids (left_semi) or not (left_anti). ids: one column, a written table. Its rows are
+    counted: up to BROADCAST_IDS they go to every task and df is not shuffled, beyond that both sides are."""
+    ids = ids.toDF("_id")
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, df["doc_id"] == F.col("_id"), how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
