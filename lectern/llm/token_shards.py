@@ -10,8 +10,8 @@ u8, value u32). Shards are rows of a Parquet table (part, seq, doc_ids, sizes, d
 so that a lost executor leaves no half-written file and any store that Spark reads can hold them.
 
 Documents are range-partitioned and sorted by the given order, so part and seq give the file order. Ids come from the
-tokenizers library. Text is cut where byte-level BPE's pattern always cuts (at a single space between visible ASCII
-or Latin letters, before a single line end); pieces that have been seen are taken from a cache of bounded size.
+tokenizers library. Text is cut where byte-level BPE's pattern always cuts (at a single space or before a single
+line end, between visible characters); pieces that have been seen are taken from a cache of bounded size.
 
 Defined results: null text is an empty document (the end id alone). Null ids come first. Repeated rows are encoded each;
 their order among themselves does not matter, as they are equal, unless texts differ under one id (then by text).
@@ -21,6 +21,7 @@ Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ BLOCK = 128
 PERCENTILE = 90
 END_ID = 0
 SHARD_IDS = 1 << 18  #: a shard row ends when it has this many ids
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_200_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -105,7 +106,9 @@ def unpack(data: bytes) -> np.ndarray:
 
 # ---- ids ------------------------------------------------------------------------------------------------------
 
-_ODD = re.compile("  |\n\n| \n|\n |^[ \n]|[ \n]$|[^\x20-\x7e\n¡-¬®-ɏ‐-‧‰-⁞₠-₿]|<\\|")
+#: With one of these in it a text is cut by _SAFE; a text in which every other character is printable has no white space
+#: but single spaces and line ends, each between visible characters.
+_ODD = ("  ", "\n\n", " \n", "\n ", "<|")
 _SAFE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|#*$%&]*)")
 
@@ -124,7 +127,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters, self.first, self.inner, self.parts = _byte_letters(), {}, {}, {}
+        self.letters, self.inner, self.parts = _byte_letters(), {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -133,8 +136,12 @@ class Encoder:
         """A run of letters, or of marks, that the pattern never cuts, with its leading space if any."""
         out = self.parts.get(text)
         if out is None:
-            coded = "".join([self.letters[b] for b in text.encode()])
-            out = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(coded)], "<u4").tobytes()
+            if text.isascii() and text.isprintable():  # bytes that stand for themselves, but for the space
+                coded = text.replace(" ", self.letters[32])
+            else:
+                coded = "".join([self.letters[b] for b in text.encode()])
+            ids = [t.id for t in self.tokenizer.model.tokenize(coded)]
+            out = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def piece(self, text: str, lead: str) -> bytes:
@@ -149,14 +156,17 @@ class Encoder:
         if len(self.inner) + len(self.parts) > CACHED_PIECES:
             self.inner.clear()
             self.parts.clear()
-        if _ODD.search(text):  # cut at single spaces between plain characters only
+        lines = text.replace("\n", "")
+        if not lines.isprintable() or text[0] in " \n" or text[-1] in " \n" or any([x in text for x in _ODD]):
             pieces = _SAFE.split(text)
             return self.whole(pieces[0]) + b"".join([self._inner(p) for p in pieces[1:]])
         pieces = text.replace("\n", " \n").split(" ")
-        get, out = self.inner.get, [self.piece(pieces[0], "")]
-        for p in pieces[1:]:
-            ids = get(p)
-            out.append(self._inner(p) if ids is None else ids)
+        out = list(map(self.inner.get, pieces))
+        out[0] = self.piece(pieces[0], "")
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self._inner(pieces[at])
         return b"".join(out)
 
     def _inner(self, p: str) -> bytes:
@@ -208,9 +218,9 @@ def write_shards(docs: DataFrame, path: str, order: list[str], tokenizer: str |
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_ids", "sizes", "data"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                got = coder.encode(text.as_py()) + end
-                ids.append(i.as_py())
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = coder.encode(text) + end
+                ids.append(i)
                 sizes.append(len(got) // 4)
                 chunks.append(got)
                 held += len(got) // 4
@@ -221,8 +231,7 @@ def write_shards(docs: DataFrame, path: str, order: list[str], tokenizer: str |
         if ids:
             yield row()
 
-    rows.mapInArrow(run, _SHARD).write.parquet(path)
-    return docs.sparkSession.read.schema(_SHARD).parquet(path)
+    return S.staged_at(rows.mapInArrow(run, _SHARD), path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
