@@ -21,4 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-SQL: dict[str, str] = {"op8_jaccard_join": jaccard_join.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
+    "op9_secret_scan": secret_scan.SQL,
+    "op10_decontaminate": decontaminate.SQL,
+}

@@ -123,3 +123,26 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
         joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _template_rows() -> str:
+    lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return ", ".join(f"('{label.removeprefix('base:')}', {str(label.startswith('base:')).lower()}, {lists(key)}, {lists(text)}, {at})" for label, (key, text, at) in _index().items())
+
+
+SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), tpl AS (SELECT * FROM (VALUES {_template_rows()}) AS t(label, base, key, words, key_at)
+), vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM tpl
+), df AS (SELECT word, count(*) AS c FROM (SELECT unnest(list_distinct(w)) AS word FROM dw) JOIN vocabulary USING (word) GROUP BY word
+), idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(c, 0) + 0.5)) AS idf FROM vocabulary LEFT JOIN df USING (word)
+), starts AS (SELECT doc_id, w, label, base, words, key_at, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda k: list_slice(w, k, k + len(key) - 1) = key)) AS k FROM dw, tpl WHERE list_has_all(w, key)
+), each AS (SELECT doc_id, label, base, k, key_at, w, unnest(words) AS word, unnest(range(0, len(words))) AS j FROM starts
+), places AS (SELECT doc_id, label, base, k - 1 AS start, least(1.0, round(sum(CASE WHEN k - key_at + j >= 1 AND w[k - key_at + j] = word THEN idf ELSE 0 END) / sum(idf), 6)) AS score
+  FROM each JOIN idf USING (word) GROUP BY doc_id, label, base, k, key_at
+)
+SELECT dw.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(start) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0) AS score
+FROM dw LEFT JOIN places USING (doc_id) GROUP BY dw.doc_id
+"""

@@ -26,7 +26,7 @@ from . import shared as S
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 STEPS, SUBSET, LEAST = 3, 0.75, 40
 #: Median of chi-square with as many degrees of freedom as there are statistics (5), and the cut.
-MEDIAN, CUT = 4.351, 60.0
+MEDIAN, CUT = 4.351, 150.0
 #: Transformed statistics and the floors of their standard deviations.
 VECTOR = {"x0": 0.5, "x1": 0.35, "x2": 0.25, "x3": 0.1, "x4": 0.05}
 _SPACE = r"[\x20\x09-\x0D]+"

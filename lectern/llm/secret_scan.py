@@ -245,3 +245,24 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def _found_sql() -> str:
+    """A row for each kind's match in SQL: what lies between the matches tells where each starts."""
+    parts = []
+    for k, (_, _, full, either, least, group) in RULES.items():
+        # runs that are too short are left out at once where the whole match is measured
+        quoted = full.replace("'", "''").replace("[0-9a-f]+", "[0-9a-f]{32,}")
+        pattern = f"'{'(?i)' if either else ''}{quoted}'"
+        parts.append(f"SELECT doc_id, {KINDS.index(k)} AS place, '{k}' AS kind, {least} AS least, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {group}) AS v, regexp_split_to_array(text, {pattern}) AS g FROM documents WHERE regexp_matches(text, {pattern})")
+    return " UNION ALL ".join(parts)
+
+
+SQL = f"""
+WITH found AS ({_found_sql()}
+), each AS (SELECT doc_id, place, kind, least, unnest(m) AS m, unnest(v) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start FROM found
+), spans AS (SELECT doc_id, place, kind, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT) AS said, start FROM each WHERE length(v) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, place) FILTER (place < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, place), '') AS spans
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
