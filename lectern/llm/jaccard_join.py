@@ -212,7 +212,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     again = S.staged(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     once, twice = S.by_id(kept, again, "left_anti"), S.by_id(kept, again, "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.col("text"))
-    twice = twice.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    twice = twice.withColumn("_lectern_row", F.row_number().over(order)).where("_lectern_row = 1").drop("_lectern_row")
     return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
 
 

@@ -27,6 +27,7 @@ from . import shared as S
 
 BLOCK_CHARS = 1 << 16
 PERIOD = 500
+_ADDED = ("mix_source", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")
 ALPHA = 0.5  #: default targets: total size to this power
 
 
@@ -88,12 +89,12 @@ def period_slots(shares: DataFrame) -> DataFrame:
     return slots.select("mix_source", "slot", (F.row_number().over(Window.partitionBy("mix_source").orderBy("slot")) - 1).cast("long").alias("i"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """docs with mix_block (number of the block in its source), mix_release, mix_due, mix_slot and mix_place (characters
-    of its source before it); sorted by (mix_slot, mix_source, mix_place) this is the mixed order."""
+def _scheduled(docs: DataFrame, carry: list[str], weights: dict[str, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+    """_doc, a struct of the carried columns (so that their names cannot clash), and the schedule's columns."""
     shares = S.staged(source_shares(docs, weights, alpha, block_chars, period), "shares")
     slots = S.staged(period_slots(shares), "slots")
-    rows = docs.withColumn("mix_source", _key(F.col("source"))).withColumn("_len", F.length(F.coalesce("text", F.lit(""))).cast("long") + 1)
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long") + 1
+    rows = docs.select(F.struct(*carry).alias("_doc"), "doc_id", _key(F.col("source")).alias("mix_source"), size.alias("_len"))
     rows = rows.join(F.broadcast(shares), "mix_source").withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
 
     sums = rows.groupBy("mix_source", "_bucket").agg(F.sum("_len").alias("_sum"))
@@ -107,15 +108,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     timed = placed.withColumn("i", i % share).join(F.broadcast(slots), ["mix_source", "i"])
     out = timed.withColumn("mix_release", F.floor(i * q / share).cast("long")).withColumn("mix_due", F.ceil((i + 1) * q / share).cast("long"))
     out = out.withColumn("mix_slot", F.floor(i / share).cast("long") * q + F.col("slot"))
-    return out.select(*docs.columns, "mix_source", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")
+    return out.select("_doc", *_ADDED)
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """docs with mix_block (number of the block in its source), mix_release, mix_due, mix_slot and mix_place (characters
+    of its source before it); sorted by (mix_slot, mix_source, mix_place) this is the mixed order. Columns that docs has
+    under these names are replaced. how: weights, alpha, block_chars, period."""
+    return _scheduled(docs, [c for c in docs.columns if c not in _ADDED], **how).select("_doc.*", *_ADDED)
 
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
     """docs, written out in mixed order: ranges of slots, sorted within each file."""
     order = ["mix_slot", "mix_source", "mix_place"]
-    return mix(docs, **how).repartitionByRange(*order).sortWithinPartitions(*order).select(docs.columns)
+    return _scheduled(docs, docs.columns, **how).repartitionByRange(*order).sortWithinPartitions(*order).select("_doc.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")
+    rows = _scheduled(S.table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return rows.select("_doc.*", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")

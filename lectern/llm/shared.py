@@ -57,9 +57,9 @@ BROADCAST_IDS = 1_000_000
 def by_id(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """df's rows whose doc_id is in ids (left_semi) or not (left_anti). ids: one column, a written table. Its rows are
     counted: up to BROADCAST_IDS they go to every task and df is not shuffled, beyond that both sides are."""
-    ids = ids.toDF("_id")
+    ids = ids.toDF("_lectern_id")
     small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, df["doc_id"] == F.col("_id"), how)
+    return df.join(F.broadcast(ids) if small else ids, df["doc_id"] == ids["_lectern_id"], how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ BLOCK = 128
 PERCENTILE = 90
 END_ID = 0
 SHARD_IDS = 1 << 18  #: a shard row ends when it has this many ids
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 500_000
 VOCABULARY = "byte_bpe_50k.json"
 
 

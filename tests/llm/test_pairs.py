@@ -144,3 +144,10 @@ def test_suffix_dedup_nulls_and_empty(documents, spark, folder):
     got = Counter((r.doc_id, r.n_removed) for r in X.op6_suffix_dedup(spark, folder(documents=docs)).collect())
     assert got == {(None, 0): 1, (5, 70): 1, (3, 0): 2}
     assert X.op6_suffix_dedup(spark, folder(documents=docs.limit(0))).count() == 0
+
+
+def test_stages_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 0, 1, 2, 3), (2, "q", 4, 5, 6, 7)], "doc_id long, text string, n int, gram int, comp int, id int")
+    assert sorted(J.keep_one(docs).collect()) == sorted(docs.collect())
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert [r.id for r in D.drop_contaminated(docs, items).collect()] == [7]

@@ -116,3 +116,10 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, before, str(tmp_path))
         assert out.columns == docs.columns, name
+
+
+def test_mix_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "s", 5, 6, 7, 8, 9)], "doc_id long, text string, source string, share int, total int, i int, mix_slot int, period int")
+    assert M.mixed_order(docs).collect() == docs.collect()
+    r = M.mix(docs).first()
+    assert (r.share, r.total, r.i, r.period, r.mix_slot) == (5, 6, 7, 9, 0)
