@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.common import words
 from lectern.operators import splits as P
+from lectern.operators.contains import contained
 
 from .base import FOLDS_SQL, INNER, K, LABELS_SQL, order_views, query, sentence_labels, sentences, table
 
@@ -158,9 +159,6 @@ def views_by_sentence(spark: SparkSession, d: str) -> DataFrame:
     return order_views(spark, d).groupBy("occ").agg(F.count("*").alias("n_views"), F.array_join(F.sort_array(F.collect_list("n_samples")), ",").alias("lengths"))
 
 
-#: Characters that a benchmark item and a document must share first.
-HEAD = 12
-
 # ---- audits --------------------------------------------------------------------------------------------------
 
 
@@ -196,14 +194,10 @@ def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def benchmark_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items found whole in documents. Candidates share the item's first HEAD characters at a word start (an
-    equi join), so the texts are not compared pair by pair."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, HEAD).alias("head"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    starts = F.regexp_extract_all("text", F.lit(rf"(?<!\S)(?=((?s:.{{{HEAD}}})))"), 1)
-    probes = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("head"))
-    found = probes.join(items, "head").join(docs, "doc_id").where(F.contains("text", "item"))
-    return found.select("doc_id", "item_id").distinct()
+    """Benchmark items found whole in documents, anywhere in them. Candidates share a hashed gram (an equi join), so the
+    texts are not compared pair by pair."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    return contained(table(spark, d, "documents").select("doc_id", "text"), items)
 
 
 @query(f"WITH {FOLDS_SQL}, held AS (SELECT fold, label, CAST(sum(n) AS BIGINT) AS n, count(*) AS g FROM deal JOIN gl USING (group_id) GROUP BY fold, label), cells AS (SELECT outer_fold AS fold, tot.label, total, group_total, coalesce(n, 0) AS n, coalesce(g, 0) AS g FROM ks CROSS JOIN tot LEFT JOIN held ON held.fold = outer_fold AND held.label = tot.label), lab AS (SELECT 5 * (0.1 * avg(pow((n - total / 5) / greatest(total / 5, 1), 2)) + 0.9 * avg(pow((g - group_total / 5) / greatest(group_total / 5, 1), 2))) AS c FROM cells), sz AS (SELECT sum(pow((have - want / 5) / greatest(want / 5, 1), 2)) AS c FROM (SELECT fold, sum(size) AS have, sum(sum(size)) OVER () AS want FROM deal GROUP BY fold)) SELECT 0 AS restart, round(lab.c + 0.25 * sz.c, 6) AS objective FROM lab, sz")
