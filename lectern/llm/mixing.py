@@ -1,12 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's documents fill blocks of BLOCK_CHARS characters. Target weights are whole shares a_s of a period of
-PERIOD slots (largest remainders, at least one). Block i (from 0) of a source of weight w = a_s / PERIOD is released
-at floor(i / w) and due at ceil((i + 1) / w). In each slot the released block with the earliest deadline goes out;
-this keeps every source within one block of its target at every slot. The schedule repeats after each period, when
-every source has exactly its share, so one period (whose size does not depend on the data) is scheduled and block
-i of a source takes the slot of its place in the period, floor(i / a_s) periods later. Nothing runs in sequence over
-the data. Slots of a source that has run out stay empty: later rows move up, and no document is lost or repeated.
+Each source's documents fill blocks of BLOCK_CHARS characters. A target weight is kept as a whole number of units, of
+which a period of PERIOD slots has PERIOD * UNITS (largest remainders, at least one). Block i (from 0) of a source of
+weight w is released at floor(i / w) and due at ceil((i + 1) / w), with this w for every block. There are two ways:
+
+* All weights are whole slots of a period: in each slot the released block with the earliest deadline goes out, which
+  keeps every source within one block of its target at every slot. The schedule repeats after each period, when every
+  source has exactly its share, so one period is scheduled and block i takes the slot of its place in the period.
+* Otherwise no period repeats. The sources form a Huffman tree by weight; of the first n slots of a node its left child
+  has n times its part of the weight, rounded, and its right child the others. A block's slot is the inverse of this
+  along its path, in whole numbers, whatever came before: nothing adds up. A node is off its target by half a block at
+  most, and by its part of what its parent is off, so a source by half the sum of w / (weight of the node) over its
+  path below the root: under 1 block for three sources or fewer, and under 1.69 for any number and weights, as weights
+  grow like Fibonacci numbers along a path. A block may so go out up to 0.69 blocks' time beside its window.
+
+Nothing runs in sequence over the data. Slots of a source that has run out stay empty: later rows move up, and no
+document is lost or repeated. The tree is made on the driver, from the weights of the sources alone.
 
 A document's place in its source is its place by (bucket, doc_id): buckets by hash hold about one block each, so no
 window holds a whole source, however large it is.
@@ -14,12 +23,14 @@ window holds a whole source, however large it is.
 Defined results: a null source is a source of its own; a null text is empty and counts one character, as every
 document counts its length plus one. Equal doc_ids are ordered by length. Weights that name no source present are
 ignored, sources without a weight share what is left to 1 by size (or the smallest weight if nothing is left).
-Extra columns are kept. An empty table gives an empty result. More sources than PERIOD make the period as long as
-ten times their number.
+Extra columns are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +38,7 @@ from . import shared as S
 
 BLOCK_CHARS = 1 << 16
 PERIOD = 500
+UNITS = 1 << 24  #: of weight in a slot of the period
 _ADDED = ("mix_source", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_place")
 ALPHA = 0.5  #: default targets: total size to this power
 
@@ -36,7 +48,7 @@ def _key(source: Column) -> Column:
 
 
 def source_shares(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """mix_source, total characters, buckets, period, share (slots of the period) for each source."""
+    """mix_source, total characters, buckets, period, weight (units), share (slots of the period, with their fraction) for each source."""
     size = F.length(F.coalesce("text", F.lit(""))).cast("long") + 1
     totals = docs.groupBy(_key(F.col("source")).alias("mix_source")).agg(F.sum(size).alias("total"))
     every = Window.partitionBy(F.lit(1))
@@ -48,19 +60,72 @@ def source_shares(docs: DataFrame, weights: dict[str, float] | None = None, alph
         want = F.coalesce(given, F.when(rest > 0, rest * F.col("total") / others).otherwise(F.lit(min(weights.values()))))
     else:
         want = F.pow("total", F.lit(float(alpha)))
-    q = F.greatest(F.lit(period), 10 * F.count("*").over(every)).cast("long")
-    free = q - F.count("*").over(every)  # a slot for each source first, the others by largest remainders
-    exact = F.col("want") / F.sum("want").over(every) * free
-    order = Window.partitionBy(F.lit(1)).orderBy(F.round(exact - F.floor(exact), 9).desc(), F.col("mix_source"))
-    left = free - F.sum(F.floor(exact)).over(every)
-    share = (1 + F.floor(exact) + (F.row_number().over(order) <= left).cast("long")).cast("long")
-    return totals.withColumn("want", want).select("mix_source", "total", F.ceil(F.col("total") / block_chars).alias("buckets"), q.alias("period"), share.alias("share"))
+    exact = F.col("want") / F.sum("want").over(every) * F.lit(period * UNITS)
+    exact = F.when(exact < 1, F.lit(1.0)).otherwise(exact)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.round(F.col("exact") - F.floor("exact"), 3).desc(), F.col("want").desc(), F.col("mix_source"))
+    totals = totals.withColumn("want", want).withColumn("exact", exact)
+    left = F.lit(period * UNITS) - F.sum(F.floor("exact")).over(every)
+    weight = F.floor("exact") + (F.row_number().over(order) <= left).cast("long")
+    most = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("want").desc(), F.col("mix_source"))) == 1
+    weight = (weight + F.when(most, F.least(left, F.lit(0))).otherwise(0)).cast("long")  # units given to sources that had none
+    totals = totals.withColumn("weight", weight)
+    return totals.select("mix_source", "total", F.ceil(F.col("total") / block_chars).alias("buckets"), F.lit(period).cast("long").alias("period"), "weight", (F.col("weight") / UNITS).alias("share"))
+
+
+def paths(weights: dict[str, int]) -> dict[str, list[dict]]:
+    """For each source the nodes from itself to below the root of the Huffman tree: weights of node and parent, right child or not."""
+    above, heap = {}, [(w, k) for k, (_, w) in enumerate(sorted(weights.items()))]
+    heapq.heapify(heap)
+    new = len(heap)
+    while len(heap) > 1:
+        (v, x), (w, y) = heapq.heappop(heap), heapq.heappop(heap)
+        above[x], above[y] = (new, v, v + w, False), (new, w, v + w, True)
+        heapq.heappush(heap, (v + w, new))
+        new += 1
+    out = {}
+    for k, s in enumerate(sorted(weights)):
+        out[s] = []
+        while k in above:
+            k, own, whole, right = above[k]
+            out[s].append({"own": own, "whole": whole, "right": right})
+    return out
+
+
+def _times(a: str, b: str) -> str:
+    return f"cast({a} as decimal(20, 0)) * cast({b} as decimal(14, 0))"
+
+
+def _slot(block: str) -> Column:
+    """The slot of a block of the source of path: level by level, the place among the parent's of that place among the node's."""
+    part, twice = _times("2 * m - 1", "x.whole"), "cast(2 * x.own as decimal(14, 0))"
+    return F.expr(f"aggregate(path, cast({block} + 1 as bigint), (m, x) -> if(x.right, ({part}) div {twice} + 1, ({part} + 2 * x.own - 1) div {twice})) - 1")
+
+
+def schedule(blocks: DataFrame, shares: DataFrame) -> DataFrame:
+    """blocks (mix_source, mix_block, more) with mix_release, mix_due and mix_slot. shares: a written table, a row for each source."""
+    whole = F.col("period") * UNITS
+    if shares.where(F.col("weight") % UNITS != 0).isEmpty():
+        fit = shares.select("mix_source", "period", F.floor("share").alias("share"))
+        slots = S.staged(period_slots(fit).join(F.broadcast(fit), "mix_source"), "slots")
+        share = F.broadcast(fit.select("mix_source", F.col("share").alias("_share")))
+        timed = blocks.join(share, "mix_source").withColumn("i", F.col("mix_block") % F.col("_share")).drop("_share").join(F.broadcast(slots), ["mix_source", "i"])
+        timed = timed.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("share")).cast("long") * F.col("period") + F.col("slot"))
+        timed = timed.join(F.broadcast(shares.select("mix_source", "weight", whole.alias("_whole"))), "mix_source")
+    else:
+        found = paths({r.mix_source: r.weight for r in shares.select("mix_source", "weight").collect()})
+        kind = pa.list_(pa.struct({"own": pa.int64(), "whole": pa.int64(), "right": pa.bool_()}))
+        tree = shares.sparkSession.createDataFrame(pa.table({"mix_source": pa.array(list(found), pa.string()), "path": pa.array(list(found.values()), kind)}))
+        tree = S.staged(tree.join(shares.select("mix_source", "weight", whole.alias("_whole")), "mix_source"), "tree")
+        timed = blocks.join(F.broadcast(tree), "mix_source").withColumn("mix_slot", _slot("mix_block"))
+    release = F.expr(f"({_times('mix_block', '_whole')}) div weight")
+    due = F.expr(f"({_times('mix_block + 1', '_whole')} + weight - 1) div weight")
+    return timed.select(*blocks.columns, release.alias("mix_release"), due.alias("mix_due"), "mix_slot")
 
 
 def period_slots(shares: DataFrame) -> DataFrame:
     """mix_source, i, slot: the slots of one period under earliest deadline first among released blocks.
 
-    One row holds all sources of the period; the state of the fold is each source's number of blocks sent out."""
+    One row holds all sources of the period (each has a slot of it at least); the state of the fold is each source's number of blocks sent out."""
     packed = shares.groupBy().agg(F.max("period").alias("q"), F.array_sort(F.collect_list(F.struct("mix_source", "share"))).alias("s"))
     zero = F.lit(0).cast("long")
 
@@ -92,10 +157,9 @@ def period_slots(shares: DataFrame) -> DataFrame:
 def _scheduled(docs: DataFrame, carry: list[str], weights: dict[str, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """_doc, a struct of the carried columns (so that their names cannot clash), and the schedule's columns."""
     shares = S.staged(source_shares(docs, weights, alpha, block_chars, period), "shares")
-    slots = S.staged(period_slots(shares), "slots")
     size = F.length(F.coalesce("text", F.lit(""))).cast("long") + 1
     rows = docs.select(F.struct(*carry).alias("_doc"), "doc_id", _key(F.col("source")).alias("mix_source"), size.alias("_len"))
-    rows = rows.join(F.broadcast(shares), "mix_source").withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
+    rows = rows.join(F.broadcast(shares.select("mix_source", "buckets")), "mix_source").withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
 
     sums = rows.groupBy("mix_source", "_bucket").agg(F.sum("_len").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -104,11 +168,7 @@ def _scheduled(docs: DataFrame, carry: list[str], weights: dict[str, float] | No
     placed = rows.withColumn("_in", F.coalesce(F.sum("_len").over(inner), F.lit(0))).join(heads, ["mix_source", "_bucket"])
     placed = placed.withColumn("mix_place", (F.col("_head") + F.col("_in")).cast("long"))
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_place") / block_chars).cast("long"))
-    i, share, q = F.col("mix_block"), F.col("share"), F.col("period")
-    timed = placed.withColumn("i", i % share).join(F.broadcast(slots), ["mix_source", "i"])
-    out = timed.withColumn("mix_release", F.floor(i * q / share).cast("long")).withColumn("mix_due", F.ceil((i + 1) * q / share).cast("long"))
-    out = out.withColumn("mix_slot", F.floor(i / share).cast("long") * q + F.col("slot"))
-    return out.select("_doc", *_ADDED)
+    return schedule(placed.select("_doc", "mix_source", "mix_block", "mix_place"), shares).select("_doc", *_ADDED)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

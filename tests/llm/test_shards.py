@@ -123,3 +123,27 @@ def test_mix_with_clashing_names(spark):
     assert M.mixed_order(docs).collect() == docs.collect()
     r = M.mix(docs).first()
     assert (r.share, r.total, r.i, r.period, r.mix_slot) == (5, 6, 7, 9, 0)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.99, "b": 0.01}, {"a": 0.61803, "b": 0.2718, "c": 0.1}, {"a": 0.5, "b": 0.49, "c": 0.00999, "d": 1e-5}, {f"s{k}": (k + 1) ** 0.5 for k in range(40)}])
+def test_mix_holds_given_weights_over_many_periods(spark, weights):
+    docs = spark.createDataFrame([(i, "x" * (i + 1), s) for i, s in enumerate(weights)], "doc_id long, text string, source string")
+    shares = M.S.staged(M.source_shares(docs, weights), "shares")
+    total, slots = sum(weights.values()), 60 * M.PERIOD
+    counts = [(f"={s}", int(slots * w / total) + 3) for s, w in weights.items()]
+    blocks = spark.createDataFrame(counts, "mix_source string, n long").selectExpr("mix_source", "explode(sequence(0L, n - 1)) as mix_block")
+    rows = M.schedule(blocks, shares).toPandas()
+    assert rows.mix_slot.is_unique and len(rows) == sum(n for _, n in counts)
+    assert set(range(slots - 10 * M.PERIOD)) <= set(rows.mix_slot)  # no slot is left out while all sources last
+    w = rows.mix_source.map({f"={s}": w / total for s, w in weights.items()})
+    # before its slot mix_block blocks of the source have gone out, after it one more
+    off = max((rows.mix_block - w * rows.mix_slot).abs().max(), (rows.mix_block + 1 - w * (rows.mix_slot + 1)).abs().max())
+    assert off < (1 if len(weights) <= 3 else 1.69)
+    if len(weights) <= 3:
+        assert ((rows.mix_release <= rows.mix_slot) & (rows.mix_slot < rows.mix_due)).all()
+
+
+def test_exact_shares_where_they_fit(spark):
+    docs = spark.createDataFrame([(1, "a", "a"), (2, "b", "b")], "doc_id long, text string, source string")
+    for one, want in ((0.9, {"=a": 450, "=b": 50}), (0.99, {"=a": 495, "=b": 5})):
+        assert {r.mix_source: r.share for r in M.source_shares(docs, {"a": one, "b": 1 - one}).collect()} == want
