@@ -18,12 +18,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 def normalize_text(text: Column) -> Column:
     """NFKC, NBSP to space, strip. ASCII text needs the strip only and stays in the JVM."""
     strip = F.regexp_replace(text, r"^[\t-\r\x1c-\x1f ]+|[\t-\r\x1c-\x1f ]+$", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfkc, "string")(text)).otherwise(strip)
-
-
-def trim_text(text: Column) -> Column:
-    """The strip of normalize_text alone, for corpora that are known to be in normal form."""
-    return F.regexp_replace(text, r"^[\t-\r\x1c-\x1f ]+|[\t-\r\x1c-\x1f ]+$", "")
+    other = text.rlike(r"[^\x00-\x7F]")  # a UDF is run on every row, whatever stands around it: ASCII texts go in as null
+    return F.when(other, F.pandas_udf(_nfkc, "string")(F.when(other, text))).otherwise(strip)
 
 
 def text_sha256(text: Column) -> Column:

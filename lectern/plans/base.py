@@ -76,10 +76,11 @@ FOLDS_SQL = LABELS_SQL + """, rare AS (SELECT group_id, label FROM (SELECT group
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    from lectern.functions.common import group_id, trim_text
+    """Documents with norm and group_id. LABELS_SQL strips only, as DuckDB has no NFKC: it agrees where NFKC changes no text."""
+    from lectern.functions.common import group_id, normalize_text
 
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    return docs.withColumn("norm", trim_text(F.col("text"))).withColumn("group_id", group_id(F.col("norm")))
+    return docs.withColumn("norm", normalize_text(F.col("text"))).withColumn("group_id", group_id(F.col("norm")))
 
 
 def sentence_labels(spark: SparkSession, d: str) -> DataFrame:
