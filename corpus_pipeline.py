@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token shards' index, in the order in which the stage before wrote its rows.
 
     Rows that no file holds (a table made in memory) are encoded in ascending doc_id order."""
-    order = ["doc_id", "text"]
+    order = ["doc_id"]
     if docs.inputFiles():
         docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
         order = ["file", "row"]

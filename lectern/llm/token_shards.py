@@ -10,18 +10,19 @@ u8, value u32). Shards are rows of a Parquet table (part, seq, doc_ids, sizes, d
 so that a lost executor leaves no half-written file and any store that Spark reads can hold them.
 
 Documents are range-partitioned and sorted by the given order, so part and seq give the file order. Ids come from the
-tokenizers library. Text is cut where byte-level BPE's pattern always cuts (at a single space or before a single
-line end, between visible characters); pieces that have been seen are taken from a cache of bounded size.
+tokenizers library. Whole slices of a batch are encoded at once: text is cut where byte-level BPE's pattern always cuts
+(before white space that follows a visible character), the distinct pieces of the slice are encoded or taken from a
+task's cache of bounded size, and the slice's ids are put together as arrays.
 
 Defined results: null text is an empty document (the end id alone). Null ids come first. Repeated rows are encoded each;
-their order among themselves does not matter, as they are equal, unless texts differ under one id (then by text).
-Extra columns are ignored. An empty table gives an empty result.
+their order among themselves does not matter, as they are equal, unless texts differ under one id (then by the texts'
+hashes, then by text). doc_id must be a whole number (other ids are cast, and null where they have none). A text longer
+than a slice is encoded alone. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-import struct
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ BLOCK = 128
 PERCENTILE = 90
 END_ID = 0
 SHARD_IDS = 1 << 18  #: a shard row ends when it has this many ids
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000  #: of a task; some 40 MB
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -106,87 +107,99 @@ def unpack(data: bytes) -> np.ndarray:
 
 # ---- ids ------------------------------------------------------------------------------------------------------
 
-#: With one of these in it a text is cut by _SAFE; a text in which every other character is printable has no white space
-#: but single spaces and line ends, each between visible characters.
-_ODD = ("  ", "\n\n", " \n", "\n ", "<|")
-_SAFE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|#*$%&]*)")
+_WORDS = 3  #: 64-bit words that hold a piece; a longer piece is looked up by its bytes
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+def pieces(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts start: at each text, and at a space or line end behind a character that is visible.
+
+    The vocabulary's pattern always cuts there: what stands before the white space ends, and the white space (with the
+    word behind it, if it is one space) is matched from its first character on."""
+    at = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
+    at = at[at > 0]
+    last = raw[at - 1]
+    at, last = at[(last > 0x20) & (last != 0x7F)], last[(last > 0x20) & (last != 0x7F)]
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):  # white space beyond ASCII, by its bytes
+        x, y, z = last[wide], raw[at[wide] - 2], raw[np.maximum(at[wide] - 3, 0)]
+        white = (y == 0xC2) & ((x == 0x85) | (x == 0xA0)) | (z == 0xE1) & (y == 0x9A) & (x == 0x80) | (z == 0xE3) & (y == 0x80) & (x == 0x80)
+        white |= (z == 0xE2) & ((y == 0x80) & ((x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF)) | (y == 0x81) & (x == 0x9F))
+        at = np.delete(at, wide[white])
+    begins = off[:-1][off[:-1] < off[1:]]
+    return np.union1d(at, begins)
 
 
 class Encoder:
-    """ids of texts as little-endian 32-bit bytes, with a cache of pieces."""
+    """Ids of batches of texts. Each distinct piece of a slice is looked up once, by its bytes; the library encodes, as
+    batches, those that are not in the cache, which starts anew when it holds CACHED_PIECES."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters, self.inner, self.parts = _byte_letters(), {}, {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, text: str) -> bytes:
-        """A run of letters, or of marks, that the pattern never cuts, with its leading space if any."""
-        out = self.parts.get(text)
-        if out is None:
-            if text.isascii() and text.isprintable():  # bytes that stand for themselves, but for the space
-                coded = text.replace(" ", self.letters[32])
-            else:
-                coded = "".join([self.letters[b] for b in text.encode()])
-            ids = [t.id for t in self.tokenizer.model.tokenize(coded)]
-            out = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def piece(self, text: str, lead: str) -> bytes:
-        found = _PLAIN.fullmatch(text)
-        if not found:
-            return self.whole(lead + text)
-        return self.part(lead + found[1]) + (self.part(found[2]) if found[2] else b"")
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self.inner) + len(self.parts) > CACHED_PIECES:
-            self.inner.clear()
-            self.parts.clear()
-        lines = text.replace("\n", "")
-        if not lines.isprintable() or text[0] in " \n" or text[-1] in " \n" or any([x in text for x in _ODD]):
-            pieces = _SAFE.split(text)
-            return self.whole(pieces[0]) + b"".join([self._inner(p) for p in pieces[1:]])
-        pieces = text.replace("\n", " \n").split(" ")
-        out = list(map(self.inner.get, pieces))
-        out[0] = self.piece(pieces[0], "")
-        at = -1
-        for _ in range(out.count(None)):
-            at = out.index(None, at + 1)
-            out[at] = self._inner(pieces[at])
-        return b"".join(out)
-
-    def _inner(self, p: str) -> bytes:
-        out = self.inner.get(p)
-        if out is None:
-            if p[0] == "\n":  # the line end alone, then what starts the line
-                out = self.part("\n") + (self.piece(p[1:], "") if len(p) > 1 else b"")
-            else:
-                out = self.piece(p, " ")
-            self.inner[p] = out
+        self._clear()
+
+    def _clear(self) -> None:
+        """The cache: entry 0 is the end of a document. keys: the words of each piece and its length."""
+        self.place, self.long = {}, {}
+        self.keys = np.zeros((_WORDS + 1, 1), np.uint64)
+        self.first, self.count, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], np.uint32)
+
+    def _add(self, texts: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """Entries of new pieces."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        count = np.array([len(x) for x in got], np.int64)
+        new = np.arange(len(self.first), len(self.first) + len(got))
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.pool = np.concatenate((self.pool, np.array([i for x in got for i in x], np.uint32)))
+        self.keys = np.concatenate((self.keys, keys), axis=1)
+        return new
+
+    def _entries(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The cache's entry of each piece raw[start:end]."""
+        size, padded = end - start, np.concatenate((raw, np.zeros(8 * _WORDS, np.uint8)))
+        every = np.ndarray(len(raw) + 8 * (_WORDS - 1) + 1, np.dtype("<u8"), padded, strides=(1,))  # eight bytes from each place on
+        keys = np.empty((_WORDS + 1, len(start)), np.uint64)
+        for k in range(_WORDS):
+            keys[k] = every[start + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)]
+        keys[_WORDS] = size
+        code = S.mix64(keys[0] + S.mix64(keys[1] * S._PLACES[0] + S.mix64(keys[2] * S._PLACES[1] + keys[3])))
+        short = np.flatnonzero(size <= 8 * _WORDS)
+        out = np.empty(len(start), np.int64)
+        codes, first, back = np.unique(code[short], return_index=True, return_inverse=True)
+        first = short[first]
+        entry = np.array([self.place.get(c, -1) for c in codes.tolist()], np.int64)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = self._add([raw[start[i] : end[i]].tobytes() for i in first[new]], keys[:, first[new]])
+            self.place.update(zip(codes[new].tolist(), entry[new].tolist(), strict=True))
+        out[short] = entry[back]
+        other = (self.keys[:, out[short]] != keys[:, short]).any(0)  # another piece with the same code
+        rest = np.concatenate((np.flatnonzero(size > 8 * _WORDS), short[other]))
+        if len(rest):
+            texts = [raw[start[i] : end[i]].tobytes() for i in rest]
+            fresh = list({t: None for t in texts if t not in self.long})
+            if fresh:
+                self.long.update(zip(fresh, self._add(fresh, np.zeros((_WORDS + 1, len(fresh)), np.uint64)).tolist(), strict=True))
+            out[rest] = [self.long[t] for t in texts]
         return out
 
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the texts, each with the end id."""
+        if len(self.first) > CACHED_PIECES or len(self.pool) > 4 * CACHED_PIECES:
+            self._clear()
+        start = pieces(raw, off)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        entry = np.insert(self._entries(raw, start, end), np.searchsorted(start, off[1:]), 0)
+        count = self.count[entry]
+        ends = np.cumsum(count)
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[entry] - ends + count, count)]
+        return ids, np.diff(ends[np.flatnonzero(entry == 0)], prepend=0)
 
-_ENCODERS: dict[str, Encoder] = {}
 
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -200,35 +213,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _SHARD = "part int, seq int, doc_ids array<long>, sizes array<long>, data binary"
 
 
-def write_shards(docs: DataFrame, path: str, order: list[str], tokenizer: str | None = None) -> DataFrame:
-    """Writes shards of docs (doc_id, text) in ascending order of the given columns; returns the table."""
+def write_shards(docs: DataFrame, path: str, order: list[str] | None = None, tokenizer: str | None = None) -> DataFrame:
+    """Writes shards of docs (doc_id, text) in ascending order of the given columns, by default doc_id; returns the table.
+
+    Rows that agree in these are ordered by their texts' hashes, then texts; texts are no keys of the ranges, as keys
+    are sampled to the driver."""
     name = tokenizer or vocabulary_path()
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(*(order or ["doc_id"]), F.xxhash64(text)).alias("key"))
+    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, seq = encoder(name), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
-        ids, sizes, chunks, held = [], [], [], 0
+        coder, part, seq = Encoder(name), TaskContext.get().partitionId(), 0  # the cache ends with the task
+        names, sizes, chunks = [], [], []
 
         def row() -> pa.RecordBatch:
-            data = pack(np.frombuffer(b"".join(chunks), "<u4"))
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.concat_arrays(x)) for x in (names, sizes)]
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([pack(np.concatenate(chunks))], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_ids", "sizes", "data"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = coder.encode(text) + end
-                ids.append(i)
-                sizes.append(len(got) // 4)
-                chunks.append(got)
-                held += len(got) // 4
-                if held >= SHARD_IDS:
+            raw, off = S.utf8(batch.column(1))
+            for a, b in S.slices(off):
+                ids, size = coder.encode(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                names.append(batch.column(0).slice(a, b - a))
+                sizes.append(pa.array(size, pa.int64()))
+                chunks.append(ids)
+                if sum(map(len, chunks)) >= SHARD_IDS:
                     yield row()
                     seq += 1
-                    ids, sizes, chunks, held = [], [], [], 0
-        if ids:
+                    names, sizes, chunks = [], [], []
+        if names:
             yield row()
 
     return S.staged_at(rows.mapInArrow(run, _SHARD), path)
@@ -263,4 +280,4 @@ def read_index(shards: DataFrame) -> DataFrame:
 
 def op4_token_shards(spark, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_index(write_shards(docs, S.new_path(spark, "shards"), ["doc_id", "text"]))
+    return read_index(write_shards(docs, S.new_path(spark, "shards")))

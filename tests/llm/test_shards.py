@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,8 +31,27 @@ def test_encoder_equals_the_library():
     whole, coder, rng = Tokenizer.from_file(path), T.Encoder(path), random.Random(1)
     letters = list("ab'sté zZ09.,!| \n\n  \t$—“ß　中\U0001f600_-<| ́")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["a <|endoftext|> b", " x", "x ", "it's a  b"]
-    for t in texts:
-        assert coder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    texts += ["".join(rng.choice(["\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\u205f", "\t", "\x1c", "\x7f", " ", "\n", "é", "a", "中"]) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["w" * n + " " + "é" * n for n in range(40)] + ["", " "]
+    for size in (1, 7, 500):
+        for k in range(0, len(texts), size):
+            raw, off = T.S.utf8(pa.array(texts[k : k + size]))
+            ids, sizes = coder.encode(raw, off)
+            want = [[*whole.encode(t, add_special_tokens=False).ids, T.END_ID] for t in texts[k : k + size]]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x], texts[k : k + size]
+
+
+def test_encoder_with_equal_codes_and_a_small_cache(monkeypatch):
+    path = T.vocabulary_path()
+    whole = Tokenizer.from_file(path)
+    texts = [f"some words {i} and {i % 7}" for i in range(300)]
+    for change in ((T.S, "mix64", lambda h: h & np.uint64(3)), (T, "CACHED_PIECES", 5)):
+        with monkeypatch.context() as m:
+            m.setattr(*change)
+            coder = T.Encoder(path)
+            for k in range(0, 300, 10):
+                ids, _ = coder.encode(*T.S.utf8(pa.array(texts[k : k + 10])))
+                assert ids.tolist() == [i for t in texts[k : k + 10] for i in [*whole.encode(t, add_special_tokens=False).ids, T.END_ID]]
 
 
 def test_token_shards(documents, spark, folder):
