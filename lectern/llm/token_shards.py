@@ -11,8 +11,8 @@ so that a lost executor leaves no half-written file and any store that Spark rea
 
 Documents are range-partitioned and sorted by the given order, so part and seq give the file order. Ids come from the
 tokenizers library. Whole slices of a batch are encoded at once: text is cut where byte-level BPE's pattern always cuts
-(before white space that follows a visible character), the distinct pieces of the slice are encoded or taken from a
-task's cache of bounded size, and the slice's ids are put together as arrays.
+(such as before white space that follows a visible character), pieces are encoded once or taken from a task's cache of
+bounded size, and the slice's ids are put together as arrays.
 
 Defined results: null text is an empty document (the end id alone). Null ids come first. Repeated rows are encoded each;
 their order among themselves does not matter, as they are equal, unless texts differ under one id (then by the texts'
@@ -23,6 +23,7 @@ than a slice is encoded alone. Extra columns are ignored. An empty table gives a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ BLOCK = 128
 PERCENTILE = 90
 END_ID = 0
 SHARD_IDS = 1 << 18  #: a shard row ends when it has this many ids
-CACHED_PIECES = 200_000  #: of a task; some 40 MB
+CACHED_PIECES = 400_000  #: of a task; some 30 MB
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -108,100 +109,147 @@ def unpack(data: bytes) -> np.ndarray:
 # ---- ids ------------------------------------------------------------------------------------------------------
 
 _WORDS = 3  #: 64-bit words that hold a piece; a longer piece is looked up by its bytes
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SLOTS = 1 << 20
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+#: A piece that the pattern takes as one: letters, or marks but the apostrophe, with a space before them or not.
+_ONE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+)|\n")
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in own else chr(next(other)) for b in range(256))
+
+
+def _white(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space or not visible in ASCII."""
+    x = raw[at - 1]
+    out = (x <= 0x20) | (x == 0x7F)
+    wide = np.flatnonzero(x >= 0x80)
+    if len(wide):  # white space beyond ASCII, by its bytes
+        x, y, z = x[wide], raw[at[wide] - 2], raw[np.maximum(at[wide] - 3, 0)]
+        white = (y == 0xC2) & ((x == 0x85) | (x == 0xA0)) | (z == 0xE1) & (y == 0x9A) & (x == 0x80) | (z == 0xE3) & (y == 0x80) & (x == 0x80)
+        out[wide] = white | (z == 0xE2) & ((y == 0x80) & ((x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF)) | (y == 0x81) & (x == 0x9F))
+    return out
 
 
 def pieces(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where the pieces of the texts start: at each text, and at a space or line end behind a character that is visible.
+    """Where the pieces of the texts start, at places where the vocabulary's pattern always cuts.
 
-    The vocabulary's pattern always cuts there: what stands before the white space ends, and the white space (with the
-    word behind it, if it is one space) is matched from its first character on."""
+    These are: before white space that follows a visible character; behind a line end that stands alone between visible
+    characters; and between an ASCII letter and a mark other than the apostrophe."""
+    cut = np.zeros(len(raw) + 1, bool)
     at = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
     at = at[at > 0]
-    last = raw[at - 1]
-    at, last = at[(last > 0x20) & (last != 0x7F)], last[(last > 0x20) & (last != 0x7F)]
-    wide = np.flatnonzero(last >= 0x80)
-    if len(wide):  # white space beyond ASCII, by its bytes
-        x, y, z = last[wide], raw[at[wide] - 2], raw[np.maximum(at[wide] - 3, 0)]
-        white = (y == 0xC2) & ((x == 0x85) | (x == 0xA0)) | (z == 0xE1) & (y == 0x9A) & (x == 0x80) | (z == 0xE3) & (y == 0x80) & (x == 0x80)
-        white |= (z == 0xE2) & ((y == 0x80) & ((x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF)) | (y == 0x81) & (x == 0x9F))
-        at = np.delete(at, wide[white])
-    begins = off[:-1][off[:-1] < off[1:]]
-    return np.union1d(at, begins)
+    at = at[~_white(raw, at)]
+    cut[at] = True
+    line = at[raw[at] == 0x0A] + 1
+    line = line[line < len(raw)]
+    cut[line[(raw[line] > 0x20) & (raw[line] < 0x7F)]] = True
+    if len(raw) > 1 and not ((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)).any():  # "<|" may begin a special token, which stays whole
+        cut[1:-1] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
+    cut[off] = True
+    cut[-1] = False
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of batches of texts. Each distinct piece of a slice is looked up once, by its bytes; the library encodes, as
-    batches, those that are not in the cache, which starts anew when it holds CACHED_PIECES."""
+    """Ids of batches of texts.
+
+    The pieces of a slice are looked up in a table by the bits of their codes and compared byte for byte; those that are
+    not found are encoded by the library, once each, and kept. At CACHED_PIECES the cache starts anew."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = {b: x for b, x in enumerate(_byte_letters())}
         self._clear()
 
     def _clear(self) -> None:
-        """The cache: entry 0 is the end of a document. keys: the words of each piece and its length."""
-        self.place, self.long = {}, {}
-        self.keys = np.zeros((_WORDS + 1, 1), np.uint64)
-        self.first, self.count, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], np.uint32)
+        """Entry 0 is the end of a document. keys: the words of each piece and its length (0: of a piece kept by its bytes)."""
+        self.slot, self.by_bytes = np.zeros(SLOTS, np.int32), {}
+        self.keys, self.spans = np.zeros((1, _WORDS + 1), np.uint64), np.array([[0, 1]])
+        self.pool = np.array([END_ID], np.uint32)
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        one, tokenize, space = _ONE.fullmatch, self.tokenizer.model.tokenize, self.letters[0x20]
+        out: list[list[int] | None] = [None] * len(texts)
+        for k, t in enumerate(texts):
+            said = t.decode("utf-8", "replace")
+            if one(said):  # ASCII letters and marks stand for themselves
+                coded = said.replace(" ", space) if t.isascii() and t[0] != 0x0A else t.decode("latin-1").translate(self.letters)
+                out[k] = [x.id for x in tokenize(coded)]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.tokenizer.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
 
     def _add(self, texts: list[bytes], keys: np.ndarray) -> np.ndarray:
         """Entries of new pieces."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        got = self._ids(texts)
         count = np.array([len(x) for x in got], np.int64)
-        new = np.arange(len(self.first), len(self.first) + len(got))
-        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(count) - count))
-        self.count = np.concatenate((self.count, count))
+        first = len(self.pool) + np.cumsum(count) - count
+        new = np.arange(len(self.spans), len(self.spans) + len(got))
+        self.spans = np.concatenate((self.spans, np.column_stack((first, count))))
         self.pool = np.concatenate((self.pool, np.array([i for x in got for i in x], np.uint32)))
-        self.keys = np.concatenate((self.keys, keys), axis=1)
+        self.keys = np.concatenate((self.keys, keys))
         return new
 
+    def _differ(self, entry: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        found = self.keys[entry] ^ keys
+        return (found[:, 0] | found[:, 1] | found[:, 2] | found[:, 3]) != 0
+
     def _entries(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The cache's entry of each piece raw[start:end]."""
         size, padded = end - start, np.concatenate((raw, np.zeros(8 * _WORDS, np.uint8)))
         every = np.ndarray(len(raw) + 8 * (_WORDS - 1) + 1, np.dtype("<u8"), padded, strides=(1,))  # eight bytes from each place on
-        keys = np.empty((_WORDS + 1, len(start)), np.uint64)
+        keys = np.empty((len(start), _WORDS + 1), np.uint64)
         for k in range(_WORDS):
-            keys[k] = every[start + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)]
-        keys[_WORDS] = size
-        code = S.mix64(keys[0] + S.mix64(keys[1] * S._PLACES[0] + S.mix64(keys[2] * S._PLACES[1] + keys[3])))
-        short = np.flatnonzero(size <= 8 * _WORDS)
-        out = np.empty(len(start), np.int64)
-        codes, first, back = np.unique(code[short], return_index=True, return_inverse=True)
-        first = short[first]
-        entry = np.array([self.place.get(c, -1) for c in codes.tolist()], np.int64)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            entry[new] = self._add([raw[start[i] : end[i]].tobytes() for i in first[new]], keys[:, first[new]])
-            self.place.update(zip(codes[new].tolist(), entry[new].tolist(), strict=True))
-        out[short] = entry[back]
-        other = (self.keys[:, out[short]] != keys[:, short]).any(0)  # another piece with the same code
-        rest = np.concatenate((np.flatnonzero(size > 8 * _WORDS), short[other]))
-        if len(rest):
-            texts = [raw[start[i] : end[i]].tobytes() for i in rest]
-            fresh = list({t: None for t in texts if t not in self.long})
+            keys[:, k] = every[start + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)]
+        keys[:, _WORDS] = size
+        code = S.mix64(keys[:, 0] + S.mix64(keys[:, 1] * S._PLACES[0] + keys[:, 2] * S._PLACES[1] + keys[:, 3]))
+        at = (code & np.uint64(SLOTS - 1)).astype(np.int64)
+        entry = self.slot[at].astype(np.int64)
+        miss = np.flatnonzero(self._differ(entry, keys))
+        if len(miss):
+            codes, first = np.unique(code[miss], return_index=True)
+            first = miss[first]
+            new = first[(self.slot[at[first]] == 0) & (size[first] <= 8 * _WORDS)]
+            new = new[np.unique(at[new], return_index=True)[1]]  # one piece a slot; others are kept by their bytes
+            self.slot[at[new]] = self._add([raw[start[i] : end[i]].tobytes() for i in new], keys[new])
+            entry[miss] = self.slot[at[miss]]
+            miss = miss[self._differ(entry[miss], keys[miss])]
+        miss = np.union1d(miss, np.flatnonzero(size > 8 * _WORDS))
+        if len(miss):
+            texts = [raw[start[i] : end[i]].tobytes() for i in miss]
+            fresh = list({t: None for t in texts if t not in self.by_bytes})
             if fresh:
-                self.long.update(zip(fresh, self._add(fresh, np.zeros((_WORDS + 1, len(fresh)), np.uint64)).tolist(), strict=True))
-            out[rest] = [self.long[t] for t in texts]
-        return out
+                self.by_bytes.update(zip(fresh, self._add(fresh, np.zeros((len(fresh), _WORDS + 1), np.uint64)).tolist(), strict=True))
+            entry[miss] = [self.by_bytes[t] for t in texts]
+        return entry
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of the texts, each with the end id."""
-        if len(self.first) > CACHED_PIECES or len(self.pool) > 4 * CACHED_PIECES:
+        if len(self.spans) > CACHED_PIECES or len(self.pool) > 4 * CACHED_PIECES:
             self._clear()
         start = pieces(raw, off)
         end = np.append(start[1:], len(raw))[: len(start)]
         entry = np.insert(self._entries(raw, start, end), np.searchsorted(start, off[1:]), 0)
-        count = self.count[entry]
+        span = self.spans[entry]
+        count = span[:, 1]
         ends = np.cumsum(count)
-        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[entry] - ends + count, count)]
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(span[:, 0] - ends + count, count)]
         return ids, np.diff(ends[np.flatnonzero(entry == 0)], prepend=0)
 
 
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
