@@ -126,16 +126,31 @@ def test_secrets(documents, spark, folder):
     assert any("github:" in r.spans for r in got.values())
 
 
-def test_automaton_equals_a_sequential_pass():
-    auto = S.automaton()
-    raw = np.frombuffer(("token" + " " * 1500 + "=x ab AKIAX" * 400 + "0123456789abcdef" * 300).encode(), np.uint8)
-    state, want = auto.start, []
-    for k, b in enumerate(raw):
-        state = auto.next[state, auto.of[b]]
-        if auto.bits[state]:
-            want.append((k, auto.bits[state]))
-    place, bits = auto.ends(raw)
-    assert list(zip(place.tolist(), bits.tolist(), strict=True)) == want
+def test_automata_equal_a_sequential_pass_and_the_expressions():
+    auto = S.automata().all
+    raw = np.frombuffer(("token" + " " * 1500 + "=x ab AKIAX" * 400 + "0123456789abcdef" * 300 + "xoxb-" + "a-" * 700).encode(), np.uint8)
+    state, want = auto.start * auto.classes, []
+    for k in range(len(raw) - 1, -1, -1):
+        state = auto.flat[state + auto.of[raw[k]]]
+        if auto.bits[state // auto.classes]:
+            want.append((k, auto.bits[state // auto.classes]))
+    place, bits = auto.starts(raw)
+    assert list(zip(place.tolist(), bits.tolist(), strict=True)) == want[::-1]
+    rng = random.Random(3)
+    pieces = ["ghp_", "gho_", "eyJ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "xoxb-", "a1B2" * 9, "x_-" * 4, ".", " ", "-", "token=", "AKIA", "0f" * 16, "abcdefgh"]
+    for _ in range(400):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        want = []
+        for k, (full, either, least, group) in enumerate(S.RULES.values()):
+            want += [(m.start(), m.end(), k) for m in re.finditer(full, t, re.A | (re.I if either else 0)) if len(m[group]) >= least]
+        assert sorted(S.automata().spans(np.frombuffer(t.encode(), np.uint8))) == sorted(want), t
+
+
+def test_secrets_in_long_and_repeated_texts(documents, spark, folder):
+    long = "lorem ipsum " * 120_000 + "secret = abcdefgh" + " x" * 400_000  # more than a slice
+    rows = [(1, "token: 12345678"), (1, "token: 12345678"), (2, long), (3, "AKIA"), (4, "ABCDEFGHIJKLMNOP")]
+    got = Counter((r.doc_id, r.n_assign, r.n_access, r.spans) for r in S.op9_secret_scan(spark, folder(documents=documents(rows).coalesce(1))).collect())
+    assert got == {(1, 1, 0, "assign:0:15"): 2, (2, 1, 0, "assign:1440000:1440017"): 1, (3, 0, 0, ""): 1, (4, 0, 0, ""): 1}
 
 
 @pytest.mark.parametrize("op", [S.op9_secret_scan])
