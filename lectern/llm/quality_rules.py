@@ -1,19 +1,22 @@
 """Quality rules: base statistics and robust multivariate outliers, with DataFrame functions only.
 
-For each language and source the minimum-covariance-determinant (MCD) estimate of transformed statistics is found by
-concentration steps: the first distances come from medians and quartile ranges, then STEPS times the SUBSET share of
-smallest distances gives the next mean and covariance (sums that Spark aggregates map-side). Distances are scaled so
-that their median is that of a chi-square variable, and a document whose squared Mahalanobis distance exceeds CUT is
-rejected. A floor on each standard deviation keeps statistics that are constant in most of a group (such as no
-symbols at all) from rejecting every document that differs a little.
+For each language and source, for each language, and for all documents together, the minimum-covariance-determinant
+(MCD) estimate of transformed statistics is found by concentration: the SUBSET share of rows that are nearest gives the
+next mean and covariance (sums that Spark aggregates map-side), for as long as the determinant falls. There are two
+starts, medians with quartile ranges and means with covariances, and the least determinant counts. The estimate is made
+consistent for normal data, reweighted once (rows within the 0.975 quantile of chi-square), and drawn towards that of
+the language, and this towards that of all, with the weight of PRIOR rows, so that small groups need no other rule. A
+document whose squared Mahalanobis distance exceeds the 0.999 quantile is rejected. A floor on each standard deviation
+keeps statistics that are constant in most of a group (such as no symbols at all) from rejecting every document that
+differs a little.
 
 Words in 3-word windows found twice are found without leaving the row: hashes of the windows, with their places in the
 low bits, are sorted as plain longs; equal neighbours are compared word by word, and a text in which unequal windows
 meet under one hash is worked out again from the windows' words.
 
-Defined results: null text: no words, base_failed true. Null lang or source form groups of their own. Groups of fewer
-than LEAST documents reject none. Repeated rows count as often as they stand. Other columns, whatever their names, are
-ignored; an empty table gives an empty result.
+Defined results: null text: no words, base_failed true. Null lang or source form groups of their own. Repeated rows count
+as often as they stand; rows at the same distance are in the nearest share together. Other columns, whatever their names,
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-STEPS, SUBSET, LEAST = 3, 0.75, 40
-#: Median of chi-square with as many degrees of freedom as there are statistics (5), and the cut.
-MEDIAN, CUT = 4.351, 150.0
+SUBSET, PRIOR = 0.75, 50
+#: Fixed values for 5 degrees of freedom: chi-square quantiles 0.975 and 0.999, and the factors p / P(chi-square of 7 degrees
+#: <= quantile p) that make the covariance of the nearest share p consistent, for p = 0.75 and 0.975.
+NEAR, CUT = 12.8325, 20.515
+CONSISTENT, CONSISTENT_NEAR = 1.41207, 1.05553
 #: Transformed statistics and the floors of their standard deviations.
-VECTOR = {"x0": 0.5, "x1": 0.35, "x2": 0.25, "x3": 0.1, "x4": 0.05}
+VECTOR = {"x0": 0.1, "x1": 0.25, "x2": 0.25, "x3": 0.15, "x4": 0.1}
+BROADCAST_GROUPS, SALTS = 100_000, 64
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -81,36 +87,25 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"), *whole, n_repeat.alias("n_repeat_words"))
 
 
-def _estimate(rows: DataFrame, centre: DataFrame | None) -> DataFrame:
-    """Mean, covariance's Cholesky factor and median squared distance of each group, from the rows nearest to centre."""
+_N = range(len(VECTOR))
+_MEANS, _COVS, _LOWER = [f"m{i}" for i in _N], [f"c{i}{j}" for i in _N for j in range(i + 1)], [f"l{i}{j}" for i in _N for j in range(i + 1)]
+
+
+def _moments() -> list[Column]:
     names = list(VECTOR)
-    key = ["g_lang", "g_source"]
-    if centre is None:
-        q = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names]
-        flat = rows.groupBy(*key).agg(*q, F.count("*").alias("n"))
-        fields = [F.get(x, F.lit(1)).alias(f"m{i}") for i, x in enumerate(names)]
-        for i, x in enumerate(names):
-            for j in range(i + 1):
-                sd = F.greatest(F.lit(VECTOR[x]), (F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349)
-                fields.append((sd if i == j else F.lit(0.0)).alias(f"l{i}{j}"))
-        return S.staged(flat.select(*key, "n", *fields), "centre")
-    near = rows.join(centre, key).withColumn("d2", distance())
-    edge = near.groupBy(*key).agg(F.percentile_approx("d2", F.lit(SUBSET), 1000).alias("edge"))
-    kept = near.join(edge, key).where("d2 <= edge")
-    sums = [F.avg(F.col(x)).alias(f"m{i}") for i, x in enumerate(names)]
-    pairs = [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(len(names)) for j in range(i + 1)]
-    cov = kept.groupBy(*key).agg(*sums, *pairs, F.first("n").alias("n"))
-    for i, x in enumerate(names):
-        cov = cov.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(VECTOR[x] ** 2)))
-    for i in range(len(names)):  # Cholesky, row by row
+    return [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)] + [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in _N for j in range(i + 1)]
+
+
+def _factored(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """df with its covariances times scale, the Cholesky factor of them with floors, and its logarithmic determinant."""
+    floors = list(VECTOR.values())
+    df = df.withColumns({c: F.col(c) * scale for c in _COVS})
+    for i in _N:
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            if i == j:
-                cov = cov.withColumn(f"l{i}{i}", F.sqrt(F.greatest(rest, F.lit((VECTOR[names[i]] / 4) ** 2))))
-            else:
-                cov = cov.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    lower = [f"l{i}{j}" for i in range(len(names)) for j in range(i + 1)]
-    return S.staged(cov.select(*key, "n", *[f"m{i}" for i in range(len(names))], *lower), "centre")
+            c = F.greatest(F.col(f"c{i}{i}"), F.lit(floors[i] ** 2)) if i == j else F.col(f"c{i}{j}")
+            rest = c - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit((floors[i] / 4) ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
+    return df.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in _N), F.lit(0.0)))
 
 
 def distance() -> Column:
@@ -121,29 +116,98 @@ def distance() -> Column:
     return sum((v * v for v in y), F.lit(0.0))
 
 
+class _Groups:
+    """Rows (x0.., g, salt) and how they meet a table of their groups: it is broadcast up to a counted size; beyond it, a
+    group's rows are salted, so that a large group is no one task's."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+        self.small = rows.select("g").distinct().count() <= BROADCAST_GROUPS
+
+    def beside(self, table: DataFrame) -> DataFrame:
+        if self.small:
+            return self.rows.join(F.broadcast(table), "g")
+        return self.rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
+def _starts(groups: _Groups) -> DataFrame:
+    """Two first estimates of each group."""
+    q = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in VECTOR]
+    flat = groups.rows.groupBy("g").agg(*q, *_moments(), F.count("*").alias("n"))
+    spread = lambda x: F.pow((F.get(f"q_{x}", F.lit(2)) - F.get(f"q_{x}", F.lit(0))) / 1.349, F.lit(2.0))
+    robust = [F.get(f"q_{x}", F.lit(1)).alias(f"m{i}") for i, x in enumerate(VECTOR)] + [(spread(list(VECTOR)[i]) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in _N for j in range(i + 1)]
+    both = F.array(F.struct(F.lit(0).alias("s"), *robust), F.struct(F.lit(1).alias("s"), *_MEANS, *_COVS))
+    # the start itself is no estimate from a nearest share: whatever the first one is, it counts as better
+    return _factored(flat.select("g", "n", F.inline(both))).withColumn("logdet", F.lit(float("inf")))
+
+
+def _concentrated(groups: _Groups) -> DataFrame:
+    """The raw MCD estimate of each group."""
+    state = S.staged(_starts(groups).withColumn("falls", F.lit(True)), "centre")
+    while True:
+        near = groups.beside(state.where("falls")).withColumn("d2", distance())
+        edge = near.groupBy("g", "s").agg(F.percentile_approx("d2", F.lit(SUBSET)).alias("edge"))
+        ahead = state.where("falls").join(F.broadcast(edge) if groups.small else edge, ["g", "s"]).select("g", "s", "n", "edge", *_MEANS, *_LOWER)
+        moments = groups.beside(ahead).withColumn("d2", distance()).where("d2 <= edge").groupBy("g", "s").agg(*_moments(), F.first("n").alias("n"))
+        new = _factored(moments)
+        now = state.where("falls").select("g", "s", F.struct("n", *_MEANS, *_COVS, *_LOWER, "logdet").alias("now"))
+        new = new.select("g", "s", F.struct("n", *_MEANS, *_COVS, *_LOWER, "logdet").alias("new"))
+        falls = F.col("new.logdet") < F.col("now.logdet") - 1e-9
+        moved = now.join(new, ["g", "s"]).select("g", "s", F.when(falls, F.col("new")).otherwise(F.col("now")).alias("x"), falls.alias("falls")).select("g", "s", "x.*", "falls")
+        state = S.staged(state.where("not falls").unionByName(moved), "centre")
+        if state.where("falls").isEmpty():
+            break
+    best = F.min(F.struct("logdet", "s", "n", *_MEANS, *_COVS)).alias("x")
+    return state.groupBy("g").agg(best).select("g", "x.n", *[f"x.{c}" for c in _MEANS + _COVS])
+
+
+def _drawn(own: DataFrame, above: DataFrame, key: Column) -> DataFrame:
+    """Estimates drawn towards those of the groups above (by key), with the weight of PRIOR rows."""
+    up = above.select(F.col("g").alias("up_g"), *[F.col(c).alias(f"up_{c}") for c in _MEANS + _COVS])
+    both = own.join(F.broadcast(up), key == F.col("up_g"), "left").withColumn("w", F.col("n") / (F.col("n") + PRIOR))
+    w = F.col("w")
+    mean = [(w * F.col(f"m{i}") + (1 - w) * F.col(f"up_m{i}")).alias(f"m{i}") for i in _N]
+    off = [F.col(f"m{i}") - F.col(f"up_m{i}") for i in _N]
+    cov = [(w * F.col(f"c{i}{j}") + (1 - w) * F.col(f"up_c{i}{j}") + w * (1 - w) * off[i] * off[j]).alias(f"c{i}{j}") for i in _N for j in range(i + 1)]
+    return both.select("g", "n", *mean, *cov)
+
+
+def estimates(good: DataFrame) -> DataFrame:
+    """g_lang, g_source, m0.. and l00..: the estimate of each language and source. good: x0.., g_lang, g_source, salt."""
+    every = F.array(F.array(F.lit("all")), F.array("g_lang"), F.array("g_lang", "g_source"))
+    levels = F.transform(every, lambda g, k: F.struct(k.alias("level"), g.alias("g")))
+    rows = good.select(*VECTOR, "salt", F.inline(levels)).select(*VECTOR, "salt", F.concat(F.array(F.col("level").cast("string")), "g").alias("g"))
+    groups = _Groups(rows)
+    raw = S.staged(_factored(_concentrated(groups), CONSISTENT), "raw")
+    near = groups.beside(raw.select("g", "n", *_MEANS, *_LOWER)).where(distance() <= NEAR)
+    found = S.staged(near.groupBy("g").agg(*_moments(), F.first("n").alias("n")).withColumns({c: F.col(c) * CONSISTENT_NEAR for c in _COVS}), "reweighted")
+    level = lambda k: found.where(F.get("g", F.lit(0)) == str(k))
+    lang = _drawn(level(1), level(0), F.array(F.lit("0"), F.lit("all")))
+    own = _drawn(level(2), lang, F.array(F.lit("1"), F.get("g", F.lit(1))))
+    return _factored(own).select(F.get("g", F.lit(1)).alias("g_lang"), F.get("g", F.lit(2)).alias("g_source"), *_MEANS, *_LOWER)
+
+
 def verdicts(stats: DataFrame) -> DataFrame:
-    """stats with base_failed and kept."""
+    """stats with base_failed, kept and distance (null where the group has no document that passes the base rules)."""
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
     words = F.greatest(n, F.lit(1))
     vector = {
-        "x0": F.log1p(n), "x1": F.col("word_chars") / words / 2, "x2": F.log1p(100.0 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
+        "x0": F.log1p(F.log1p(n)), "x1": F.col("word_chars") / words / 2, "x2": F.log1p(100.0 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "x3": F.log1p(F.col("n_dup_lines")) / 2, "x4": F.col("n_repeat_words") / words,
     }
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    rows = stats.select("*", failed.alias("base_failed"), group("lang").alias("g_lang"), group("source").alias("g_source"), *[c.alias(k) for k, c in vector.items()])
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = stats.select("*", failed.alias("base_failed"), group("lang").alias("g_lang"), group("source").alias("g_source"), salt, *[c.alias(k) for k, c in vector.items()])
     rows = S.staged(rows, "statistics")
-    good = rows.where("not base_failed")
-    centre = None
-    for _ in range(STEPS + 1):
-        centre = _estimate(good, centre)
-    key = ["g_lang", "g_source"]
-    middle = good.join(centre, key).withColumn("d2", distance()).groupBy(*key).agg(F.percentile_approx("d2", F.lit(0.5), 1000).alias("middle"))
-    model = S.staged(centre.join(middle, key), "model")
-    scaled = distance() * MEDIAN / F.greatest("middle", F.lit(1e-9))
-    out = rows.join(model, key, "left").withColumn("d2", scaled)
-    kept = ~F.col("base_failed") & ((F.coalesce("n", F.lit(0)) < LEAST) | (F.coalesce("d2", F.lit(0.0)) <= CUT))
-    return out.select(*stats.columns, "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
+    model = S.staged(estimates(rows.where("not base_failed")), "model")
+    if model.count() <= BROADCAST_GROUPS:
+        out = rows.join(F.broadcast(model), ["g_lang", "g_source"], "left")
+    else:
+        out = rows.join(model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g_lang", "g_source", "salt"], "left")
+    out = out.withColumn("d2", distance())
+    kept = ~F.col("base_failed") & (F.col("d2") <= CUT)
+    return out.select(*stats.columns, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.col("d2").alias("distance"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -74,14 +74,88 @@ def test_quality_rule_statistics(documents, spark, folder):
     assert R.op3_quality_rules(spark, folder(documents=documents(texts).limit(0))).count() == 0
 
 
+STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
 def test_quality_rules_reject_outliers(spark):
     rng = random.Random(4)
     rows = [(i, None, "s", 200 + rng.randrange(200), 0, 0, 0, 3) for i in range(400)]
     rows = [(i, lang, s, n, n * 5 + rng.randrange(n), a, b, c) for i, lang, s, n, _, a, b, c in rows]
-    rows += [(400, None, "s", 300, 1600, 900, 0, 3), (401, None, "s", 300, 9000, 0, 0, 3), (402, "rare", "s", 300, 9000, 0, 0, 3)]
-    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    rows += [(400, None, "s", 300, 1600, 900, 0, 3), (401, None, "s", 300, 9000, 0, 0, 3), (402, "rare", "s", 300, 9000, 0, 0, 3), (403, "rare", "t", 300, 1700, 0, 0, 3)]
+    stats = spark.createDataFrame(rows, STATS)
     gone = {r.doc_id for r in R.verdicts(stats).where("not kept").collect()}
-    assert gone == {400, 401}
+    assert gone == {400, 401, 402}  # groups of one are judged as well
+
+
+def mcd_distances(rows):
+    """The same rule by brute force: squared distances of rows (lang, source, x) that pass the base rules."""
+    floors = np.array(list(R.VECTOR.values()))
+
+    def factor(c):
+        c = c.copy()
+        np.fill_diagonal(c, np.maximum(np.diag(c), floors**2))
+        out = np.zeros_like(c)
+        for i in range(5):
+            for j in range(i + 1):
+                rest = c[i, j] - out[i, :j] @ out[j, :j]
+                out[i, j] = max(rest, (floors[i] / 4) ** 2) ** 0.5 if i == j else rest / out[j, j]
+        return out
+
+    def d2(x, m, c):
+        return (np.linalg.solve(factor(c), (x - m).T) ** 2).sum(0)
+
+    def moments(x):
+        return x.mean(0), np.cov(x.T, bias=True).reshape(5, 5)
+
+    def mcd(x):
+        at = lambda p: np.sort(x, axis=0)[max(0, int(np.ceil(p * len(x))) - 1)]
+        found = []
+        for m, c in ((at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2)), moments(x)):
+            least = np.inf
+            while True:
+                d = d2(x, m, c)
+                m2, c2 = moments(x[d <= np.sort(d)[int(np.ceil(R.SUBSET * len(x))) - 1]])
+                det = np.log(np.diag(factor(c2))).sum()
+                if det >= least - 1e-9:
+                    break
+                least, m, c = det, m2, c2
+            found.append((least, m, c))
+        _, m, c = min(found, key=lambda f: f[0])
+        m, c = moments(x[d2(x, m, c * R.CONSISTENT) <= R.NEAR])
+        return len(x), m, c * R.CONSISTENT_NEAR
+
+    def drawn(n, m, c, m_up, c_up):
+        w = n / (n + R.PRIOR)
+        return w * m + (1 - w) * m_up, w * c + (1 - w) * c_up + w * (1 - w) * np.outer(m - m_up, m - m_up)
+
+    x = np.array([r[2] for r in rows])
+    out, top = np.zeros(len(x)), mcd(x)[1:]
+    for lang in {r[0] for r in rows}:
+        of_lang = np.array([r[0] == lang for r in rows])
+        middle = drawn(*mcd(x[of_lang]), *top)
+        for source in {r[1] for r in rows if r[0] == lang}:
+            own = of_lang & np.array([r[1] == source for r in rows])
+            out[own] = d2(x[own], *drawn(*mcd(x[own]), *middle))
+    return out
+
+
+def test_quality_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        n = int(np.exp(rng.normal(5.7, 0.8))) + 50
+        odd = rng.random() < 0.1
+        lang, source = ["en", "de", None][int(rng.integers(3))], f"s{int(rng.integers(9)) ** 2 // 8}"
+        rows.append((i, lang, source, n, int(n * (rng.normal(5, 0.3) + 3 * odd)), int(rng.integers(200)) * odd, int(rng.integers(3)), int(n * 0.2 * rng.random() ** 4)))
+    rows += rows[:20] + [(1000, "xx", "only", 90, 500, 0, 0, 0), (1001, "en", "s1", 3, 9, 0, 0, 0)]
+    got = {}
+    for r in R.verdicts(spark.createDataFrame(rows, STATS)).collect():
+        got.setdefault(r.doc_id, r)
+    good = [r for r in rows if r[3] >= 50]
+    v = lambda r: (np.log1p(np.log1p(r[3])), r[4] / r[3] / 2, np.log1p(100 * r[5] / r[4]), np.log1p(r[6]) / 2, r[7] / r[3])
+    want = mcd_distances([(r[1], r[2], v(r)) for r in good])
+    assert np.allclose([got[r[0]].distance for r in good], want, rtol=1e-6)
+    assert [got[r[0]].kept for r in good] == (want <= R.CUT).tolist() and 20 < (want > R.CUT).sum() < 200 and not got[1001].kept
 
 
 def test_quality_scores(spark, folder, out_of_sample):
