@@ -90,23 +90,34 @@ def test_pfair_schedule(spark):
         assert all(abs(sent[s] - a * (t + 1) / 50) < 1 for s, a in shares.items())
 
 
-def test_mix_keeps_every_document_once(spark):
+def test_mix_keeps_every_character_once_within_one_block(spark):
     rng = random.Random(3)
-    rows = [(i, "x" * rng.randrange(400), rng.choice(["hot"] * 6 + ["b", None])) for i in range(600)] + [(7, None, "b"), (7, None, "b")]
+    rows = [(i, "x" * rng.choice([rng.randrange(400), rng.randrange(9000)]), rng.choice(["hot"] * 6 + ["b", "c", None])) for i in range(600)] + [(7, None, "b"), (7, None, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = M.mix(docs, block_chars=2000, period=20).collect()
-    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
-    assert all(r.mix_release <= r.mix_slot < r.mix_due for r in out)
-    # while all sources last, each is within a block (and its last document) of its target
+    starts = Counter((r.doc_id, r.text, r.source) for r in out if r.mix_from == 0)
+    assert starts == Counter(rows) and sum(r.mix_to - r.mix_from for r in out) == sum(len(r[1] or "") + 1 for r in rows)
+    assert all(r.mix_release <= r.mix_slot < r.mix_due and r.mix_from < r.mix_to for r in out)
+    # while all sources last, each is within one block of its target at every slot, counted in characters
     shares = {r.mix_source: r.share / r.period for r in M.source_shares(docs, block_chars=2000, period=20).collect()}
     last = min(max(r.mix_slot for r in out if r.mix_source == s) for s in shares)
-    for t in range(1, last):
+    for t in range(1, last + 1):
         for s, w in shares.items():
-            chars = sum(len(r.text or "") + 1 for r in out if r.mix_source == s and r.mix_slot < t)
-            assert abs(chars / 2000 - w * t) < 1 + 401 / 2000
+            chars = sum(r.mix_to - r.mix_from for r in out if r.mix_source == s and r.mix_slot < t)
+            assert abs(chars / 2000 - w * t) < 1
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def test_shares_are_whole_slots_and_many_sources(spark):
+    docs = spark.createDataFrame([(i, "x" * (1 if i else 100_000), f"s{i}") for i in range(30)], "doc_id long, text string, source string")
+    for period, whole in ((40, True), (30, True), (29, False)):
+        shares = [r.share for r in M.source_shares(docs, period=period).collect()]
+        assert abs(sum(shares) - period) < 1e-9 and min(shares) > 0 and all(x == int(x) for x in shares) == whole
+        assert M.mix(docs, period=period).select("mix_slot").distinct().count() == 31  # two blocks of the large one
+    given = {f"s{i}": 0.001 * (1 + (i == 0) * 970) for i in range(30)}  # needs a period of 1000
+    assert {r.period for r in M.source_shares(docs, given).collect()} == {1000}
+
+
 def test_weights(spark):
     docs = spark.createDataFrame([(1, "a" * 100, "a"), (2, "b" * 300, "b"), (3, "c" * 100, "c")], "doc_id long, text string, source string")
     shares = {r.mix_source: r.share for r in M.source_shares(docs, {"a": 0.5, "gone": 0.1}, period=1000).collect()}
