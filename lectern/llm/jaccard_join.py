@@ -5,19 +5,21 @@ smallest id is compared further. Each set has a signature of 512 hashed bits: a
 other lacks stands for a shingle that the other set lacks, so bit counts bound the overlap from above. Pairs that
 the sizes and the bound allow are compared exactly, by searching one sorted array in the other.
 
-Tiles are the classes that share an index shingle. A sketch holds the SKETCH smallest shingle hashes of a set (the
-whole set when it is no larger). Two linked sets share at least SHARED sketch entries (for sets under 48: 75 % of
-them, always; for larger ones the chance to share fewer is below 1e-10, as small as that of equal hashes in a large
-corpus), so only the entries left when the SHARED - 1 most frequent ones are set aside need be indexed. Lines or
-passages that very many documents share are thus seldom indexed, and entries of one document alone need no tile.
+Tiles are the classes that share an index shingle. Shingles have a global order, by their hashes. Of a set of n, of which
+a linked set shares at least need = 75 % of n, the first n - need + t are its sketch: the t first shingles that two linked
+sets share stand in both sketches. Of these the t - 1 most frequent ones of each set need not be indexed, as among t
+shared ones the least frequent is left in both. This loses no link at any size. Lines or passages that very many
+documents share are thus seldom indexed, with t = SHARED (or need, if that is less).
 
-In a tile, each class is first compared with the smallest and the largest id (a star, not all pairs); components are
-formed from the links; then only pairs of different components that still share a tile are compared. So a group of
-thousands of near copies costs a few comparisons a document, and no link between components is lost.
+The join goes in two steps. First the STAR smallest hashes of each set alone make tiles, in which each class is compared
+with the smallest and the largest id (a star, not all pairs); components are formed from the links. So a group of
+thousands of near copies costs a few comparisons a document. Then the whole sketches are gathered, but only shingles that
+stand in sketches of different components; these make the tiles in which pairs of different components are compared.
 
 Defined results: null text, text without words: empty set, linked with nothing, component_id = doc_id. Fewer than
-five words: one shingle, the whole sequence. Repeated rows (same doc_id) are the same set and link. Rows with a null
-doc_id are kept, without links (component_id null). Extra columns are ignored. An empty table gives an empty result.
+five words: one shingle, the whole sequence. Rows with one doc_id are one document, whatever their texts: it links where
+any of its texts does, and n_shingles is that of the row's text. Rows with a null doc_id are kept, without links
+(component_id null). doc_id must be a whole number. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from . import shared as S
 
 WORDS = 5  #: words of a shingle
 PERCENT = 75  #: similarity of linked documents, in percent
-SKETCH, SHARED, SMALL = 64, 24, 48
+SHARED, STAR = 24, 32
 BITS = 8  #: 64-bit words of a signature
 
 _SIG = [f"s{i}" for i in range(BITS)]
@@ -58,6 +60,11 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def sketch_size(n: int) -> int:
+    need = -(-PERCENT * n // 100)
+    return n - need + min(SHARED, need)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -76,7 +83,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 bits = np.zeros(BITS * 64, bool)
                 bits[s % np.uint64(BITS * 64)] = True
                 sig.append((bits.reshape(BITS, 64).astype(np.uint64) << shifts).sum(1, dtype=np.uint64))
-                sketch.append(s[:SKETCH])
+                sketch.append(s[: sketch_size(len(s))])
             fps, sigs = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64), np.array(sig, np.uint64).reshape(-1, BITS).view(np.int64)
             cols = [part.column(0), pa.array(size, pa.int64()), *(pa.array(fps[:, i].copy()) for i in (0, 1)), *(pa.array(sigs[:, i].copy()) for i in range(BITS)), _lists(sketch)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp0", "fp1", *_SIG, "sketch"])
@@ -118,10 +125,10 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that do link, by exact comparison of the sets of their texts."""
     ids = S.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = S.by_id(docs, ids, "left_semi").mapInArrow(_set_batches, "doc_id long, grams array<long>")
-    sets = S.staged(sets, "sets").dropDuplicates(["doc_id"])
+    sets = S.staged(sets, "sets").distinct()
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long")
+    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long").distinct()
 
 
 def _distinct_tiles(entries: DataFrame) -> DataFrame:
@@ -151,46 +158,62 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = new.select("id", "comp")
 
 
+def _stars(first: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and the smallest or largest id of a tile of its STAR smallest hashes."""
+    entries = S.staged(first.select("doc_id", F.explode(F.slice("sketch", 1, STAR)).alias("gram")).distinct(), "entries")
+    tiles = _distinct_tiles(entries)
+    ends = tiles.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    ends = tiles.join(ends, "gram").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
+    pairs = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
+    return _allowed(pairs, facts)
+
+
+def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    return pairs.join(facts.toDF("a", "x"), "a").join(facts.toDF("b", "y"), "b").where(_may_link("x", "y")).select("a", "b").distinct()
+
+
+def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share an index shingle and may link."""
+    named = first.join(label.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    entries = named.select("doc_id", "fp0", "comp", "n", F.explode("sketch").alias("gram"))
+    mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("gram", "df")
+    mixed = S.staged(mixed, "mixed")
+    small = mixed.count() <= S.BROADCAST_IDS
+    of_set = entries.join(F.broadcast(mixed) if small else mixed, "gram").groupBy("doc_id", "fp0", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
+    # the sketch may hold shingles that are in no other component; they are no tiles, whatever their place
+    free = F.size("found") - F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)) + 1
+    indexed = of_set.where(free > 0).select("doc_id", "comp", F.transform(F.slice("found", F.lit(1), free.cast("int")), lambda x: x["gram"]).alias("tiles"))
+    rest = S.staged(indexed, "indexed").join(facts, "doc_id").select("doc_id", "comp", "m", "tiles", F.explode("tiles").alias("gram"))
+    x, y = rest.alias("x"), rest.alias("y")
+    # a pair counts in the first tile alone of those that both are in
+    once = F.array_min(F.array_intersect("x.tiles", "y.tiles")) == F.col("x.gram")
+    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m") & once)
+    return cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reached by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = S.staged(docs.mapInArrow(_sketch_batches, _SKETCHED), "sketches")
     key = ["fp0", "fp1", "n"]
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    first = sketched.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    entries = first.select("doc_id", "n", F.explode("sketch").alias("gram"))
-    shared = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.when(F.col("n") < SMALL, F.ceil(F.col("n") * PERCENT / 100)).otherwise(SHARED)
-    of_doc = entries.join(shared, "gram").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
-    free = F.least("n", F.lit(SKETCH)) - need + 1 - (F.least("n", F.lit(SKETCH)) - F.size("found"))
-    indexed = of_doc.where(free > 0).select("doc_id", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("x"))
-    tiles = _distinct_tiles(S.staged(indexed.select(F.col("x.gram").alias("gram"), "doc_id"), "entries"))
-    nodes = S.staged(tiles.select(F.col("doc_id").alias("id")).distinct(), "nodes")
-
+    some = sketched.where("n > 0 and doc_id is not null")
+    classes = S.staged(some.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
+    first = S.staged(some.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]), "first")
     facts = first.select("doc_id", F.struct("n", *_SIG).alias("m"))
-    stars = tiles.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    ends = tiles.join(stars, "gram").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
-    star_pairs = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
-    star_pairs = star_pairs.join(facts.toDF("a", "x"), "a").join(facts.toDF("b", "y"), "b").where(_may_link("x", "y")).select("a", "b")
-    star_pairs = S.staged(star_pairs, "stars")
-    links = S.staged(_linked(star_pairs, docs), "links")
+    # classes that have a document in common, as it has several texts
+    several = S.staged(some.groupBy("doc_id").agg(F.min("fp0").alias("lo"), F.max("fp0").alias("hi")).where("lo < hi").select("doc_id"), "several")
+    of_doc = S.by_id(some, several, "left_semi").join(classes, key).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("all"))
+    same = S.staged(of_doc.select("a", F.explode("all").alias("b")).where("a < b").distinct(), "same")
+
+    star_pairs = S.staged(_stars(first, facts), "stars")
+    links = S.staged(_linked(star_pairs, docs).unionByName(same), "links")
+    nodes = S.staged(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     label = components(nodes, links)
 
-    named = tiles.join(label, tiles.doc_id == label.id).select("gram", "doc_id", "comp")
-    mixed = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    rest = S.staged(named.join(mixed, "gram"), "mixed")
-    # a pair counts in the first tile alone of those that both are in
-    small = F.hash("gram")
-    of_doc = rest.groupBy("doc_id", "comp").agg(F.collect_list(small).alias("tiles")).join(facts, "doc_id")
-    rest = rest.select("gram", small.alias("tile"), "doc_id").join(of_doc, "doc_id")
-    x, y = rest.alias("x"), rest.alias("y")
-    once = F.array_min(F.array_intersect("x.tiles", "y.tiles")) == F.col("x.tile")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m") & once)
-    pairs = cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    pairs = S.staged(pairs.join(star_pairs, ["a", "b"], "left_anti"), "cross")
+    pairs = S.staged(_crossing(first, label, facts).join(star_pairs, ["a", "b"], "left_anti"), "cross")
     if not pairs.isEmpty():
-        label = components(nodes, links.unionByName(S.staged(_linked(pairs, docs), "links")))
+        links = S.staged(links.unionByName(_linked(pairs, docs)), "links")
+        label = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
 
     moved = label.where("comp < id").select(F.col("id").alias("class_id"), "comp")
     whole = classes.join(moved, "class_id", "left").select(*key, "class_id", F.coalesce("comp", "class_id").alias("comp"))
@@ -205,13 +228,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component one document stays, that with the smallest doc_id; of repeated rows with that id one row.
+    """Of each component one document stays, that with the smallest doc_id; of its rows one for each text that differs.
     Rows with a null doc_id stay."""
     lead = S.staged(jaccard_classes(docs).where("component_id = doc_id").select("doc_id").distinct(), "leads")
     kept = S.by_id(docs, lead, "left_semi")
     again = S.staged(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     once, twice = S.by_id(kept, again, "left_anti"), S.by_id(kept, again, "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text"))
+    order = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
     twice = twice.withColumn("_lectern_row", F.row_number().over(order)).where("_lectern_row = 1").drop("_lectern_row")
     return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
 

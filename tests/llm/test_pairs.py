@@ -151,3 +151,28 @@ def test_stages_with_clashing_names(spark):
     assert sorted(J.keep_one(docs).collect()) == sorted(docs.collect())
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert [r.id for r in D.drop_contaminated(docs, items).collect()] == [7]
+
+
+def test_jaccard_keeps_links_of_large_sets_at_the_threshold(documents):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(120)]  # a passage of many documents, no link by itself
+    texts = []
+    for k in range(40):
+        n = rng.choice([50, 65, 130, 400, 900])
+        words = [f"t{k}x{rng.randrange(10**6)}" for _ in range(n)] + (common if k % 2 else [])
+        texts.append(" ".join(words))
+        grams = len(words) - 4
+        cut = rng.choice([grams // 4 - 1, grams // 4, grams // 4 + 1, grams // 7])  # one text is part of the other: similarity 1 - cut / grams
+        texts.append(" ".join(words[max(0, cut) :] if k % 3 else words[: len(words) - max(0, cut)]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(documents(texts)).collect()}
+    want = classes(texts)
+    assert got == want and 20 < len(texts) - len({c for _, c in want.values()}) < 60
+
+
+def test_jaccard_one_id_with_several_texts_and_repeated_rows(documents, spark, folder):
+    a, b, c = ("alpha beta gamma delta eps zeta", "one two three four five six", "red green blue cyan pink grey")
+    docs = documents([(3, a), (3, b), (7, b), (5, a), (5, a), (9, c), (8, c), (8, b), (11, "x y")])
+    got = Counter((r.doc_id, r.component_id) for r in J.op8_jaccard_join(spark, folder(documents=docs)).collect())
+    assert got == {(3, 3): 2, (7, 3): 1, (5, 3): 2, (9, 3): 1, (8, 3): 2, (11, 11): 1}
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == sorted([(3, a), (3, b), (11, "x y")])
+    assert J.op8_jaccard_join(spark, folder(documents=docs.limit(0))).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
