@@ -122,13 +122,16 @@ def _may_link(x: str, y: str):
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that do link, by exact comparison of the sets of their texts."""
+    """The pairs (a, b) that do link, by exact comparison of the sets of their texts; a written table."""
     ids = S.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = S.by_id(docs, ids, "left_semi").mapInArrow(_set_batches, "doc_id long, grams array<long>")
-    sets = S.staged(sets, "sets").distinct()
+    written = S.staged(sets, "sets")
+    sets = written.distinct()
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long").distinct()
+    links = S.staged(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long").distinct(), "links")
+    S.forget(written, ids)
+    return links
 
 
 def _distinct_tiles(entries: DataFrame) -> DataFrame:
@@ -150,22 +153,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label = S.staged(nodes.select("id", F.col("id").alias("comp")), "labels")
     while True:
         near = edges.join(label, edges.a == label.id).groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("near"))
-        met = label.join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("met"))
+        met = label.select("id", "comp").join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("met"))
         up = label.select(F.col("id").alias("met"), F.col("comp").alias("up"))
         new = S.staged(met.join(up, "met", "left").select("id", F.col("comp").alias("old"), F.least("met", F.coalesce("up", "met")).alias("comp")), "labels")
+        S.forget(label)
         if new.where("comp < old").isEmpty():
+            S.forget(edges)
             return new.select("id", "comp")
-        label = new.select("id", "comp")
+        label = new
 
 
 def _stars(first: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document and the smallest or largest id of a tile of its STAR smallest hashes."""
+    """Pairs (a, b) of a document and the smallest or largest id of a tile of its STAR smallest hashes; a written table."""
     entries = S.staged(first.select("doc_id", F.explode(F.slice("sketch", 1, STAR)).alias("gram")).distinct(), "entries")
     tiles = _distinct_tiles(entries)
     ends = tiles.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     ends = tiles.join(ends, "gram").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
     pairs = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
-    return _allowed(pairs, facts)
+    out = S.staged(_allowed(pairs, facts), "stars")
+    S.forget(entries, tiles)
+    return out
 
 
 def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -173,44 +180,54 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share an index shingle and may link."""
-    named = first.join(label.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    entries = named.select("doc_id", "fp0", "comp", "n", F.explode("sketch").alias("gram"))
-    mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("gram", "df")
-    mixed = S.staged(mixed, "mixed")
+    """Pairs (a, b) of different components that share an index shingle and may link. A document with several texts has
+    the sketches of all, and sets as few shingles aside as the text that sets aside the fewest."""
+    comp = label.select(F.col("id").alias("doc_id"), "comp")
+    named = first.select("doc_id", "sketch").join(comp, "doc_id", "left").select(F.coalesce("comp", "doc_id").alias("comp"), F.explode("sketch").alias("gram"))
+    mixed = S.staged(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram"), "mixed")
+    entries = first.select("doc_id", F.explode("sketch").alias("gram"))
     small = mixed.count() <= S.BROADCAST_IDS
-    of_set = entries.join(F.broadcast(mixed) if small else mixed, "gram").groupBy("doc_id", "fp0", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
-    # the sketch may hold shingles that are in no other component; they are no tiles, whatever their place
-    free = F.size("found") - F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)) + 1
-    indexed = of_set.where(free > 0).select("doc_id", "comp", F.transform(F.slice("found", F.lit(1), free.cast("int")), lambda x: x["gram"]).alias("tiles"))
-    rest = S.staged(indexed, "indexed").join(facts, "doc_id").select("doc_id", "comp", "m", "tiles", F.explode("tiles").alias("gram"))
+    held = S.staged(entries.join(F.broadcast(mixed) if small else mixed, "gram", "left_semi").distinct(), "held")
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    of_doc = held.join(df, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
+    aside = first.groupBy("doc_id").agg(F.least(F.lit(SHARED), F.ceil(F.min("n") * PERCENT / 100)).alias("t"))
+    free = F.size("found") - F.col("t") + 1
+    indexed = of_doc.join(aside, "doc_id").where(free > 0)
+    indexed = indexed.select("doc_id", F.transform(F.slice("found", F.lit(1), free.cast("int")), lambda x: x["gram"]).alias("tiles"))
+    indexed = S.staged(indexed.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "indexed")
+    rest = indexed.join(facts, "doc_id").select("doc_id", "comp", "m", "tiles", F.explode("tiles").alias("gram"))
     x, y = rest.alias("x"), rest.alias("y")
     # a pair counts in the first tile alone of those that both are in
     once = F.array_min(F.array_intersect("x.tiles", "y.tiles")) == F.col("x.gram")
     cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m") & once)
-    return cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    out = S.staged(cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "cross")
+    S.forget(mixed, held, indexed)
+    return out
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reached by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = S.staged(docs.mapInArrow(_sketch_batches, _SKETCHED), "sketches")
+    sketches = S.staged(docs.mapInArrow(_sketch_batches, _SKETCHED), "sketches")
     key = ["fp0", "fp1", "n"]
+    sketched = S.staged(sketches.select("doc_id", *key), "keys")
     some = sketched.where("n > 0 and doc_id is not null")
     classes = S.staged(some.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
-    first = S.staged(some.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]), "first")
+    leads = classes.withColumnRenamed("class_id", "doc_id")
+    first = S.staged(sketches.join(leads, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]), "first")
+    S.forget(sketches)
     facts = first.select("doc_id", F.struct("n", *_SIG).alias("m"))
     # classes that have a document in common, as it has several texts
     several = S.staged(some.groupBy("doc_id").agg(F.min("fp0").alias("lo"), F.max("fp0").alias("hi")).where("lo < hi").select("doc_id"), "several")
     of_doc = S.by_id(some, several, "left_semi").join(classes, key).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("all"))
     same = S.staged(of_doc.select("a", F.explode("all").alias("b")).where("a < b").distinct(), "same")
 
-    star_pairs = S.staged(_stars(first, facts), "stars")
+    star_pairs = _stars(first, facts)
     links = S.staged(_linked(star_pairs, docs).unionByName(same), "links")
-    nodes = S.staged(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    label = components(nodes, links)
+    label = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
 
     pairs = S.staged(_crossing(first, label, facts).join(star_pairs, ["a", "b"], "left_anti"), "cross")
+    S.forget(first)
     if not pairs.isEmpty():
         links = S.staged(links.unionByName(_linked(pairs, docs)), "links")
         label = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
