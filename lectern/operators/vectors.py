@@ -50,6 +50,17 @@ def log_mean_exp(found: DataFrame, unit: str) -> DataFrame:
     return sums.select(unit, "keyword", (TAU * (F.col("top") + F.log("s") - F.log("n"))).alias("score"))
 
 
+def unavailable(units: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """units x keywords without an available prototype: no score, available false. Keywords go to every task."""
+    rest = prototypes.where("not available").select("keyword")
+    return units.crossJoin(F.broadcast(rest)).select(*units.columns, "keyword", F.lit(None).cast("double").alias("score"), F.lit(False).alias("available"))
+
+
+def exported(scores: DataFrame, sentinel: float = -1e9) -> DataFrame:
+    """Scores with a finite sentinel in place of none, as exports have it."""
+    return scores.withColumn("score", F.coalesce("score", F.lit(sentinel)))
+
+
 def balanced_mean(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
     """Mean within the last level, then within the one before, and so on; one row."""
     for i in range(len(levels), 0, -1):
@@ -83,6 +94,17 @@ def info_nce(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return queries.drop("vector").join(kept, "id")
 
 
+def scalar_mix(layers: Column, weights: tuple[float, ...]) -> Column:
+    """The layers' sum by the softmax of the weights: layers is an array of equally long vectors."""
+    w = np.exp(np.array(weights) - max(weights))
+    w = w / w.sum()
+    scaled = [F.transform(F.get(layers, F.lit(k)), lambda x, a=float(a): x * a) for k, a in enumerate(w)]
+    out = scaled[0]
+    for more in scaled[1:]:
+        out = F.zip_with(out, more, lambda x, y: x + y)
+    return out
+
+
 def project(df: DataFrame, vector: str, weights: np.ndarray, names: list[str]) -> DataFrame:
     """LayerNorm and linear map by given weights (dimensions x outputs), in Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
@@ -134,6 +156,46 @@ def plans(costs: DataFrame, sample: str, epsilon: float = 0.05, rounds: int = 50
     return costs.groupBy(sample).applyInPandas(solve, f"{sample} long, t long, j long, mass double, cost double")
 
 
+def align(states: DataFrame, words: DataFrame, sample: str, epsilon: float = 0.05, rounds: int = 50) -> DataFrame:
+    """sample, j, mean_cost, pooled: cost, plan and pooling in one pass over each sample, which holds a bounded number of
+    states and words (both sides of a sample meet in one pandas group)."""
+    kind = "array<double>"
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({sample: [], "j": [], "mean_cost": [], "pooled": []})
+        right = right.sort_values("j")
+        x, y = np.array(left["vector"].tolist(), float), np.array(right["w"].tolist(), float)
+        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), C.EPS)
+        cost = 1 - np.clip(unit(x) @ unit(y).T, -1, 1)
+        plan = sinkhorn(cost, epsilon, rounds)
+        share = plan / plan.sum(0)
+        return pd.DataFrame({sample: right[sample], "j": right["j"], "mean_cost": (share * cost).sum(0), "pooled": list(share.T @ x)})
+
+    own = words.select(F.col(sample).cast("long").alias(sample), F.col("id").alias("j"), F.col("vector").alias("w"))
+    return states.select(F.col(sample).cast("long").alias(sample), "vector").groupBy(sample).cogroup(own.groupBy(sample)).applyInPandas(solve, f"{sample} long, j long, mean_cost double, pooled {kind}")
+
+
+def weighted_total(terms: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """One row: the sum of the terms (one-row tables with value) by their weights. Terms of weight 0 are not worked out."""
+    used = [terms[k].select((F.col("value") * w).alias("value")) for k, w in weights.items() if w]
+    if not used:
+        raise ValueError("no term has a weight")
+    rows = used[0]
+    for more in used[1:]:
+        rows = rows.unionByName(more)
+    missing = F.count("*") != F.count("value")  # a term without a value makes no total
+    return rows.agg(F.when(~missing, F.sum("value")).alias("weighted_total"))
+
+
+def compare_stores(a: DataFrame, b: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """One row: keys of a that b lacks, keys of b that a lacks, and rows that differ in each attribute, nulls equal to nulls."""
+    both = a.select(F.col(key).alias("a_key"), F.struct(*names).alias("x")).join(b.select(F.col(key).alias("b_key"), F.struct(*names).alias("y")), F.col("a_key") == F.col("b_key"), "full_outer")
+    here = F.col("a_key").isNotNull() & F.col("b_key").isNotNull()
+    changed = [F.count_if(here & ~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))).alias(f"changed_{c}") for c in names]
+    return both.agg(F.count_if(F.col("b_key").isNull()).alias("missing"), F.count_if(F.col("a_key").isNull()).alias("unknown"), *changed)
+
+
 def plan_report(plan: DataFrame, sample: str) -> DataFrame:
     """Transport cost, entropy, mass and the largest errors of the marginals of each sample."""
     p = F.col("mass")

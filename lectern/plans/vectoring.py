@@ -1,4 +1,5 @@
-"""Vectors: embeddings are word vectors or states; sentence = vec_id / 2, group = vec_id % 25, sample = vec_id % 10."""
+"""Vectors: embeddings are word vectors or states; sentence = vec_id / 2, group = vec_id % 25. Samples and batches are
+runs of 64 ids, so their number grows with the table and their size does not."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import common as C
 from lectern.operators import vectors as V
 
-from .base import query, table
+from .base import SQL, query, table
 
 E_SQL = """e0 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 ), e AS (SELECT vec_id, label, v, list_transform(v, lambda x: x / n) AS u, n FROM (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-8) AS n FROM e0))"""
@@ -17,7 +18,10 @@ PROTO_SQL = E_SQL + """, d AS (SELECT label AS keyword, vec_id // 2 AS sentence,
 ), d1 AS (SELECT keyword, grp, sentence, dim, avg(x) AS x FROM d GROUP BY ALL), d2 AS (SELECT keyword, grp, dim, avg(x) AS x FROM d1 GROUP BY ALL), d3 AS (SELECT keyword, dim, avg(x) AS x FROM d2 GROUP BY ALL
 ), df AS (SELECT label AS keyword, count(DISTINCT vec_id % 25) AS group_df, count(DISTINCT vec_id // 2) AS sentence_df, count(DISTINCT vec_id % 25) >= 19 AS available FROM e WHERE (vec_id % 25) % 5 > 0 GROUP BY label
 ), pr AS (SELECT keyword, group_df, sentence_df, available, CASE WHEN available THEN list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8)) ELSE list_transform(v, lambda x: 0.0) END AS p FROM (SELECT keyword, list(x ORDER BY dim) AS v FROM d3 GROUP BY keyword) JOIN df USING (keyword))"""
-COS_SQL = PROTO_SQL + ", c AS (SELECT vec_id, vec_id % 10 AS sample, label, keyword, list_dot_product(u, p) AS cos, list_dot_product(u, p) / 0.07 AS z FROM e CROSS JOIN pr WHERE available)"
+COS_SQL = PROTO_SQL + ", c AS (SELECT vec_id, vec_id // 64 AS sample, label, keyword, list_dot_product(u, p) AS cos, list_dot_product(u, p) / 0.07 AS z FROM e CROSS JOIN pr WHERE available)"
+
+
+SAMPLE = F.floor(F.col("id") / 64)
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +60,12 @@ def prototype_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {COS_SQL} SELECT sample, keyword, round(0.07 * (max(top) + ln(sum(exp(z - top))) - ln(count(*))), 6) AS score FROM (SELECT *, max(z) OVER (PARTITION BY sample, keyword) AS top FROM c) GROUP BY sample, keyword")
+@query(f"WITH {COS_SQL} SELECT sample, keyword, round(0.07 * (max(top) + ln(sum(exp(z - top))) - ln(count(*))), 6) AS score, true AS available FROM (SELECT *, max(z) OVER (PARTITION BY sample, keyword) AS top FROM c) GROUP BY sample, keyword UNION ALL SELECT DISTINCT vec_id // 64, keyword, NULL, false FROM e CROSS JOIN pr WHERE NOT available")
 def logmeanexp_score(spark: SparkSession, d: str) -> DataFrame:
-    states = embeddings(spark, d).withColumn("sample", F.col("id") % 10).drop("keyword")
-    found = V.cosines(states, prototypes(spark, d))
-    return V.log_mean_exp(found, "sample").select("sample", "keyword", F.round("score", 6).alias("score"))
+    states = embeddings(spark, d).withColumn("sample", SAMPLE).drop("keyword")
+    known = prototypes(spark, d)
+    scored = V.log_mean_exp(V.cosines(states, known), "sample").select("sample", "keyword", F.round("score", 6).alias("score"), F.lit(True).alias("available"))
+    return scored.unionByName(V.unavailable(states.select("sample").distinct(), known))
 
 
 @query(f"WITH {COS_SQL}, best AS (SELECT vec_id, label, arg_max(keyword, (round(cos, 9), -keyword)) AS pred FROM c GROUP BY vec_id, label) SELECT label, count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM best GROUP BY label")
@@ -73,14 +78,14 @@ def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {COS_SQL}, l AS (SELECT vec_id, sample, max(top) + ln(sum(exp(z - top))) - max(z) FILTER (keyword = label) AS loss FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM c) GROUP BY vec_id, sample), s AS (SELECT sample, avg(loss) AS loss, count(loss) AS n FROM l WHERE loss IS NOT NULL GROUP BY sample) SELECT round(avg(loss), 6) AS loss, CAST(sum(n) AS BIGINT) AS n_words, (SELECT count(*) FROM e) - CAST(sum(n) AS BIGINT) AS n_ignored FROM s")
 def prototype_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
-    states = embeddings(spark, d).withColumnRenamed("keyword", "label").withColumn("sample", F.col("id") % 10)
+    states = embeddings(spark, d).withColumnRenamed("keyword", "label").withColumn("sample", SAMPLE)
     each = V.cross_entropy(V.cosines(states, prototypes(spark, d)), "id", "label")
     by_sample = each.groupBy("sample").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
     total = states.agg(F.count("*").alias("all"))
     return by_sample.agg(F.round(F.avg("loss"), 6).alias("loss"), F.sum("n").alias("n_words")).crossJoin(total).select("loss", "n_words", (F.col("all") - F.col("n_words")).alias("n_ignored"))
 
 
-_NCE_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id % 5 AS batch, vec_id // 6 AS context, (vec_id // 6) % 7 AS surface, vec_id % 10 AS sample, vec_id % 25 AS grp, vec_id % 3 = 0 AS word, u FROM e
+_NCE_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id // 64 AS batch, vec_id // 6 AS context, (vec_id // 6) % 7 AS surface, vec_id // 64 AS sample, vec_id % 25 AS grp, vec_id % 3 = 0 AS word, u FROM e
 ), p AS (SELECT a.vec_id, a.sample, a.grp, a.word, a.context = b.context AS pos, list_dot_product(a.u, b.u) / 0.07 AS z FROM s a JOIN s b ON a.batch = b.batch AND a.word <> b.word WHERE a.context = b.context OR a.surface <> b.surface
 ), l AS (SELECT vec_id, sample, grp, word, ln(sum(exp(z - top))) - ln(sum(exp(z - top)) FILTER (pos)) AS loss FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM p) GROUP BY ALL HAVING count(*) FILTER (pos) > 0 AND count(*) FILTER (NOT pos) > 0
 ), et AS (SELECT avg(x) AS v, (SELECT count(*) FROM l WHERE word) AS n FROM (SELECT sample, avg(loss) AS x FROM l WHERE word GROUP BY sample)
@@ -90,7 +95,7 @@ _NCE_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id % 5 AS batch, vec_id // 6 AS
 def _nce(spark: SparkSession, d: str) -> DataFrame:
     s = embeddings(spark, d).drop("keyword")
     i = F.col("id")
-    s = s.select("id", "vector", (i % 5).alias("batch"), F.floor(i / 6).alias("context"), (F.floor(i / 6) % 7).alias("surface"), (i % 10).alias("sample"), (i % 25).alias("grp"))
+    s = s.select("id", "vector", SAMPLE.alias("batch"), F.floor(i / 6).alias("context"), (F.floor(i / 6) % 7).alias("surface"), SAMPLE.alias("sample"), (i % 25).alias("grp"))
     words, states = s.where(i % 3 == 0), s.where(i % 3 != 0)
     a, b = V.info_nce(words, states), V.info_nce(states, words)
     one = V.balanced_mean(a, ["sample"], "loss").withColumnRenamed("loss", "e").crossJoin(a.agg(F.count("*").alias("n_e")))
@@ -125,12 +130,12 @@ def affine_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- alignment -----------------------------------------------------------------------------------------------
 
-_COST_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id % 10 AS sample, vec_id % 3 = 0 AS word, u, v FROM e
+_COST_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id // 64 AS sample, vec_id % 3 = 0 AS word, u, v FROM e
 ), cost AS (SELECT a.sample, a.vec_id AS t, b.vec_id AS j, 1 - least(1.0, greatest(-1.0, list_dot_product(a.u, b.u))) AS cost FROM s a JOIN s b ON a.sample = b.sample AND NOT a.word AND b.word)"""
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = embeddings(spark, d).withColumn("sample", F.col("id") % 10)
+    s = embeddings(spark, d).withColumn("sample", SAMPLE)
     return s.where(F.col("id") % 3 != 0), s.where(F.col("id") % 3 == 0)
 
 
@@ -139,9 +144,20 @@ def cosine_cost(spark: SparkSession, d: str) -> DataFrame:
     return V.pair_costs(*_sides(spark, d), "sample").withColumn("cost", F.round("cost", 6))
 
 
-@query()
+# The same iterations by recursion: u from the rows' logsumexp, then v from the columns', 50 times.
+_PLAN_SQL = "WITH RECURSIVE " + _COST_SQL + """, k0 AS (SELECT sample, t, j, cost, -cost / 0.05 AS k, ln(count(*) OVER (PARTITION BY sample, j)) AS ln_t, ln(count(*) OVER (PARTITION BY sample, t)) AS ln_n FROM cost
+), it AS (SELECT 0 AS round, sample, t, j, cost, k, ln_t, ln_n, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v FROM k0
+  UNION ALL SELECT round + 1, sample, t, j, cost, k, ln_t, ln_n, u, -ln_n - (m + ln(sum(exp(k + u - m)) OVER (PARTITION BY sample, j))) FROM (
+    SELECT *, max(k + u) OVER (PARTITION BY sample, j) AS m FROM (
+      SELECT round, sample, t, j, cost, k, ln_t, ln_n, v, -ln_t - (m + ln(sum(exp(k + v - m)) OVER (PARTITION BY sample, t))) AS u FROM (
+        SELECT *, max(k + v) OVER (PARTITION BY sample, t) AS m FROM it WHERE round < 50)))
+), plan AS (SELECT sample, t, j, cost, exp(k + u + v) AS mass, ln_t, ln_n FROM it WHERE round = 50)"""
+
+
+@query(f"{_PLAN_SQL} SELECT sample, t, j, round(mass, 7) AS mass, round(cost, 6) AS cost FROM plan")
 def sinkhorn_plan(spark: SparkSession, d: str) -> DataFrame:
-    return V.plans(V.pair_costs(*_sides(spark, d), "sample"), "sample")
+    plan = V.plans(V.pair_costs(*_sides(spark, d), "sample"), "sample")
+    return plan.select("sample", "t", "j", F.round("mass", 7).alias("mass"), F.round("cost", 6).alias("cost"))
 
 
 @query(f"WITH {_COST_SQL} SELECT sample, t, j, round(1 / (count(DISTINCT t) OVER (PARTITION BY sample) * count(DISTINCT j) OVER (PARTITION BY sample)), 9) AS mass FROM cost")
@@ -150,47 +166,85 @@ def sinkhorn_equal_cost(spark: SparkSession, d: str) -> DataFrame:
     return V.plans(equal, "sample").select("sample", "t", "j", F.round("mass", 9).alias("mass"))
 
 
-@query(f"WITH {_COST_SQL}, x AS (SELECT vec_id, sample, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word), pl AS (SELECT sample, t, j, 1 + (t * 7 + j * 3) % 5 AS mass FROM cost) SELECT pl.sample, j, dim, round(sum(mass * x) / sum(mass), 6) AS value FROM pl JOIN x ON pl.t = x.vec_id GROUP BY pl.sample, j, dim")
+@query(f"{_PLAN_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word) SELECT plan.sample, j, dim, round(sum(mass * x) / sum(mass), 5) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim")
 def transport_pool(spark: SparkSession, d: str) -> DataFrame:
-    """States pooled by a given plan."""
+    """States pooled for each word by the solver's plan."""
     states, words = _sides(spark, d)
-    plan = V.pair_costs(states, words, "sample").withColumn("mass", 1 + (F.col("t") * 7 + F.col("j") * 3) % 5)
-    return V.pool(plan, states, "sample").select("sample", "j", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    plan = V.plans(V.pair_costs(states, words, "sample"), "sample")
+    return V.pool(plan, states, "sample").select("sample", "j", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
 
 
-@query()
-def alignment_report(spark: SparkSession, d: str) -> DataFrame:
-    """Cost, entropy and marginal errors of each sample, the total of the three metrics, and whether the plan is sound."""
-    plan = V.plans(V.pair_costs(*_sides(spark, d), "sample"), "sample")
-    report = V.plan_report(plan, "sample")
-    total = prototype_cross_entropy(spark, d).select(F.col("loss").alias("ce")).crossJoin(infonce(spark, d).select(F.col("loss").alias("nce")))
-    mean = report.agg(F.avg("transport_cost").alias("ot"))
-    weighted = mean.crossJoin(total).select((1.0 * F.col("ot") + 1.0 * F.col("nce") + 0.5 * F.col("ce")).alias("weighted_total"))
+@query(f"{_PLAN_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word), pool AS (SELECT plan.sample, j, dim, sum(mass * x) / sum(mass) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim) SELECT sample, j, round(sum(mass * cost) * any_value(exp(ln_n)), 6) AS mean_cost, (SELECT round(sum(value), 4) FROM pool WHERE pool.sample = plan.sample AND pool.j = plan.j) AS total FROM plan GROUP BY sample, j")
+def align_once(spark: SparkSession, d: str) -> DataFrame:
+    """Cost, plan and pooled vector of each word in one pass over its sample."""
+    states, words = _sides(spark, d)
+    total = F.aggregate("pooled", F.lit(0.0), lambda s, x: s + x)
+    return V.align(states, words, "sample").select("sample", "j", F.round("mean_cost", 6).alias("mean_cost"), F.round(total, 4).alias("total"))
+
+
+_REPORT_SQL = _PLAN_SQL + """, tot AS (SELECT sample, sum(mass * cost) AS transport_cost, -sum(mass * ln(mass)) FILTER (mass > 0) AS entropy, sum(mass) AS mass, count(DISTINCT t) AS n_t, count(DISTINCT j) AS n_j FROM plan GROUP BY sample
+), re AS (SELECT sample, max(abs(m - 1 / n_t)) AS row_error FROM (SELECT sample, t, sum(mass) AS m FROM plan GROUP BY sample, t) JOIN tot2 USING (sample) GROUP BY sample)""".replace("tot2", "(SELECT sample, n_t FROM tot)")
+
+
+@query(f"{_REPORT_SQL} SELECT sample, round(transport_cost, 6) AS transport_cost, round(entropy, 5) AS entropy, round(mass, 6) AS mass, n_t, n_j, round(row_error, 6) AS row_error, row_error <= 1e-3 AND abs(mass - 1) <= 1e-3 AS sound FROM tot JOIN re USING (sample)")
+def plan_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Cost, entropy, mass and row error of each sample's plan, and whether it is sound."""
+    report = V.plan_report(V.plans(V.pair_costs(*_sides(spark, d), "sample"), "sample"), "sample")
     sound = (F.abs(F.col("mass") - 1) <= 1e-3) & (F.col("row_error") <= 1e-3) & (F.col("column_error") <= 1e-3)
-    return report.withColumn("sound", sound).crossJoin(F.broadcast(weighted))
+    said = [F.round(c, n).alias(c) for c, n in (("transport_cost", 6), ("entropy", 5), ("mass", 6))]
+    return report.select("sample", *said, "n_t", "n_j", F.round("row_error", 6).alias("row_error"), sound.alias("sound"))
+
+
+@query(f"SELECT round((SELECT avg(transport_cost) FROM ({_REPORT_SQL} SELECT transport_cost FROM tot)) + (SELECT loss FROM ({SQL['infonce']})) + 0.5 * (SELECT loss FROM ({SQL['prototype_cross_entropy']})), 4) AS weighted_total")
+def alignment_report(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted total of the three metrics: transport cost, contrastive loss, cross entropy."""
+    report = V.plan_report(V.plans(V.pair_costs(*_sides(spark, d), "sample"), "sample"), "sample")
+    terms = {
+        "transport": report.agg(F.avg("transport_cost").alias("value")), "contrast": infonce(spark, d).select(F.col("loss").alias("value")),
+        "prototype": prototype_cross_entropy(spark, d).select(F.col("loss").alias("value")),
+    }
+    return V.weighted_total(terms, {"transport": 1.0, "contrast": 1.0, "prototype": 0.5}).select(F.round("weighted_total", 4).alias("weighted_total"))
+
+
+#: Scalar mix of the fixture: weights of the layers before the softmax.
+MIX = (0.2, -0.1, 0.4)
+
+
+@query(f"WITH {E_SQL}, w AS (SELECT list_transform({list(MIX)}, lambda x: exp(x) / {float(sum(np.exp(MIX)))!r}) AS w) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: w[1] * v[i] + w[2] * v[65 - i] + w[3] * u[i])), 5) AS total, round(w[1] * v[1] + w[2] * v[64] + w[3] * u[1], 6) AS head FROM e, w")
+def mix_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Three layers (the vector, its reverse, its unit vector) mixed by softmax weights."""
+    v = F.col("vector")
+    rows = embeddings(spark, d).select("id", F.array(v, F.reverse(v), C.unit(v)).alias("layers"))
+    out = rows.select(F.col("id").alias("vec_id"), V.scalar_mix(F.col("layers"), MIX).alias("y"))
+    return out.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.get("y", F.lit(0)), 6).alias("head"))
 
 
 # ---- stores --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n, count(*) FILTER ((vec_id % 7) * 1e-5 > 5.5e-5) AS beyond, round(max((vec_id % 7) * 1e-5), 6) AS largest FROM embeddings")
+@query(f"WITH {E_SQL}, x AS (SELECT list_max(list_transform(v, lambda x: abs(x - round(x, 3)))) AS e FROM e) SELECT count(*) AS n, count(*) FILTER (e > 4.9e-4) AS beyond, round(max(e), 6) AS largest FROM x")
 def vector_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs' vectors, joined by id: the largest absolute difference, and rows beyond the tolerance."""
+    """Stored vectors and the same with three decimals, joined by id: largest absolute difference, and rows beyond a tolerance."""
     a = embeddings(spark, d).select("id", "vector")
-    b = a.select("id", F.transform("vector", lambda x: x + (F.col("id") % 7) * 1e-5).alias("other"))
+    b = a.select("id", F.transform("vector", lambda x: F.round(x, 3)).alias("other"))
     each = a.join(b, "id").select(V.largest_difference(F.col("vector"), F.col("other")).alias("e"))
-    return each.agg(F.count("*").alias("n"), F.count_if(F.col("e") > 5.5e-5).alias("beyond"), F.round(F.max("e"), 6).alias("largest"))
+    return each.agg(F.count("*").alias("n"), F.count_if(F.col("e") > 4.9e-4).alias("beyond"), F.round(F.max("e"), 6).alias("largest"))
+
+
+_STORE_SQL = "SELECT count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) AS unknown, " + ", ".join(f"count(*) FILTER (l.doc_id IS NOT NULL AND d.{c} IS DISTINCT FROM l.{c}) AS changed_{c}" for c in ("lang", "source", "n_chars", "text", "n_words"))
 
 
-@query("WITH b AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN label + 1 ELSE label END AS label FROM embeddings WHERE vec_id % 101 <> 0) SELECT count(*) FILTER (b.vec_id IS NULL) AS missing, count(*) FILTER (b.vec_id IS NOT NULL AND a.label IS DISTINCT FROM b.label) AS changed, count(*) AS n FROM embeddings a FULL JOIN b ON a.vec_id = b.vec_id")
+@query(_STORE_SQL + """ FROM (SELECT doc_id, lang, source, n_chars, text, len(regexp_split_to_array(text, ' ')) AS n_words FROM documents) d FULL JOIN (
+  SELECT l.doc_id, d.lang, CASE WHEN quality = 0 THEN NULL ELSE source END AS source, length(text) AS n_chars, regexp_replace(text, '[ \\n\\t]+', ' ', 'g') AS text, len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> '')) AS n_words FROM labels l JOIN documents d ON l.doc_id = d.doc_id) l ON d.doc_id = l.doc_id""")
 def store_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Two stores compared on id and attributes, nulls equal to nulls."""
-    a = embeddings(spark, d).select("id", "keyword")
-    changed = F.when(F.col("id") % 50 == 0, F.col("keyword") + 1).otherwise(F.col("keyword"))
-    b = a.where(F.col("id") % 101 != 0).select(F.col("id").alias("b_id"), changed.alias("b_keyword"))
-    both = a.join(b, a.id == b.b_id, "full_outer")
-    differ = F.col("b_id").isNotNull() & ~F.col("keyword").eqNullSafe(F.col("b_keyword"))
-    return both.agg(F.count_if(F.col("b_id").isNull()).alias("missing"), F.count_if(differ).alias("changed"), F.count("*").alias("n"))
+    """Two stores of documents compared on id and five attributes, nulls equal to nulls: all documents, and those that
+    labels mark, with texts of single spaces, words counted otherwise, and no source where the quality is 0."""
+    docs, names = table(spark, d, "documents"), ("lang", "source", "n_chars", "text", "n_words")
+    a = docs.select("doc_id", "lang", "source", "n_chars", "text", F.size(F.split("text", " ")).alias("n_words"))
+    marked = docs.join(table(spark, d, "labels"), "doc_id")
+    source = F.when(F.col("quality") == 0, None).otherwise(F.col("source")).alias("source")
+    b = marked.select("doc_id", "lang", source, F.length("text").alias("n_chars"), F.regexp_replace("text", r"[ \n\t]+", " ").alias("text"), F.size(C.words(F.col("text"))).alias("n_words"))
+    return V.compare_stores(a, b, "doc_id", names)
 
 
 # ---- ragged batches of conversations -------------------------------------------------------------------------
