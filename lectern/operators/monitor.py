@@ -23,7 +23,10 @@ def _step(s: Column, x: Column, min_delta: float, patience: int) -> Column:
 
 
 def monitor(log: DataFrame, min_delta: float, patience: int) -> DataFrame:
-    """run and its state after all epochs; log: run, epoch, value. A run's epochs are one array."""
+    """run and its state after all epochs; log: run, epoch, value. A value that is missing or not a number is an error, as in
+    the stream. A run's epochs are one array."""
+    bad = F.raise_error(F.concat_ws(" ", F.lit("run"), F.col("run").cast("string"), F.lit("epoch"), F.col("epoch").cast("string"), F.lit("is not a number"))).cast("double")
+    log = log.withColumn("value", F.when(F.col("value").isNull() | F.isnan("value"), bad).otherwise(F.col("value")))
     runs = log.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "value"))).alias("x"))
     start = F.from_json(F.lit('{"bad": 0}'), STATE)
     return runs.select("run", F.aggregate("x", start, lambda s, x: _step(s, x, min_delta, patience)).alias("s")).select("run", "s.*")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.common import dense_index
+
 #: Weights of the fold objective: label occurrences, label groups, size.
 OCCURRENCE, GROUP, SIZE = 0.1, 0.9, 0.25
 #: Thresholds of document frequency in (train, validation, test).
@@ -31,47 +33,58 @@ def rarity(labels: DataFrame) -> DataFrame:
 def deal(groups: DataFrame, labels: DataFrame, k: int, inner: int) -> DataFrame:
     """group_id, fold, inner_fold: groups of each rarest label are dealt in turn, rare and large ones first.
 
-    The deal within a label is a window; a label that holds very many groups makes a large window, which spills."""
+    Places are numbered by ranges of (label, rarity, size, group), so a label that holds very many groups is no one task's."""
     totals = label_totals(labels)
     each = labels.select("group_id", "label").distinct().join(totals, "label")
     rare = each.groupBy("group_id").agg(F.min(F.struct("group_total", "label"))["label"].alias("label"))
     rank = Window.orderBy("label")  # over distinct labels only
     ranked = rare.select("label").distinct().withColumn("label_rank", F.row_number().over(rank) - 1)
-    order = Window.partitionBy("label").orderBy(F.desc("rarity"), F.desc("size"), "group_id")
-    dealt = rare.join(ranked, "label").join(rarity(labels), "group_id").join(groups, "group_id").withColumn("at", F.row_number().over(order) - 1)
+    dealt = rare.join(F.broadcast(ranked), "label").join(rarity(labels), "group_id").join(groups, "group_id")
+    dealt = dealt.withColumn("down", -F.col("rarity")).withColumn("less", -F.col("size"))
+    placed = dense_index(dealt, ["label_rank", "down", "less", "group_id"], "place")
+    first = placed.groupBy("label_rank").agg(F.min("place").alias("first"))
+    placed = placed.join(F.broadcast(first), "label_rank").withColumn("at", F.col("place") - F.col("first"))
+    dealt = placed.withColumn("rarity", -F.col("down")).withColumn("size", -F.col("less"))
     fold = (F.col("at") + F.col("label_rank")) % k
     inner_fold = (F.floor(F.col("at") / k) + F.col("label_rank")) % inner
     return dealt.select("group_id", "rarity", "size", fold.cast("int").alias("fold"), inner_fold.cast("int").alias("inner_fold"))
 
 
+def role_arrays(members: DataFrame, dealt: DataFrame, k: int, inner: int) -> DataFrame:
+    """members with roles, their role in each of k outer folds: test in their own fold, validation by the inner fold, else train."""
+    one = lambda i: F.when(F.col("fold") == i, "test").when(F.col("inner_fold") == i % inner, "validation").otherwise("train")
+    return members.join(dealt.select("group_id", "fold", "inner_fold"), "group_id").withColumn("roles", F.array(*[one(i) for i in range(k)])).drop("fold", "inner_fold")
+
+
 def nested_roles(members: DataFrame, dealt: DataFrame, k: int, inner: int) -> DataFrame:
-    """members x k outer folds with role: test in their own fold, validation by the inner fold, else train."""
-    rows = members.join(dealt.select("group_id", "fold", "inner_fold"), "group_id").withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    role = F.when(F.col("fold") == F.col("outer_fold"), "test").when(F.col("inner_fold") == F.col("outer_fold") % inner, "validation").otherwise("train")
-    return rows.withColumn("role", role).drop("fold", "inner_fold")
+    """members x k outer folds with role."""
+    rows = role_arrays(members, dealt, k, inner)
+    return rows.select(*[c for c in rows.columns if c != "roles"], F.posexplode("roles").alias("outer_fold", "role"))
 
 
-def df_by_role(folds: DataFrame, words: DataFrame) -> DataFrame:
-    """Sentence and group document frequency of each word in each fold and role.
+def df_by_role(members: DataFrame, words: DataFrame, k: int, least: int) -> DataFrame:
+    """outer_fold, keyword, df and the sentence and group document frequency of each word in each role, zeros included,
+    for words of at least so many sentences.
 
-    A (sentence, word) row counts once; group counts are of distinct groups."""
-    rows = folds.join(words, "doc_id")
-    named = lambda what: [F.count_if(F.col("role") == r).alias(f"{r}_{what}") for r in ("train", "validation", "test")]
-    by_doc = rows.select("outer_fold", "keyword", "role", "doc_id").distinct().groupBy("outer_fold", "keyword").agg(*named("df"))
-    by_group = rows.select("outer_fold", "keyword", "role", "group_id").distinct().groupBy("outer_fold", "keyword").agg(*named("group_df"))
-    return by_doc.join(by_group, ["outer_fold", "keyword"])
+    members: doc_id (unique), group_id, roles (one for each fold, the same in all of a group); words: a row for each doc_id
+    and word. Words are counted by group first, then all folds and roles in one aggregate, so nothing is multiplied by folds."""
+    by_group = words.join(members, "doc_id").groupBy("keyword", "group_id").agg(F.count("*").alias("n"), F.min("roles").alias("roles"))
+    names = ("train", "validation", "test")
+    at = lambda i, r: F.get("roles", F.lit(i)) == r
+    counts = [c for i in range(k) for r in names for c in (F.sum(F.when(at(i, r), F.col("n")).otherwise(0)).alias(f"n_{i}_{r}"), F.count_if(at(i, r)).alias(f"g_{i}_{r}"))]
+    flat = by_group.groupBy("keyword").agg(F.sum("n").alias("df"), *counts).where(F.col("df") >= least)
+    row = lambda i: F.struct(F.lit(i).alias("outer_fold"), *[F.col(f"n_{i}_{r}").alias(f"{r}_df") for r in names], *[F.col(f"g_{i}_{r}").alias(f"{r}_group_df") for r in names])
+    return flat.select("keyword", "df", F.inline(F.array(*[row(i) for i in range(k)])))
 
 
-def eligibility(counts: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
-    """Every fold x keyword, zeros where a keyword does not occur, with a flag for each threshold on both counts."""
-    dense = keywords.select("keyword").withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    full = dense.join(counts, ["outer_fold", "keyword"], "left").na.fill(0)
+def eligibility(counts: DataFrame) -> DataFrame:
+    """counts (every fold x keyword, with zeros) with a flag for each threshold on both counts."""
     flags = []
     for what in ("df", "group_df"):
         for name, least in THRESHOLDS.items():
             ok = [F.col(f"{r}_{what}") >= n for r, n in zip(("train", "validation", "test"), least, strict=True)]
             flags.append((ok[0] & ok[1] & ok[2]).alias(f"eligible_{what}_{name}"))
-    return full.select("*", *flags)
+    return counts.select("*", *flags)
 
 
 def objective(assigned: DataFrame, labels: DataFrame, k: int) -> DataFrame:

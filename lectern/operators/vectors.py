@@ -94,11 +94,15 @@ def info_nce(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return queries.drop("vector").join(kept, "id")
 
 
+def _times(a: float):
+    return lambda x, _: x * a
+
+
 def scalar_mix(layers: Column, weights: tuple[float, ...]) -> Column:
     """The layers' sum by the softmax of the weights: layers is an array of equally long vectors."""
     w = np.exp(np.array(weights) - max(weights))
     w = w / w.sum()
-    scaled = [F.transform(F.get(layers, F.lit(k)), lambda x, a=float(a): x * a) for k, a in enumerate(w)]
+    scaled = [F.zip_with(F.get(layers, F.lit(k)), F.get(layers, F.lit(k)), _times(float(a))) for k, a in enumerate(w)]
     out = scaled[0]
     for more in scaled[1:]:
         out = F.zip_with(out, more, lambda x, y: x + y)

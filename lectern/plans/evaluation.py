@@ -80,9 +80,9 @@ def macro_report(spark: SparkSession, d: str) -> DataFrame:
     return E.macro(_report(spark, d), ["level", "tier"])
 
 
-@query(f"WITH {GRP_SQL}, r AS (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY score DESC, kw_idx) AS place FROM g), u AS (SELECT grp, sum(label) AS pos, sum(label) FILTER (place <= 1) AS h1, sum(label) FILTER (place <= 2) AS h2, sum(label) FILTER (place <= 3) AS h3 FROM r GROUP BY grp HAVING sum(label) > 0) SELECT count(*) AS n_units, round(avg(h1 / pos), 6) AS recall_1, round(avg(h2 / pos), 6) AS recall_2, round(avg(h3 / pos), 6) AS recall_3 FROM u")
+@query(f"WITH {GRP_SQL}, r AS (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY score DESC, kw_idx) AS place FROM g), u AS (SELECT grp, sum(label) AS pos, sum(label) FILTER (place <= 1) AS h1, sum(label) FILTER (place <= 2) AS h2, sum(label) FILTER (place <= 3) AS h3, sum(label) FILTER (place <= 5) AS h5, sum(label) FILTER (place <= 10) AS h10 FROM r GROUP BY grp HAVING sum(label) > 0) SELECT count(*) AS n_units, round(avg(h1 / pos), 6) AS recall_1, round(avg(h2 / pos), 6) AS recall_2, round(avg(h3 / pos), 6) AS recall_3, round(avg(h5 / pos), 6) AS recall_5, round(avg(h10 / pos), 6) AS recall_10 FROM u")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return E.recall_at(rollup_occurrence_group(spark, d), "grp", (1, 2, 3))
+    return E.recall_at(rollup_occurrence_group(spark, d), "grp", (1, 2, 3, 5, 10))
 
 
 _AUC_SQL = """(SELECT {k}, round(sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)), 6) AS auc FROM (SELECT {k}, score, pos, n, coalesce(sum(n - pos) OVER (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below

@@ -70,13 +70,13 @@ _DF_SQL = f"""{FOLDS_SQL}, {LEXICON_SQL}, fw AS (SELECT outer_fold, keyword, rol
 
 
 def _dfs(spark: SparkSession, d: str) -> DataFrame:
-    known = document_words(spark, d).join(lexicon(spark, d).select("keyword"), "keyword")
-    return P.df_by_role(folds(spark, d), known)
+    members = P.role_arrays(sentences(spark, d).select("doc_id", "group_id"), _deal(spark, d), K, INNER)
+    return P.df_by_role(members, document_words(spark, d), K, 50)
 
 
 @query(f"WITH {_DF_SQL} SELECT * FROM dfs")
 def df_by_role(spark: SparkSession, d: str) -> DataFrame:
-    return _dfs(spark, d)
+    return _dfs(spark, d).drop("df")
 
 
 _FLAGS_SQL = ", ".join(f"train_{w} >= {a} AND validation_{w} >= {b} AND test_{w} >= {c} AS eligible_{w}_{n}" for w in ("df", "group_df") for n, (a, b, c) in P.THRESHOLDS.items())
@@ -86,13 +86,13 @@ _ELIGIBLE_SQL = f"{_DF_SQL}, dense AS (SELECT ks.outer_fold, lex.keyword, {_DENS
 
 @query(f"WITH {_ELIGIBLE_SQL} SELECT * FROM el")
 def eligibility_flags(spark: SparkSession, d: str) -> DataFrame:
-    return P.eligibility(_dfs(spark, d), lexicon(spark, d), K)
+    return P.eligibility(_dfs(spark, d).drop("df"))
 
 
 @query(f"WITH {_ELIGIBLE_SQL}, t AS (SELECT outer_fold, keyword, eligible_group_df_1_1_1 AS a, eligible_group_df_10_3_3 AS b, eligible_group_df_20_5_5 AS c, df FROM el JOIN lex USING (keyword)), u AS (SELECT outer_fold, a, b, c, unnest(list_filter(['core', 'main', 'extended', 'master'], lambda x: x = 'master' OR x = 'extended' AND df >= 75 OR x = 'main' AND df >= 100 OR x = 'core' AND df >= 200)) AS tier FROM t) SELECT outer_fold, tier, count(*) AS n_tier, count(*) FILTER (a) AS n_1_1_1, count(*) FILTER (b) AS n_10_3_3, count(*) FILTER (c) AS n_20_5_5 FROM u GROUP BY outer_fold, tier")
 def eligibility_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Keywords of each tier (by document frequency) and how many of them are eligible, by fold."""
-    el = eligibility_flags(spark, d).join(lexicon(spark, d), "keyword")
+    el = P.eligibility(_dfs(spark, d))
     tiers = F.array_compact(F.array(*[F.when(F.col("df") >= n, F.lit(t)) for t, n in (("core", 200), ("main", 100), ("extended", 75), ("master", 0))]))
     each = el.withColumn("tier", F.explode(tiers))
     return each.groupBy("outer_fold", "tier").agg(F.count("*").alias("n_tier"), *[F.count_if(f"eligible_group_df_{n}").alias(f"n_{n}") for n in P.THRESHOLDS])
@@ -113,11 +113,10 @@ def occurrence_folds(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("role", role)
 
 
-@query(f"WITH {OCC_FOLDS_SQL} SELECT outer_fold, role, fo.occ, n_samples FROM fo JOIN vw ON fo.occ = vw.occ WHERE outer_fold = 0 AND role <> 'train'")
+@query(f"WITH {OCC_FOLDS_SQL} SELECT outer_fold, role, fo.occ, n_samples FROM fo JOIN vw ON fo.occ = vw.occ")
 def split_view_join(spark: SparkSession, d: str) -> DataFrame:
-    """Validation and test views of one fold: the filters reach the folds before the join."""
-    chosen = occurrence_folds(spark, d).where("outer_fold = 0 and role <> 'train'").select("outer_fold", "role", "occ")
-    return order_views(spark, d).join(chosen, "occ").select("outer_fold", "role", "occ", "n_samples")
+    """Views with their role in every fold."""
+    return order_views(spark, d).join(occurrence_folds(spark, d).select("outer_fold", "role", "occ"), "occ").select("outer_fold", "role", "occ", "n_samples")
 
 
 @query("SELECT o_orderkey AS occ, o_orderkey % 4 = 0 AS heading FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -154,9 +153,13 @@ def length_range(spark: SparkSession, d: str) -> DataFrame:
     return rows.rollup("outer_fold", "role").agg(F.min("n_samples").alias("shortest"), F.max("n_samples").alias("longest"))
 
 
-@query("SELECT l_orderkey AS occ, count(*) AS n_views, array_to_string(list_sort(list(CAST(l_quantity AS BIGINT))), ',') AS lengths FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS occ, count(*) AS n_views, string_agg(l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS views FROM lineitem GROUP BY l_orderkey")
 def views_by_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return order_views(spark, d).groupBy("occ").agg(F.count("*").alias("n_views"), F.array_join(F.sort_array(F.collect_list("n_samples")), ",").alias("lengths"))
+    """The views of each occurrence in order, with their attributes."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("occ"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("n")).alias("x"))
+    lists = rows.groupBy("occ").agg(F.count("*").alias("n_views"), F.array_sort(F.collect_list("x")).alias("x"))
+    said = F.transform("x", lambda x: F.concat_ws("/", x["l_linenumber"], x["l_partkey"], x["l_suppkey"], x["n"]))
+    return lists.select("occ", "n_views", F.array_join(said, ",").alias("views"))
 
 
 # ---- audits --------------------------------------------------------------------------------------------------
