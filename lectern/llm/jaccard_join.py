@@ -193,13 +193,13 @@ def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame
     aside = first.groupBy("doc_id").agg(F.least(F.lit(SHARED), F.ceil(F.min("n") * PERCENT / 100)).alias("t"))
     free = F.size("found") - F.col("t") + 1
     indexed = of_doc.join(aside, "doc_id").where(free > 0)
-    indexed = indexed.select("doc_id", F.transform(F.slice("found", F.lit(1), free.cast("int")), lambda x: x["gram"]).alias("tiles"))
+    indexed = indexed.select("doc_id", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("x")).select("doc_id", F.col("x.gram").alias("gram"))
     indexed = S.staged(indexed.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "indexed")
-    rest = indexed.join(facts, "doc_id").select("doc_id", "comp", "m", "tiles", F.explode("tiles").alias("gram"))
+    # tiles whose documents are all of one component, once hot shingles are set aside, make no pair
+    ends = indexed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+    rest = indexed.join(ends, "gram").join(facts, "doc_id").select("doc_id", "comp", "m", "gram")
     x, y = rest.alias("x"), rest.alias("y")
-    # a pair counts in the first tile alone of those that both are in
-    once = F.array_min(F.array_intersect("x.tiles", "y.tiles")) == F.col("x.gram")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m") & once)
+    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m"))
     out = S.staged(cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "cross")
     S.forget(mixed, held, indexed)
     return out
