@@ -9,18 +9,21 @@ A word that no item has, or a pair of neighbouring words that no item has, ends
 looked up by hash (numpy, whole batches), and only stretches of known words and pairs go through the automaton. Each
 word there is looked up again by its bytes, so equal hashes cannot make a hit.
 
-The items are a stated query set: they are read in blocks of at most BLOCK_WORDS words by ranges of item order, and
-each block's automaton, whose size that bounds, is broadcast and run over all documents.
+The items are a stated query set: they are read in blocks of at most BLOCK_WORDS words, and each block's automaton, whose
+size that bounds (arrays of some 10 MB), is broadcast and run over all documents, one block after the other.
 
 Defined results: null or empty text: no words, not contaminated. Items without words (or null) have no window.
 Repeated items count once for each item_id; a null item_id makes windows but is not listed. Repeated documents get
-the same result each. Empty benchmark: nothing is hit. Extra columns are ignored.
+the same result each. Empty benchmark: nothing is hit. An empty table gives an empty result. doc_id must be a whole
+number. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from . import shared as S
 
 WINDOW = 13
 LEAST_PERCENT = 5  #: of a document's words; hit words of that share or more contaminate it
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _A_Z = bytes(S.LOWER)
 
@@ -76,38 +79,39 @@ class SuffixAutomaton:
         self.link[new] = 0 if p < 0 else self._split(p, self.next[p][c], c)
         return new
 
-    def step(self, state: int, length: int, c: int) -> tuple[int, int]:
-        """Longest match after one more word."""
-        while state and c not in self.next[state]:
-            state = self.link[state]
-            length = self.length[state]
-        if c in self.next[state]:
-            return self.next[state][c], length + 1
-        return 0, 0
-
 
 class Matcher:
-    """The automaton of a block of items, with the items of each window."""
+    """The automaton of a block of items as arrays, with the items of each window.
+
+    Transitions are sorted by (state, word) in one array of keys, so a step is a binary search; an item's words cost some
+    100 bytes each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
-        self.window, self.sam, self.words = window, SuffixAutomaton(), {}
-        texts = [(i, item_words(t)) for i, t in items]
+        self.window, self.words = window, {}
+        sam, texts = SuffixAutomaton(), [(i, item_words(t)) for i, t in items]
         for _, words in texts:
             last = 0
             for w in words:
-                last = self.sam.extend(last, self.words.setdefault(w, len(self.words)))
-        #: state -> [(length, item_id)] of windows that are suffixes of the state's strings
-        self.ends: dict[int, set[tuple[int, str | None]]] = {}
-        for item, words in texts:
+                last = sam.extend(last, self.words.setdefault(w, len(self.words)))
+        self.base = max(1, len(self.words))
+        moves = sorted((s * self.base + c, t) for s, row in enumerate(sam.next) for c, t in row.items())
+        self.keys, self.to = array("q", [k for k, _ in moves]), array("q", [t for _, t in moves])
+        self.link, self.length = array("q", sam.link), array("q", sam.length)
+        # windows that are suffixes of a state's strings: their sizes and items, a run of the arrays for each state
+        found: set[tuple[int, int, int]] = set()
+        self.items = [i for i, _ in texts]
+        for n, (_, words) in enumerate(texts):
             size = min(window, len(words))
             state = length = 0
             for k, w in enumerate(words):
-                state, length = self.sam.step(state, length, self.words[w])
+                state, length = self.step(state, length, self.words[w])
                 if k + 1 >= size:
                     at = state
-                    while self.sam.length[self.sam.link[at]] >= size:
-                        at = self.sam.link[at]
-                    self.ends.setdefault(at, set()).add((size, item))
+                    while self.length[self.link[at]] >= size:
+                        at = self.link[at]
+                    found.add((at, size, n))
+        ends = sorted(found)
+        self.end_state, self.end_size, self.end_item = (array("q", [e[i] for e in ends]) for i in range(3))
         raw = b"".join(self.words)
         cut = np.cumsum([0, *map(len, self.words)])
         hashes = S.word_hashes(np.frombuffer(raw, np.uint8), cut[:-1], cut[1:]) if raw else np.zeros(0, np.uint64)
@@ -146,19 +150,31 @@ class Matcher:
         long = last - first >= self.least
         return first[long], last[long]
 
+    def step(self, state: int, length: int, c: int) -> tuple[int, int]:
+        """Longest match after one more word."""
+        while True:
+            key = state * self.base + c
+            at = bisect_left(self.keys, key)
+            if at < len(self.keys) and self.keys[at] == key:
+                return self.to[at], length + 1
+            if not state:
+                return 0, 0
+            state = self.link[state]
+            length = self.length[state]
+
     def run(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str | None]]]:
         """(start, end, items) of the windows that end at each word."""
         state = length = 0
         for k, w in enumerate(words):
             c = self.words.get(w)
-            state, length = (0, 0) if c is None else self.sam.step(state, length, c)
+            state, length = (0, 0) if c is None else self.step(state, length, c)
             at, found, size = state, set(), 0
             while at > 0:
-                for n, item in self.ends.get(at, ()):
-                    if n <= length:
-                        found.add(item)
-                        size = max(size, n)
-                at = self.sam.link[at]
+                for e in range(bisect_left(self.end_state, at), bisect_left(self.end_state, at + 1)):
+                    if self.end_size[e] <= length:
+                        found.add(self.items[self.end_item[e]])
+                        size = max(size, self.end_size[e])
+                at = self.link[at]
             if size:
                 yield k + 1 - size, k + 1, found
 
@@ -214,7 +230,16 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     contaminated, keyed by doc_id; one row for each row of docs."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [plain.mapInArrow(_hits(spark.sparkContext.broadcast(Matcher(block))), _HITS) for block in item_blocks(items)]
+    found, blocks = [], item_blocks(items)
+    block, after = next(blocks), next(blocks, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Matcher(block))
+        hits = plain.mapInArrow(_hits(shared), _HITS)
+        if found or after is not None:  # several blocks run one after the other, each written before the next is made
+            hits = S.staged(hits, "hits")
+            shared.destroy()
+        found.append(hits)
+        block, after = after, next(blocks, None)
     one = found[0]
     for more in found[1:]:
         one = one.unionByName(more)

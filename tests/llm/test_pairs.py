@@ -1,6 +1,7 @@
 """Jaccard join, decontamination and suffix dedup against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -114,6 +115,17 @@ def test_decontamination_empty_benchmark(documents, spark):
     assert D.drop_contaminated(documents(["a b", None]), none).count() == 2
 
 
+def test_decontamination_repeated_rows_empty_documents_and_size(documents, spark):
+    items = spark.createDataFrame([("a", "one two three four")], "item_id string, text string")
+    docs = documents([(1, "One two, three four five"), (1, "One two, three four five"), (1, "other"), (None, "one two three four")])
+    got = Counter((r.doc_id, r.n_hit, r.contaminated) for r in D.contamination(docs, items).collect())
+    assert got == {(1, 4, True): 2, (1, 0, False): 1, (None, 4, True): 1}
+    assert D.contamination(docs.limit(0), items).count() == 0
+    rng = random.Random(1)
+    block = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(1000))) for i in range(D.BLOCK_WORDS // 1000)]
+    assert len(pickle.dumps(D.Matcher(block))) < 20_000_000
+
+
 def removed(texts):
     seen, out = set(), {}
     for i, t in enumerate(texts):
