@@ -20,15 +20,28 @@ def label_conflicts(scores: DataFrame, unit: str) -> DataFrame:
     return scores.groupBy(unit, "kw_idx").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
 
 
-def average_precision(units: DataFrame, keys: list[str]) -> DataFrame:
-    """AP for each key over units (score, label 0/1): equal scores share a threshold."""
-    tied = units.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+def average_precision(units: DataFrame, keys: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """AP for each key over units (score, label 0/1): equal scores share a threshold. sums: more sums over the units."""
+    more = {name: F.sum(c).alias(name) for name, c in (sums or {}).items()}
+    tied = units.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), *more.values())
     down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     steps = tied.withColumn("cum_pos", F.sum("pos").over(down)).withColumn("cum_n", F.sum("n").over(down))
-    out = steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), (F.sum("n") - F.sum("pos")).alias("negatives"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("raw"))
+    out = steps.groupBy(*keys).agg(
+        F.sum("pos").alias("positives"), (F.sum("n") - F.sum("pos")).alias("negatives"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("raw"),
+        *[F.sum(name).alias(name) for name in more],
+    )
     return out.withColumn("ap", F.when(F.col("positives") > 0, F.round(F.col("raw") / F.when(F.col("positives") > 0, F.col("positives")), 6))).drop("raw")
 
 
+def levels(views: DataFrame, unit: str, group: str) -> DataFrame:
+    """level, key, kw_idx, score, label of occurrences and groups in one pass over the views: occurrences are rolled up, each
+    then stands for itself and in its group, and both levels are averaged together."""
+    occ = rollup(views, unit, carry=(group,))
+    both = F.inline(F.array(F.struct(F.lit("occurrence").alias("level"), F.col(unit).alias("key")), F.struct(F.lit("group").alias("level"), F.col(group).alias("key"))))
+    each = occ.select("kw_idx", "score", "label", both)
+    return each.groupBy("level", "key", "kw_idx").agg(F.round(F.avg("score") + TIE, 6).alias("score"), F.max("label").alias("label"))
+
+
 def reason(in_tier: Column, eligible: Column, available: Column) -> Column:
     """Why a keyword's AP does not count, in order of precedence."""
     return (

@@ -30,6 +30,17 @@ def vector_mean(found: DataFrame, dims: list[str]) -> DataFrame:
     return found.groupBy("doc_id", "position").agg(*[F.round(F.sum(F.col("overlap") * F.col(v)) / total, 6).alias(v) for v in dims], total.alias("covered"))
 
 
+def layered_mean(found: DataFrame, vector: str) -> DataFrame:
+    """doc_id, position and the overlap-weighted mean of vectors of layers x dimensions (array of arrays), shape kept: sums
+    are by layer and dimension, combined before the shuffle."""
+    cells = found.select("doc_id", "position", "overlap", F.posexplode(vector).alias("_layer", "_row"))
+    cells = cells.select("doc_id", "position", "overlap", "_layer", F.posexplode("_row").alias("_dim", "_x"))
+    means = cells.groupBy("doc_id", "position", "_layer", "_dim").agg((F.sum(F.col("overlap") * F.col("_x")) / F.sum("overlap")).alias("_x"))
+    in_order = lambda name, at: F.transform(F.array_sort(F.collect_list(F.struct(at, name))), lambda s: s[name])
+    rows = means.groupBy("doc_id", "position", "_layer").agg(in_order("_x", "_dim").alias("_row"))
+    return rows.groupBy("doc_id", "position").agg(in_order("_row", "_layer").alias(vector))
+
+
 def special_overlaps(found: DataFrame, special: DataFrame) -> DataFrame:
     """Pairs whose token is special: none may exist."""
     return found.join(special.select("doc_id", "token"), ["doc_id", "token"], "left_semi")

@@ -54,12 +54,12 @@ LEVELS_SQL = f"""{GRP_SQL}, levels AS (SELECT 'view' AS level, kw_idx, score, la
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
     scored = views(spark, d)
-    occ = E.rollup(scored, "occ", carry=("grp",)).cache()  # read by the group roll-up and by its own level
-    grp = E.rollup(occ, "grp")
-    part = lambda df, level: df.select(F.lit(level).alias("level"), "kw_idx", "score", "label")
-    ap = E.average_precision(part(scored, "view").unionByName(part(occ, "occurrence")).unionByName(part(grp, "group")), ["level", "kw_idx"])
-    role = F.col("grp") % 5
-    roles = grp.where("label = 1").groupBy("kw_idx").agg(F.count_if(role > 1).alias("train"), F.count_if(role == 1).alias("validation"), F.count_if(role == 0).alias("test"))
+    units = E.levels(scored, "occ", "grp").unionByName(scored.select(F.lit("view").alias("level"), F.col("occ").alias("key"), "kw_idx", "score", "label"))
+    role, mine = F.col("key") % 5, (F.col("level") == "group") & (F.col("label") == 1)
+    counts = {"train": role > 1, "validation": role == 1, "test": role == 0}
+    ap = E.average_precision(units, ["level", "kw_idx"], {name: (mine & c).cast("int") for name, c in counts.items()})
+    roles = ap.groupBy("kw_idx").agg(*[F.max(name).alias(name) for name in counts])  # other levels count none
+    ap = ap.drop(*counts)
     tiers = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(n).alias("below")) for t, n in (("core", 2), ("main", 3), ("extended", 4), ("master", 5))]))
     rep = ap.join(F.broadcast(roles), "kw_idx", "left").withColumn("t", tiers)  # one row a keyword
     no = F.lit(False)

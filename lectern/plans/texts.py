@@ -116,6 +116,18 @@ def overlap_vector_mean(spark: SparkSession, d: str) -> DataFrame:
     return T.vector_mean(found, ["v0", "v1"])
 
 
+_LAYERS_SQL = ", ".join(f"round(sum(overlap * ((token * {a + 2} + {b}) % 7)) / sum(overlap), 6) AS v{a}{b}" for a in range(2) for b in range(2))
+
+
+@query(f"WITH {_OVER_SQL} SELECT doc_id, position, {_LAYERS_SQL} FROM ov GROUP BY doc_id, position")
+def layered_word_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Word vectors of two layers of two dimensions, as means of their tokens' arrays by shared characters."""
+    cell = lambda a, b: ((F.col("token") * (a + 2) + b) % 7).cast("double")
+    vectors = tokens(spark, d).withColumn("v", F.array(*[F.array(*[cell(a, b) for b in range(2)]) for a in range(2)]))
+    out = T.layered_mean(T.overlaps(word_table(spark, d), vectors, bucket=64, carry=("v",)), "v")
+    return out.select("doc_id", "position", *[F.round(F.col("v")[a][b], 6).alias(f"v{a}{b}") for a in range(2) for b in range(2)])
+
+
 @query(f"WITH {_OVER_SQL}, pw AS (SELECT doc_id, position, count(*) AS n, sum(overlap) AS c FROM ov GROUP BY doc_id, position), pt AS (SELECT doc_id, token, count(*) AS n FROM ov GROUP BY doc_id, token) SELECT (SELECT max(n) FROM (SELECT doc_id, count(*) AS n FROM tk GROUP BY doc_id)) AS longest, CAST((SELECT sum(n) FROM pw) AS BIGINT) AS token_refs, (SELECT count(*) FROM pw WHERE n > 1) AS multi_token_words, round((SELECT avg(CAST(n > 1 AS INTEGER)) FROM pw), 6) AS multi_token_share, (SELECT count(*) FROM pt WHERE n > 1) AS shared_tokens, (SELECT count(*) FROM pw JOIN words USING (doc_id, position) WHERE c < char_end - char_start) AS uncovered")
 def tokenisation_audit(spark: SparkSession, d: str) -> DataFrame:
     w, t = word_table(spark, d), tokens(spark, d)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import common as C
+from lectern.operators import protocol as P
 from lectern.operators import quality as Q
 
+#: The columns of the given files.
 LEXICON = "rank int, keyword_id string, surface_form string, canonical_concept string, semantic_categories string, story_local_flag string, include_core string, include_main string, include_extended string"
 SENTENCES = (
     "text_embedding_idx int, text string, segmented_words string, token_count int, is_chapter_heading string, chapter int, story_quartile int, "
@@ -59,9 +61,10 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def view_faults(views: DataFrame) -> DataFrame:
-    """Windows that are empty, miscounted or without a rate."""
+    """Windows that are empty, miscounted or without a rate, and repeated view ids."""
     ok = (F.col("stop_sample") > F.col("start_sample")) & (F.col("n_samples") == F.col("stop_sample") - F.col("start_sample")) & (F.col("sfreq") > 0)
-    return Q.rows_where(views, ~ok)
+    twice = views.join(Q.repeated_keys(views, "view_id").select("view_id"), "view_id", "left_semi").select(*views.columns)
+    return Q.rows_where(views, ~ok).unionByName(twice)
 
 
 def write_folds(folds: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
@@ -70,6 +73,44 @@ def write_folds(folds: DataFrame, path: str, mode: str = "errorifexists") -> Dat
     return Q.fingerprint(folds, "folds")
 
 
+def write_protocol(folds: DataFrame, eligibility: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Folds and eligibility, partitioned by fold. Returns one provenance row: fingerprints, rows by role, groups, repeated
+    groups and the largest group. folds: outer_fold, role, doc_id, group_id."""
+    for name, df in (("folds", folds), ("eligibility", eligibility)):
+        df.write.mode(mode).partitionBy("outer_fold").parquet(f"{path}/{name}")
+    roles = folds.groupBy("role").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("role_rows"))
+    groups = folds.select("doc_id", "group_id").distinct().groupBy("group_id").agg(F.count("*").alias("n"))
+    groups = groups.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("repeated_groups"), F.max("n").alias("largest_group"))
+    prints = [Q.fingerprint(df, name).select(F.struct("n", "xor_hash", "sum_hash", "schema_hash").alias(name)) for name, df in (("folds", folds), ("eligibility", eligibility))]
+    return roles.crossJoin(groups).crossJoin(prints[0]).crossJoin(prints[1])  # one row each
+
+
+def read_eligibility(spark: SparkSession, path: str, outer_fold: int, index: DataFrame) -> DataFrame:
+    """Eligibility of one fold with the keywords' indexes, in their order (a keyword the index lacks is an error).
+    index: keyword, keyword_idx."""
+    rows = spark.read.parquet(f"{path}/eligibility").where(F.col("outer_fold") == outer_fold)
+    return P.lookup(rows, index, ["keyword"], "keyword_idx").orderBy("keyword_idx")
+
+
+def write_occurrences(occurrences: DataFrame, excluded: DataFrame, path: str) -> DataFrame:
+    """The word occurrences, sorted by sentence within ranges, and one provenance row: fingerprint, counts, excluded ids.
+    occurrences: sentence, position, ...; excluded: sentence (a bounded list of headings and empty sentences)."""
+    occurrences.repartitionByRange("sentence").sortWithinPartitions("sentence", "position").write.mode("errorifexists").parquet(path)
+    gone = excluded.agg(F.sort_array(F.collect_set("sentence")).alias("excluded"))
+    sentences = occurrences.agg(F.countDistinct("sentence").alias("sentences"))
+    return Q.fingerprint(occurrences, "occurrences").crossJoin(sentences).crossJoin(gone)  # one row each
+
+
+def write_identities(dims: dict[str, DataFrame], path: str) -> DataFrame:
+    """The dimensions of identities (surfaces, context tokens, groups), a table each; returns a fingerprint for each."""
+    rows = None
+    for name, df in sorted(dims.items()):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        one = Q.fingerprint(df, name)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def read_fold(spark: SparkSession, path: str, outer_fold: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("outer_fold") == outer_fold)
 
