@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lectern.llm import decontaminate as D
@@ -158,6 +159,35 @@ def test_suffix_dedup_nulls_and_empty(documents, spark, folder):
     assert X.op6_suffix_dedup(spark, folder(documents=docs.limit(0))).count() == 0
 
 
+def test_transform_equals_sorted_suffixes():
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc") for _ in range(90))
+    strings = sorted({base[rng.randrange(20) :][: rng.randrange(50, 70)] + "d" * (k % 3) for k in range(60)})
+    sizes = np.array([len(x) for x in strings])
+    t = X.Transform(np.frombuffer("".join(strings).encode(), np.uint8), sizes)
+    while t.insert():
+        # after each round: the suffixes inserted so far in order (the empty ones by string), what stands before, common prefixes
+        suffixes = sorted((x[k:], i, x[k - 1 : k]) for i, x in enumerate(strings) for k in range(max(0, len(x) - t.round), len(x) + 1))
+        assert [x[2] for x in suffixes if x[0]] == ["" if b == X.END else chr(b) for b in t.bwt[len(strings) :]]
+        assert len(t.bwt) == len(suffixes)
+    whole = sorted((x[k:] + "\0", i, k) for i, x in enumerate(strings) for k in range(len(x)))
+    for (a, _, _), (b, _, _), c in zip(whole, whole[1:], t.common[len(strings) + 1 :]):
+        n = next(k for k in range(len(a) + 1) if k >= len(a) - 1 or k >= len(b) - 1 or a[k] != b[k])
+        assert c == min(n, X.LENGTH)
+    low = np.array([rng.randrange(1000) for _ in strings])
+    least = t.least_by_window(low)
+    for i, x in enumerate(strings):
+        for k in range(len(x) - X.LENGTH + 1):
+            assert least[i, k] == min(low[j] for j, y in enumerate(strings) if x[k : k + X.LENGTH] in y)
+
+
+def test_suffix_dedup_one_id_with_several_texts(documents, spark, folder):
+    text = "".join(chr(97 + k * 7 % 26) for k in range(120))
+    docs = documents([(1, text), (4, "q" * 30 + text[:80]), (4, text[40:]), (2, "short"), (9, text[60:] + "z" * 400)])
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in X.op6_suffix_dedup(spark, folder(documents=docs)).collect()}
+    assert got == {(1, 120): 0, (4, 110): 80, (4, 80): 80, (2, 5): 0, (9, 460): 60}
+
+
 def test_stages_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", 0, 1, 2, 3), (2, "q", 4, 5, 6, 7)], "doc_id long, text string, n int, gram int, comp int, id int")
     assert sorted(J.keep_one(docs).collect()) == sorted(docs.collect())
