@@ -39,6 +39,72 @@ TEMPLATES = {
     "mpl-2.0": ("mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
     "unlicense": ("released into the public domain", "this is free and unencumbered software released into the public domain"),
 }
+
+#: Whole licence texts and standard notices, as words. label: (key phrase, text).
+TEXTS = {
+    "apache-2.0-notice": (
+        "you may not use this file except in compliance with the license",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "boost-text": (
+        "obtaining a copy of the software and accompanying documentation covered by this license",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is "
+        "furnished to do so all subject to the following",
+    ),
+    "bsd-2-clause-text": (
+        "redistributions in binary form must reproduce the above copyright notice",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "bsd-3-clause-text": (
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission this software is provided by the copyright holders and contributors as is",
+    ),
+    "gpl-3.0-notice": (
+        "under the terms of the gnu general public license as published by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either "
+        "version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public "
+        "license along with this program if not see",
+    ),
+    "isc-text": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+        "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    "mit-text": (
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the mozilla public license",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    ),
+    "unlicense-text": (
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code "
+        "form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "zlib-text": (
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ),
+}
 RAREST = 2  #: words of each key phrase that the index posts
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,7 +122,7 @@ def _words(text: Column) -> Column:
 def _index() -> dict[str, tuple[list[str], list[str], int]]:
     """label: (key words, template words, place of the key in the template)."""
     out = {f"base:{label}": (p.split(), p.split(), 0) for label, p in BASE.items()}
-    for label, (key, text) in TEMPLATES.items():
+    for label, (key, text) in (TEMPLATES | TEXTS).items():
         k, t = key.split(), text.split()
         out[label] = (k, t, next(i for i in range(len(t)) if t[i : i + len(k)] == k))
     return out
@@ -71,45 +137,55 @@ def word_idf(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
 
 
-def scan(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """docs' doc_id with n_words and places: array of (label, base, start, score), in the order of the templates."""
-    index = _index()
-    keys = sorted({w for k, _, _ in index.values() for w in k})
-    words = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    # each step is a generator's output, so that no array is worked out again inside a lambda
-    words = words.select("doc_id", F.inline(F.array(F.struct("words", F.size("words").alias("n")))))
-    found = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", i).isin(keys))
-    hits = F.when(F.col("n") > 0, F.transform(found, lambda i: F.struct(i.alias("i"), F.get("words", i).alias("w")))).otherwise(F.array().cast("array<struct<i:int,w:string>>"))
-    words = words.select("doc_id", "n", "words", F.inline(F.array(F.struct(hits.alias("hits"), F.size(hits).alias("n_hits")))))
-    places = [_places(label, *entry, idf) for label, entry in index.items()]
-    none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,score:double>>")
-    all_places = F.when(F.col("n_hits") > 1, F.concat(*places)).otherwise(none)
-    return words.select("doc_id", F.inline(F.array(F.struct(F.col("n").cast("long").alias("n_words"), all_places.alias("places")))))
-
+def _literal(x: object) -> Column:
+    """A literal of lists of equal kinds; dicts are structs."""
+    if isinstance(x, list):
+        return F.array(*map(_literal, x))
+    if isinstance(x, dict):
+        return F.struct(*[_literal(v).alias(k) for k, v in x.items()])
+    return F.lit(x)
 
-def _places(label: str, key: list[str], text: list[str], at: int, idf: dict[str, float]) -> Column:
-    """The template's places in a row with words and hits."""
-    rare = sorted(range(len(key)), key=lambda j: (-idf[key[j]], j))[:RAREST]
-    total = sum(idf[w] for w in text) or 1.0
 
-    def supported(j: int) -> Column:
-        """Starts that the places of the key's word j support."""
-        return F.transform(F.filter("hits", lambda h: h["w"] == key[j]), lambda h: h["i"] - j)
-
-    def whole(s: Column) -> Column:
-        return F.size(F.array_compact(F.array(*[F.when(F.get("words", s + j) == w, F.lit(1)) for j, w in enumerate(key)]))) == len(key)
-
-    def share(s: Column) -> Column:
-        return sum((F.when((s - at + j >= 0) & (F.get("words", s - at + j) == w), F.lit(idf[w] / total)).otherwise(0.0) for j, w in enumerate(text)), F.lit(0.0))
+def scan(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
+    """docs' doc_id with n_words and places: array of (label, base, start, score), in the order of the templates and starts.
+
+    All templates are looked up together: each posted word that a text has supports (template, start) pairs, equal pairs
+    meet by sorting, and those that all posted words of a template support are verified."""
+    templates, postings = [], {}
+    for t, (label, (key, text, at)) in enumerate(_index().items()):
+        rare = sorted(range(len(key)), key=lambda j: (-idf[key[j]], j))[:RAREST]
+        total = sum(idf[w] for w in text) or 1.0
+        for j in rare:
+            postings.setdefault(key[j], []).append({"t": t, "j": j})
+        words = [{"w": w, "j": j - at, "share": idf[w] / total} for j, w in enumerate(text)]
+        templates.append({"label": label.removeprefix("base:"), "base": label.startswith("base:"), "posted": len(rare), "key": key, "words": words})
+    posted = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), _literal(p))])
+    index = _literal(templates)
 
-    def place(s: Column) -> Column:
-        score = F.least(F.lit(1.0), F.round(share(s), 6))
-        return F.struct(F.lit(label.removeprefix("base:")).alias("label"), F.lit(label.startswith("base:")).alias("base"), s.cast("long").alias("start"), score.alias("score"))
+    words = docs.select("doc_id", _words(F.col("text")).alias("words"))
+    # each step is a generator's output, so that no array is worked out again inside a lambda
+    step = lambda df, **c: df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    words = step(words, n=F.size("words"))
+    found = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", i).isin(list(postings)))
+    words = step(words, hits=F.when(F.col("n") > 0, found).otherwise(F.array().cast("array<int>")))
+    supports = F.flatten(F.transform("hits", lambda i: F.transform(F.element_at(posted, F.get("words", i)), lambda p: F.struct(p["t"].alias("t"), (i - p["j"]).alias("s")))))
+    words = step(words, supports=F.when(F.size("hits") > 0, F.array_sort(supports)).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    # the last of as many equal pairs as the template has posted words
+    ahead = lambda k, need: F.get("supports", k - need + 1) == F.get("supports", k)
+    whole = F.transform(F.filter(F.sequence(F.lit(0), F.size("supports") - 1), lambda k: ahead(k, F.get(index, F.get("supports", k)["t"])["posted"])), lambda k: F.get("supports", k))
+    words = step(words, starts=F.when(F.size("supports") > 0, whole).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+
+    def verified(x: Column) -> Column:
+        key = F.get(index, x["t"])["key"]
+        return (x["s"] >= 0) & (F.slice("words", F.greatest(x["s"], F.lit(0)) + 1, F.size(key)) == key)
+
+    def place(x: Column) -> Column:
+        share = F.aggregate(F.get(index, x["t"])["words"], F.lit(0.0), lambda a, w: a + F.when((x["s"] + w["j"] >= 0) & (F.get("words", x["s"] + w["j"]) == w["w"]), w["share"]).otherwise(0.0))
+        return F.struct(F.get(index, x["t"])["label"].alias("label"), F.get(index, x["t"])["base"].alias("base"), x["s"].cast("long").alias("start"), F.least(F.lit(1.0), F.round(share, 6)).alias("score"))
 
-    starts = supported(rare[0])
-    for j in rare[1:]:
-        starts = F.array_intersect(starts, supported(j))
-    return F.transform(F.filter(starts, lambda s: (s >= 0) & whole(s)), place)
+    none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,score:double>>")
+    places = F.when(F.size("starts") > 0, F.transform(F.filter("starts", verified), place)).otherwise(none)
+    return step(words, places=places).select("doc_id", F.col("n").cast("long").alias("n_words"), "places")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

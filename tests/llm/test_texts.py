@@ -39,6 +39,22 @@ def test_licences(documents, spark, folder):
     assert G.op1_license_scan(spark, folder(documents=documents(texts).limit(0))).count() == 0
 
 
+def test_whole_licences(documents):
+    texts = []
+    for label, (key, text) in G.TEXTS.items():
+        words = text.split()
+        assert f" {key} " in f" {text} ", label
+        texts += [text.title().replace(" The ", ", the "), " ".join(words[: len(words) // 2 * 2 : 2]), "x y " + text[text.index(key) :] + " z", "all rights reserved " + text]
+    docs = documents(texts)
+    got = {r.doc_id: r for r in G.scan(docs, G.word_idf(docs)).collect()}
+    for n, label in enumerate(G.TEXTS):
+        whole, half, part, late = ([p for p in got[4 * n + k].places if p.label == label] for k in range(4))
+        assert len(whole) == 1 and whole[0].score == 1.0 and not half and len(part) == len(late) == 1 and part[0].score <= 1.0
+        assert late[0].start == whole[0].start + 3 and {"reserved"} <= {p.label for p in got[4 * n + 3].places}
+    twice = documents([texts[0] + " " + texts[0], texts[0] + " " + texts[0]])
+    assert [sum(p.label == "apache-2.0-notice" for p in r.places) for r in G.scan(twice, G.word_idf(twice)).collect()] == [2, 2]
+
+
 def test_languages(documents, spark, folder, out_of_sample):
     rng = random.Random(1)
     words = {"en": "the of and with this that house".split(), "de": "der und nicht ein schön straße haus".split(), "fr": "le la être et une très maison".split()}
