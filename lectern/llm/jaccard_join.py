@@ -186,8 +186,7 @@ def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame
     named = first.select("doc_id", "sketch").join(comp, "doc_id", "left").select(F.coalesce("comp", "doc_id").alias("comp"), F.explode("sketch").alias("gram"))
     mixed = S.staged(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram"), "mixed")
     entries = first.select("doc_id", F.explode("sketch").alias("gram"))
-    small = mixed.count() <= S.BROADCAST_IDS
-    held = S.staged(entries.join(F.broadcast(mixed) if small else mixed, "gram", "left_semi").distinct(), "held")
+    held = S.staged(entries.join(mixed, "gram", "left_semi").distinct(), "held")
     df = held.groupBy("gram").agg(F.count("*").alias("df"))
     of_doc = held.join(df, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
     aside = first.groupBy("doc_id").agg(F.least(F.lit(SHARED), F.ceil(F.min("n") * PERCENT / 100)).alias("t"))
