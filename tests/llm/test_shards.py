@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import mixing as M
+from lectern.llm import quality_classifier
 from lectern.llm import token_shards as T
 
 
@@ -178,3 +179,54 @@ def test_exact_shares_where_they_fit(spark):
     docs = spark.createDataFrame([(1, "a", "a"), (2, "b", "b")], "doc_id long, text string, source string")
     for one, want in ((0.9, {"=a": 450, "=b": 50}), (0.99, {"=a": 495, "=b": 5})):
         assert {r.mix_source: r.share for r in M.source_shares(docs, {"a": one, "b": 1 - one}).collect()} == want
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    from .test_pairs import brute_hits, classes
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["house", "tree", "river", "stone", "cloud"]) + str(rng.randrange(40)) for _ in range(n)) + "."
+    items = [(k, text(20)) for k in range(3)]
+    texts = [text(rng.randrange(1, 80)) for _ in range(120)]
+    texts += [t + " end" for t in texts[:15]] + texts[15:20] + [text(30) + " " + items[k][1] for k in range(3)] + [None, "", "q"]
+    texts += [text(50).upper().replace(" ", "!!! ") for _ in range(40)]
+    rows = [(i, t, "en", None if i % 11 == 0 else f"s{i % 3}", len(t or ""), i % 7) for i, t in enumerate(texts)]
+    d, of = str(tmp_path), lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, comp int")
+    docs.write.parquet(f"{d}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(len(rows)) if i < 100 or i > 150], "doc_id long, quality int")
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    at, got = docs, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, d).write.parquet(f"{d}/stage{k}")
+        got[k] = spark.read.parquet(f"{d}/stage{k}")
+        before, at = at, got[k]
+        kept = of(before)
+        if k == 0:
+            scores = {r.doc_id: r.score for r in quality_classifier.op7_quality_classifier(spark, d).collect()}
+            want = [x for x in kept if scores[x[0]] >= 0.7]
+            assert len(want) < len(kept)
+        elif k == 1:
+            ids, groups = [i for i, _ in kept], classes([t for _, t in kept])
+            want = [x for n, x in enumerate(kept) if groups[n][1] == n]
+            assert len(want) < len(kept) and ids == sorted(ids)
+        elif k == 2:
+            want = [x for x in kept if not brute_hits(x[1], items)[4]]
+            assert len(want) < len(kept)
+        elif k == 3:
+            want = kept
+        if k < 4:
+            assert of(at) == want and at.columns == docs.columns, name
+    order = [(r.doc_id, r.text) for r in got[3].collect()]
+    whole, start, want = Tokenizer.from_file(T.vocabulary_path()), 0, []
+    for i, t in order:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got[4].collect())) == sorted(want)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0, name
