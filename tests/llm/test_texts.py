@@ -90,6 +90,81 @@ def test_quality_rule_statistics(documents, spark, folder):
     assert R.op3_quality_rules(spark, folder(documents=documents(texts).limit(0))).count() == 0
 
 
+def test_languages_equal_brute_force(documents, spark, folder, out_of_sample):
+    rng = random.Random(12)
+    words = {"en": ["the", "House", "of", "that"], "de": ["der", "STRASSE", "schön", "und"], "fr": ["été", "une", "maison", "l'eau"]}
+    rows = []
+    for i in range(80):
+        lang = rng.choice(list(words))
+        rows.append((i, " ".join(rng.choice(words[lang] + words["en"][:1]) + rng.choice(["", ",", " 7"]) for _ in range(rng.randrange(1, 8))), lang))
+    rows += rows[:3] + [(90, None, "en"), (91, "12", None), (92, "é", "fr"), (93, "x" * 700_000, None)]
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in L.op2_language_id(spark, folder(documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect())
+
+    def grams(text):
+        chars = [ord(c.lower()) if c.isalpha() else 32 for c in text or ""]
+        for n in L.GRAMS:
+            for k in range(len(chars) - n + 1):
+                if chars[k] != 32 or chars[k + n - 1] != 32:
+                    h = 0
+                    for c in chars[k : k + n]:
+                        h = (h ^ c) * 0x9E3779B1 % 2**32
+                        h ^= h >> 15
+                    yield h % L.BUCKETS
+
+    counts = {lang: Counter() for lang in words}
+    for i, text, lang in rows:
+        if lang and text is not None and not out_of_sample(i):
+            counts[lang].update(grams(text))
+    total = {lang: sum(c.values()) + L.SMOOTHING * L.BUCKETS for lang, c in counts.items()}
+    want = Counter()
+    for i, text, _ in rows:
+        g = Counter(grams(text))
+        n = sum(g.values())
+        if not any(c.isalpha() for c in text or ""):
+            want[i, "und", 0.0] += 1
+            continue
+        mean = {lang: sum(m * np.log((c[b] + L.SMOOTHING) / total[lang]) for b, m in g.items()) / n if n else 0.0 for lang, c in sorted(counts.items())}
+        best = max(mean.values())
+        t = {lang: np.exp((x - best) * min(L.SHARPNESS, max(n, 1))) for lang, x in mean.items()}
+        want[i, max(mean, key=mean.get), round(1 / sum(t.values()), 6)] += 1
+    near = lambda c: sorted((i, p, round(s, 4)) for (i, p, s), n in c.items() for _ in range(n))
+    assert near(got) == near(want)
+
+
+def test_pair_weights_minimise_the_loss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, len(C.FEATURES)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + rng.normal(size=60) > 0).astype(int)
+    model = C.fit_pairs(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    z = np.concatenate((z, z * z), axis=1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    few, many = sorted((good, bad), key=len)
+    left = np.repeat(many, C.OPPONENTS)
+    right = np.random.default_rng(7).permutation(np.resize(few, len(left)))
+    d = (z[left] - z[right]) * (1 if many is good else -1)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + C.RIDGE / 2 * w @ w
+    for k in range(len(model.weights)):  # no step along an axis lowers it
+        step = np.zeros(len(model.weights))
+        step[k] = 1e-3
+        assert loss(model.weights + step) > loss(model.weights) < loss(model.weights - step)
+    strength = z @ model.weights
+    assert model.cut == np.quantile(strength, len(bad) / len(y))
+    s = model.score(x)
+    assert ((s >= C.CUT_SCORE) == (strength >= model.cut - 1e-12)).all() and (np.argsort(s) == np.argsort(strength)).all()
+
+
+def test_scans_of_repeated_rows_and_clashing_names(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, words string, n int, quality_score double, places int, spans string, d2 double"
+    rows = [(1, "all rights reserved token = abcdefgh", "en", "s", "w", 1, 0.5, 2, "x", 1.0)] * 2 + [(2, None, None, None, None, None, None, None, None, None)]
+    d = folder(documents=spark.createDataFrame(rows, schema), labels=spark.createDataFrame([], "doc_id long, quality int"))
+    for op in (G.op1_license_scan, L.op2_language_id, R.op3_quality_rules, C.op7_quality_classifier, S.op9_secret_scan):
+        got = Counter(map(tuple, op(spark, d).collect()))
+        assert sorted(got.values()) == [1, 2], op.__name__
+    empty = folder(documents=spark.createDataFrame([], schema))
+    assert C.op7_quality_classifier(spark, empty).count() == 0
+
+
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
