@@ -64,6 +64,13 @@ def audit(words: DataFrame, tokens: DataFrame, found: DataFrame) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)  # one row each
 
 
+def token_faults(tokens: DataFrame) -> DataFrame:
+    """One row: unknown tokens, tokens with a zero vector, tokens with a vector that is not finite. tokens: unknown, vector."""
+    size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
+    finite = ~(F.isnan(size) | (size == float("inf")))
+    return tokens.agg(F.count_if("unknown").alias("unknown_tokens"), F.count_if(finite & (size == 0)).alias("zero_vectors"), F.count_if(~finite).alias("not_finite"))
+
+
 def drop_first_token(tokens: DataFrame) -> DataFrame:
     """Attended tokens re-numbered from 0 without each document's first, which must be special."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("token"))

@@ -61,6 +61,13 @@ def exported(scores: DataFrame, sentinel: float = -1e9) -> DataFrame:
     return scores.withColumn("score", F.coalesce("score", F.lit(sentinel)))
 
 
+def mean_pooled(states: DataFrame, sample: str) -> DataFrame:
+    """sample and the plain mean of its vectors: sums by dimension, combined before the shuffle."""
+    dims = states.select(sample, F.posexplode("vector").alias("dim", "x")).groupBy(sample, "dim").agg(F.avg("x").alias("x"))
+    lists = dims.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
+    return lists.select(sample, F.transform("v", lambda s: s["x"]).alias("vector"))
+
+
 def balanced_mean(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
     """Mean within the last level, then within the one before, and so on; one row."""
     for i in range(len(levels), 0, -1):

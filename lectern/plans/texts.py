@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import common as C
+from lectern.operators import protocol as P
 from lectern.operators import tokens as T
 
 from .base import query, table
@@ -128,28 +129,34 @@ def layered_word_vectors(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "position", *[F.round(F.col("v")[a][b], 6).alias(f"v{a}{b}") for a in range(2) for b in range(2)])
 
 
-@query(f"WITH {_OVER_SQL}, pw AS (SELECT doc_id, position, count(*) AS n, sum(overlap) AS c FROM ov GROUP BY doc_id, position), pt AS (SELECT doc_id, token, count(*) AS n FROM ov GROUP BY doc_id, token) SELECT (SELECT max(n) FROM (SELECT doc_id, count(*) AS n FROM tk GROUP BY doc_id)) AS longest, CAST((SELECT sum(n) FROM pw) AS BIGINT) AS token_refs, (SELECT count(*) FROM pw WHERE n > 1) AS multi_token_words, round((SELECT avg(CAST(n > 1 AS INTEGER)) FROM pw), 6) AS multi_token_share, (SELECT count(*) FROM pt WHERE n > 1) AS shared_tokens, (SELECT count(*) FROM pw JOIN words USING (doc_id, position) WHERE c < char_end - char_start) AS uncovered")
+@query(f"WITH {_OVER_SQL}, pw AS (SELECT doc_id, position, count(*) AS n, sum(overlap) AS c FROM ov GROUP BY doc_id, position), pt AS (SELECT doc_id, token, count(*) AS n FROM ov GROUP BY doc_id, token) SELECT (SELECT max(n) FROM (SELECT doc_id, count(*) AS n FROM tk GROUP BY doc_id)) AS longest, CAST((SELECT sum(n) FROM pw) AS BIGINT) AS token_refs, (SELECT count(*) FROM pw WHERE n > 1) AS multi_token_words, round((SELECT avg(CAST(n > 1 AS INTEGER)) FROM pw), 6) AS multi_token_share, (SELECT count(*) FROM pt WHERE n > 1) AS shared_tokens, (SELECT count(*) FROM pw JOIN words USING (doc_id, position) WHERE c < char_end - char_start) AS uncovered, (SELECT count(*) FROM tk JOIN documents USING (doc_id) WHERE regexp_matches(substr(text, tok_start + 1, tok_end - tok_start), '[0-9]')) AS unknown_tokens, (SELECT count(*) FROM tk WHERE token % 77 = 0) AS zero_vectors, 0 AS not_finite")
 def tokenisation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts over words and tokens; tokens with a digit are unknown, and a token's vector is (token % 7, token % 11)."""
     w, t = word_table(spark, d), tokens(spark, d)
-    return T.audit(w, t, T.overlaps(w, t, bucket=64))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    piece = F.substring(F.col("text"), F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start"))
+    facts = t.join(texts, "doc_id").select(piece.rlike("[0-9]").alias("unknown"), F.array((F.col("token") % 7).cast("double"), (F.col("token") % 11).cast("double")).alias("vector"))
+    return T.audit(w, t, T.overlaps(w, t, bucket=64)).crossJoin(T.token_faults(facts))  # one row each
 
 
-@query(f"WITH {_OVER_SQL}, reps AS (SELECT unnest([0, 7, 42]) AS doc_id, unnest([0, 1, 2]) AS place), x AS (SELECT place, doc_id, position, surface, string_agg(token || '/' || overlap, ' ' ORDER BY token) AS subtokens FROM ov JOIN words USING (doc_id, position) JOIN reps USING (doc_id) GROUP BY ALL) SELECT CAST(place AS INTEGER) AS place, CAST(doc_id AS BIGINT) AS doc_id, count(*) AS n_words, sha256(string_agg(surface || '(' || subtokens || ')', ' ' ORDER BY position)) AS report FROM x GROUP BY place, doc_id")
+@query(f"WITH {_OVER_SQL}, reps AS (SELECT unnest([0, 7, 42]) AS doc_id, unnest([0, 1, 2]) AS place), x AS (SELECT place, doc_id, position, surface, string_agg(token || '@' || 4 * token || '-' || least(4 * token + 4, length(text)) || '/' || overlap || '/' || (1000 * overlap) // total, ' ' ORDER BY token) AS subtokens FROM (SELECT *, sum(overlap) OVER (PARTITION BY doc_id, position) AS total FROM ov) JOIN words USING (doc_id, position) JOIN reps USING (doc_id) JOIN documents USING (doc_id) GROUP BY place, doc_id, position, surface) SELECT CAST(place AS INTEGER) AS place, CAST(doc_id AS BIGINT) AS doc_id, count(*) AS n_words, sha256(string_agg(surface || '(' || subtokens || ')', ' ' ORDER BY position)) AS report FROM x GROUP BY place, doc_id")
 def alignment_examples(spark: SparkSession, d: str) -> DataFrame:
-    """Requested documents, in the order asked for, each with its words and their subtokens."""
-    asked = [0, 7, 42]
-    reps = spark.range(1).select(F.posexplode(F.array(*map(F.lit, asked))).alias("place", "doc_id")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    chosen = table(spark, d, "documents").join(F.broadcast(reps), "doc_id").select("doc_id", "text", "place")
+    """Requested documents, in the order asked for (an unknown one is an error), each with its words and their subtokens:
+    place, offsets, shared characters and their weight in thousandths."""
+    chosen = P.chosen(table(spark, d, "documents").select("doc_id", "text"), "doc_id", [0, 7, 42])
+    reps = chosen.select("doc_id", "place")
     w = C.word_rows(chosen)
     t = tokens(spark, d).join(F.broadcast(reps), "doc_id").drop("place")
-    pairs = T.overlaps(w, t, bucket=64).groupBy("doc_id", "position").agg(F.array_sort(F.collect_list(F.struct("token", "overlap"))).alias("s"))
-    said = F.array_join(F.transform("s", lambda x: F.concat_ws("/", x["token"], x["overlap"])), " ")
+    found = T.overlaps(w, t.withColumn("first", F.col("tok_start")).withColumn("last", F.col("tok_end")), bucket=64, carry=("first", "last"))
+    pairs = found.groupBy("doc_id", "position").agg(F.array_sort(F.collect_list(F.struct("token", "first", "last", "overlap"))).alias("s"), F.sum("overlap").alias("total"))
+    share = lambda x: F.floor(1000 * x["overlap"] / F.col("total"))
+    said = F.array_join(F.transform("s", lambda x: F.concat(x["token"], F.lit("@"), x["first"], F.lit("-"), x["last"], F.lit("/"), x["overlap"], F.lit("/"), share(x))), " ")
     per_word = w.join(pairs, ["doc_id", "position"]).select("doc_id", "position", F.concat("surface", F.lit("("), said, F.lit(")")).alias("said"))
     report = per_word.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.array_sort(F.collect_list(F.struct("position", "said"))).alias("r"))
     return report.join(reps, "doc_id").select("place", "doc_id", "n_words", F.sha2(F.array_join(F.transform("r", lambda x: x["said"]), " "), 256).alias("report"))
 
 
-@query("WITH v AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) SELECT (SELECT count(*) FROM documents) AS sentences, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS empty_sentences, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS headings, CAST((SELECT sum(n_chars) FROM documents) AS BIGINT) AS characters, (SELECT count(*) FROM v WHERE n = 0) AS without_views, (SELECT max(n) FROM v) AS most_views, (SELECT min(n) FROM v WHERE n > 0) AS fewest_views, (SELECT count(*) FROM documents WHERE n_chars <> length(text)) AS wrong_lengths")
+@query(f"WITH {LEXICON_SQL}, " + "v AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) SELECT (SELECT count(*) FROM documents) AS sentences, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS empty_sentences, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS headings, CAST((SELECT sum(n_chars) FROM documents) AS BIGINT) AS characters, (SELECT count(*) FROM v WHERE n = 0) AS without_views, (SELECT max(n) FROM v) AS most_views, (SELECT min(n) FROM v WHERE n > 0) AS fewest_views, (SELECT count(*) FROM documents WHERE n_chars <> length(text)) AS wrong_lengths, (SELECT count(*) FILTER (df >= 200) FROM lex) AS core, (SELECT count(*) FILTER (df >= 100) FROM lex) AS main, (SELECT count(*) FILTER (df >= 75) FROM lex) AS extended, (SELECT count(*) FROM lex) AS master, (SELECT string_agg(n || ':' || c, ',' ORDER BY n) FROM (SELECT n, count(*) AS c FROM v WHERE n > 0 GROUP BY n)) AS view_histogram")
 def asset_summary(spark: SparkSession, d: str) -> DataFrame:
     docs, lines = table(spark, d, "documents"), table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     seen = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -158,7 +165,11 @@ def asset_summary(spark: SparkSession, d: str) -> DataFrame:
         F.sum("n_chars").alias("characters"), F.count_if(F.col("n_chars") != F.length("text")).alias("wrong_lengths"),
     )
     b = seen.agg(F.count_if(F.col("n").isNull()).alias("without_views"), F.max("n").alias("most_views"), F.min("n").alias("fewest_views"))
-    return a.crossJoin(b)  # one row each
+    at = lambda n: F.count_if(F.col("df") >= n)
+    tiers = lexicon(spark, d).agg(at(200).alias("core"), at(100).alias("main"), at(75).alias("extended"), F.count("*").alias("master"))
+    h = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("n").agg(F.count("*").alias("c"))
+    h = h.agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("h")).select(F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["n"], x["c"])), ",").alias("view_histogram"))
+    return a.crossJoin(b).crossJoin(tiers).crossJoin(h)  # one row each
 
 
 # ---- scenarios -----------------------------------------------------------------------------------------------

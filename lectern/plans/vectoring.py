@@ -68,6 +68,13 @@ def logmeanexp_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.unionByName(V.unavailable(states.select("sample").distinct(), known))
 
 
+@query(f"WITH {PROTO_SQL}, x AS (SELECT vec_id // 64 AS sample, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM e), m AS (SELECT sample, dim, avg(x) AS x FROM x GROUP BY sample, dim), mv AS (SELECT sample, list(x ORDER BY dim) AS v FROM m GROUP BY sample) SELECT sample, keyword, round(list_dot_product(v, p) / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS score FROM mv CROSS JOIN pr WHERE available")
+def mean_pool_score(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample's mean vector against the prototypes: the baseline of scores by states."""
+    pooled = V.mean_pooled(embeddings(spark, d).withColumn("sample", SAMPLE), "sample")
+    return V.cosines(pooled, prototypes(spark, d)).select("sample", "keyword", F.round("cos", 6).alias("score"))
+
+
 @query(f"WITH {COS_SQL}, best AS (SELECT vec_id, label, arg_max(keyword, (round(cos, 9), -keyword)) AS pred FROM c GROUP BY vec_id, label) SELECT label, count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM best GROUP BY label")
 def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
     states = embeddings(spark, d).withColumnRenamed("keyword", "label")
