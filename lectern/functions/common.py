@@ -113,7 +113,7 @@ def affine(v: Column, gamma: Column, beta: Column) -> Column:
     return F.zip_with(F.zip_with(v, gamma, lambda x, g: x * g), beta, lambda x, b: x + b)
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """df, written into the checkpoint folder; local mode has a temporary one where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -127,7 +127,7 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     """Distinct keys with their 0-based place in ascending order: ranges of keys are numbered each by itself, and the
     ranges' sizes (one row a range) give the offsets, so no task sees all keys."""
     ranges = df.select(*keys).distinct().repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
-    ranges = _checkpointed(ranges)  # a recomputed range could hold other keys, so it is written once
+    ranges = checkpointed(ranges)  # a recomputed range could hold other keys, so it is written once
     sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
     heads = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_head"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1

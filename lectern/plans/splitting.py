@@ -33,7 +33,7 @@ def group_rarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deal(spark: SparkSession, d: str) -> DataFrame:
-    return P.deal(sentence_groups(spark, d).select("group_id", "size"), sentence_labels(spark, d), K, INNER)
+    return P.deal(sentence_groups(spark, d).select("group_id", "size"), sentence_labels(spark, d), K, INNER).drop("label")
 
 
 def folds(spark: SparkSession, d: str) -> DataFrame:
@@ -211,11 +211,10 @@ def fold_objective(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Each restart's objective, with the best marked; blocks of about 20,000 groups."""
-    groups = sentence_groups(spark, d).select("group_id", "size")
-    labels = sentence_labels(spark, d)
-    blocks = max(1, groups.count() // 20_000)
-    assigned = P.greedy_folds(groups, labels, K, restarts=4, blocks=blocks)
+    """The best of 32 restarts: its groups' folds, its objective, and the worst restart's."""
+    groups, labels = sentence_groups(spark, d).select("group_id", "size"), sentence_labels(spark, d)
+    assigned = P.greedy_folds(groups, labels, K, restarts=32, rounds=3)
     scored = P.objective(assigned, labels, K)
-    best = scored.agg(F.min_by("restart", F.struct("objective", "restart")).alias("best"))
-    return scored.crossJoin(best).select("restart", "objective", (F.col("restart") == F.col("best")).alias("chosen"))
+    best = scored.agg(F.min(F.struct("objective", "restart")).alias("best"), F.max("objective").alias("worst"))
+    rows = assigned.crossJoin(F.broadcast(best)).where(F.col("restart") == F.col("best.restart"))  # one row
+    return rows.select("restart", "group_id", "size", "fold", F.col("best.objective").alias("objective"), "worst")
