@@ -13,7 +13,7 @@ from lectern.operators import splits as P
 from .base import FOLDS_SQL, K, LABELS_SQL, VIEWS_SQL, keywords, query, sentence_labels, sentences, table, views
 from .splitting import _DF_SQL, LEXICON_SQL, OCC_FOLDS_SQL, document_words, eligibility_flags, folds, lexicon, occurrence_folds, order_views
 from .texts import _POS_SQL, word_table
-from .vectoring import PROTO_SQL, SAMPLE, embeddings, prototypes
+from .vectoring import PROTO_SQL, embeddings, prototypes, sample_of
 
 # ---- sentences and identities --------------------------------------------------------------------------------
 
@@ -209,7 +209,7 @@ def protocol_report(spark: SparkSession, d: str) -> DataFrame:
     ids = tokens.distinct().withColumn("token_id", C.context_token_id(F.col("grp"), F.col("position"), F.col("surface")))
     occ = vectors.select(F.floor(F.col("id") / 4).alias("sentence"), F.col("id").alias("position"), F.col("id").alias("occurrence_id"))
     w = t("lineitem").select(F.col("l_suppkey").alias("recording"), (F.col("l_linenumber") * 50).alias("start"), (F.col("l_linenumber") * 50 + F.col("l_quantity").cast("long")).alias("stop"), F.lit(1).alias("sfreq"), F.lit(1).alias("n_channels"))
-    sides = vectors.select(SAMPLE.alias("sample"), (F.col("id") % 3).alias("r"), F.lit(True).alias("valid"))
+    sides = vectors.select(sample_of().alias("sample"), (F.col("id") % 3).alias("r"), F.lit(True).alias("valid"))
     halves = {"words": sides.where("r = 0"), "first states": sides.where("r = 1"), "second states": sides.where("r = 2")}
     return P.union_all([
         P.check("K3 declared turns", T.count_differences(turns, t("conversations").groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")),

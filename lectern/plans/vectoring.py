@@ -4,7 +4,7 @@ runs of 64 ids, so their number grows with the table and their size does not."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import common as C
@@ -21,7 +21,8 @@ PROTO_SQL = E_SQL + """, d AS (SELECT label AS keyword, vec_id // 2 AS sentence,
 COS_SQL = PROTO_SQL + ", c AS (SELECT vec_id, vec_id // 64 AS sample, label, keyword, list_dot_product(u, p) AS cos, list_dot_product(u, p) / 0.07 AS z FROM e CROSS JOIN pr WHERE available)"
 
 
-SAMPLE = F.floor(F.col("id") / 64)
+def sample_of() -> Column:
+    return F.floor(F.col("id") / 64)
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def prototype_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {COS_SQL} SELECT sample, keyword, round(0.07 * (max(top) + ln(sum(exp(z - top))) - ln(count(*))), 6) AS score, true AS available FROM (SELECT *, max(z) OVER (PARTITION BY sample, keyword) AS top FROM c) GROUP BY sample, keyword UNION ALL SELECT DISTINCT vec_id // 64, keyword, NULL, false FROM e CROSS JOIN pr WHERE NOT available")
 def logmeanexp_score(spark: SparkSession, d: str) -> DataFrame:
-    states = embeddings(spark, d).withColumn("sample", SAMPLE).drop("keyword")
+    states = embeddings(spark, d).withColumn("sample", sample_of()).drop("keyword")
     known = prototypes(spark, d)
     scored = V.log_mean_exp(V.cosines(states, known), "sample").select("sample", "keyword", F.round("score", 6).alias("score"), F.lit(True).alias("available"))
     return scored.unionByName(V.unavailable(states.select("sample").distinct(), known))
@@ -71,7 +72,7 @@ def logmeanexp_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PROTO_SQL}, x AS (SELECT vec_id // 64 AS sample, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM e), m AS (SELECT sample, dim, avg(x) AS x FROM x GROUP BY sample, dim), mv AS (SELECT sample, list(x ORDER BY dim) AS v FROM m GROUP BY sample) SELECT sample, keyword, round(list_dot_product(v, p) / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS score FROM mv CROSS JOIN pr WHERE available")
 def mean_pool_score(spark: SparkSession, d: str) -> DataFrame:
     """Each sample's mean vector against the prototypes: the baseline of scores by states."""
-    pooled = V.mean_pooled(embeddings(spark, d).withColumn("sample", SAMPLE), "sample")
+    pooled = V.mean_pooled(embeddings(spark, d).withColumn("sample", sample_of()), "sample")
     return V.cosines(pooled, prototypes(spark, d)).select("sample", "keyword", F.round("cos", 6).alias("score"))
 
 
@@ -85,7 +86,7 @@ def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {COS_SQL}, l AS (SELECT vec_id, sample, max(top) + ln(sum(exp(z - top))) - max(z) FILTER (keyword = label) AS loss FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM c) GROUP BY vec_id, sample), s AS (SELECT sample, avg(loss) AS loss, count(loss) AS n FROM l WHERE loss IS NOT NULL GROUP BY sample) SELECT round(avg(loss), 6) AS loss, CAST(sum(n) AS BIGINT) AS n_words, (SELECT count(*) FROM e) - CAST(sum(n) AS BIGINT) AS n_ignored FROM s")
 def prototype_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
-    states = embeddings(spark, d).withColumnRenamed("keyword", "label").withColumn("sample", SAMPLE)
+    states = embeddings(spark, d).withColumnRenamed("keyword", "label").withColumn("sample", sample_of())
     each = V.cross_entropy(V.cosines(states, prototypes(spark, d)), "id", "label")
     by_sample = each.groupBy("sample").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
     total = states.agg(F.count("*").alias("all"))
@@ -102,7 +103,7 @@ _NCE_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id // 64 AS batch, vec_id // 6
 def _nce(spark: SparkSession, d: str) -> DataFrame:
     s = embeddings(spark, d).drop("keyword")
     i = F.col("id")
-    s = s.select("id", "vector", SAMPLE.alias("batch"), F.floor(i / 6).alias("context"), (F.floor(i / 6) % 7).alias("surface"), SAMPLE.alias("sample"), (i % 25).alias("grp"))
+    s = s.select("id", "vector", sample_of().alias("batch"), F.floor(i / 6).alias("context"), (F.floor(i / 6) % 7).alias("surface"), sample_of().alias("sample"), (i % 25).alias("grp"))
     words, states = s.where(i % 3 == 0), s.where(i % 3 != 0)
     a, b = V.info_nce(words, states), V.info_nce(states, words)
     one = V.balanced_mean(a, ["sample"], "loss").withColumnRenamed("loss", "e").crossJoin(a.agg(F.count("*").alias("n_e")))
@@ -142,7 +143,7 @@ _COST_SQL = E_SQL + """, s AS (SELECT vec_id, vec_id // 64 AS sample, vec_id % 3
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = embeddings(spark, d).withColumn("sample", SAMPLE)
+    s = embeddings(spark, d).withColumn("sample", sample_of())
     return s.where(F.col("id") % 3 != 0), s.where(F.col("id") % 3 == 0)
 
 
