@@ -35,6 +35,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch while a stage is written: texts come in batches of some megabytes, not tens.
+_BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     return staged_at(df, new_path(df.sparkSession, name))
@@ -43,12 +47,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def staged_at(df: DataFrame, path: str) -> DataFrame:
     """The same at a given path."""
     spark = df.sparkSession
-    before = spark.conf.get(_DROP_SHUFFLES)
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    wanted = {_DROP_SHUFFLES: "true"} | _BATCH_ROWS
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out
