@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroid_clusters, decontaminate, jaccard_join, language_id, license_scan, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_shards
+from . import centroid_clusters, decontaminate, jaccard_join, language_id, license_scan, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, suffix_dedup, super_minhash, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_super_minhash": super_minhash.op11_super_minhash,
     "op12_centroid_clusters": centroid_clusters.op12_centroid_clusters,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_secret_scan": secret_scan.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_super_minhash": super_minhash.SQL,
     "op12_centroid_clusters": centroid_clusters.SQL,
     "op13_periodic_runs": periodic_runs.SQL,
 }

@@ -42,18 +42,18 @@ _SIG = [f"s{i}" for i in range(BITS)]
 _SKETCHED = "doc_id long, n long, fp0 long, fp1 long, " + ", ".join(f"{s} long" for s in _SIG) + ", sketch array<long>"
 
 
-def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of n words."""
     raw_all, off_all = S.utf8(texts)
     for a, b in S.slices(off_all):
         raw, off = S.LOWER[raw_all[off_all[a] : off_all[b]]], off_all[a : b + 1] - off_all[a]
         starts, ends, row = S.word_spans(raw, off, S.SPACED)
         words = S.word_hashes(raw, starts, ends)
-        grams = S.gram_hashes(words, WORDS)
+        grams = S.gram_hashes(words, n)
         cut = np.searchsorted(row, np.arange(b - a + 1))
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo >= WORDS:
-                yield np.unique(grams[lo : hi - WORDS + 1])
+            if hi - lo >= n:
+                yield np.unique(grams[lo : hi - n + 1])
             elif hi > lo:
                 yield S.gram_hashes(words[lo:hi], hi - lo)
             else:
@@ -77,7 +77,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
             size, fp, sig, sketch = [], [], [], []
-            for s in _sets(part.column(1)):
+            for s in shingle_sets(part.column(1)):
                 size.append(len(s))
                 fp.append((s.sum(dtype=np.uint64), np.bitwise_xor.reduce(S.mix64(s)) if len(s) else 0))
                 bits = np.zeros(BITS * 64, bool)
@@ -93,7 +93,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(_sets(part.column(1))))], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1))))], ["doc_id", "grams"])
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _distinct_tiles(entries: DataFrame) -> DataFrame:
+def distinct_tiles(entries: DataFrame) -> DataFrame:
     """(gram, doc_id) of tiles with two documents or more; of tiles with the same documents, as the shingles of near
     copies have, the first alone. Two 64-bit combinations of hashes, the count and both ends tell sets of documents apart."""
     one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
@@ -163,10 +163,47 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = new
 
 
+def linked_components(links: DataFrame) -> DataFrame:
+    """components() of the ids that have links."""
+    return components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
+
+
+KEY = ["fp0", "fp1", "n"]  #: equal for equal sets
+
+
+def class_tables(sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of staged sketches (doc_id, KEY, more), which are then deleted: doc_id and KEY of all rows; KEY and class_id of each
+    class of equal sets; the sketches of the classes' smallest ids; (a, b) of classes that have a document in common, as it has several texts."""
+    sketched = S.staged(sketches.select("doc_id", *KEY), "keys")
+    some = sketched.where("n > 0 and doc_id is not null")
+    classes = S.staged(some.groupBy(*KEY).agg(F.min("doc_id").alias("class_id")), "classes")
+    leads = classes.withColumnRenamed("class_id", "doc_id")
+    first = S.staged(sketches.join(leads, ["doc_id", *KEY], "left_semi").dropDuplicates(["doc_id", *KEY]), "first")
+    S.forget(sketches)
+    several = S.staged(some.groupBy("doc_id").agg(F.min("fp0").alias("lo"), F.max("fp0").alias("hi")).where("lo < hi").select("doc_id"), "several")
+    of_doc = S.by_id(some, several, "left_semi").join(classes, KEY).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("all"))
+    same = S.staged(of_doc.select("a", F.explode("all").alias("b")).where("a < b").distinct(), "same")
+    return sketched, classes, first, same
+
+
+def with_components(sketched: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of all rows."""
+    moved = label.where("comp < id").select(F.col("id").alias("class_id"), "comp")
+    whole = classes.join(moved, "class_id", "left").select(*KEY, "class_id", F.coalesce("comp", "class_id").alias("comp"))
+    out = sketched.select("doc_id", *KEY).join(whole, KEY, "left")
+    own = F.col("doc_id").isNull() | F.col("class_id").isNull()
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("comp")).alias("component_id"),
+    )
+
+
 def _stars(first: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a document and the smallest or largest id of a tile of its STAR smallest hashes; a written table."""
     entries = S.staged(first.select("doc_id", F.explode(F.slice("sketch", 1, STAR)).alias("gram")).distinct(), "entries")
-    tiles = _distinct_tiles(entries)
+    tiles = distinct_tiles(entries)
     ends = tiles.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     ends = tiles.join(ends, "gram").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
     pairs = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
@@ -207,40 +244,19 @@ def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reached by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = S.staged(docs.mapInArrow(_sketch_batches, _SKETCHED), "sketches")
-    key = ["fp0", "fp1", "n"]
-    sketched = S.staged(sketches.select("doc_id", *key), "keys")
-    some = sketched.where("n > 0 and doc_id is not null")
-    classes = S.staged(some.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
-    leads = classes.withColumnRenamed("class_id", "doc_id")
-    first = S.staged(sketches.join(leads, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]), "first")
-    S.forget(sketches)
+    sketched, classes, first, same = class_tables(S.staged(docs.mapInArrow(_sketch_batches, _SKETCHED), "sketches"))
     facts = first.select("doc_id", F.struct("n", *_SIG).alias("m"))
-    # classes that have a document in common, as it has several texts
-    several = S.staged(some.groupBy("doc_id").agg(F.min("fp0").alias("lo"), F.max("fp0").alias("hi")).where("lo < hi").select("doc_id"), "several")
-    of_doc = S.by_id(some, several, "left_semi").join(classes, key).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("all"))
-    same = S.staged(of_doc.select("a", F.explode("all").alias("b")).where("a < b").distinct(), "same")
 
     star_pairs = _stars(first, facts)
     links = S.staged(_linked(star_pairs, docs).unionByName(same), "links")
-    label = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
+    label = linked_components(links)
 
     pairs = S.staged(_crossing(first, label, facts).join(star_pairs, ["a", "b"], "left_anti"), "cross")
     S.forget(first)
     if not pairs.isEmpty():
         links = S.staged(links.unionByName(_linked(pairs, docs)), "links")
-        label = components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
-
-    moved = label.where("comp < id").select(F.col("id").alias("class_id"), "comp")
-    whole = classes.join(moved, "class_id", "left").select(*key, "class_id", F.coalesce("comp", "class_id").alias("comp"))
-    out = sketched.select("doc_id", *key).join(whole, key, "left")
-    own = F.col("doc_id").isNull() | F.col("class_id").isNull()
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("comp")).alias("component_id"),
-    )
+        label = linked_components(links)
+    return with_components(sketched, classes, label)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -250,7 +266,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = S.by_id(docs, lead, "left_semi")
     again = S.staged(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     once, twice = S.by_id(kept, again, "left_anti"), S.by_id(kept, again, "left_semi")
-    order = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
+    order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*twice.columns)))  # the same row in every attempt
     twice = twice.withColumn("_lectern_row", F.row_number().over(order)).where("_lectern_row = 1").drop("_lectern_row")
     return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
 
@@ -259,23 +275,27 @@ def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(S.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-SQL = r"""
+def sql(n: int, percent: int, more: str = "") -> str:
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents
 ), grams AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) END) AS g
   FROM words
 ), one AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM grams
 ), pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
 ), edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
 ), reach AS (
   SELECT doc_id AS id, doc_id AS seen FROM documents
   UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.seen = e.a
 )
-SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, c.component_id
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, c.component_id{more}
 FROM grams g JOIN (SELECT id, min(seen) AS component_id FROM reach GROUP BY id) c ON c.id = g.doc_id
 """
+
+
+SQL = sql(WORDS, PERCENT)
