@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import unicodedata
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -30,8 +33,8 @@ def text_sha256(text: Column) -> Column:
 
 
 def group_id(text: Column, prefix: str = "grp:") -> Column:
-    """Id of the group of equal (normalised) texts."""
-    return F.concat(F.lit(prefix), text_sha256(text))
+    """Id of the group of equal (normalised) texts; null texts are one group."""
+    return F.concat(F.lit(prefix), F.coalesce(text_sha256(text), F.lit("none")))
 
 
 def pipe_list(text: Column) -> Column:
@@ -113,14 +116,35 @@ def affine(v: Column, gamma: Column, beta: Column) -> Column:
     return F.zip_with(F.zip_with(v, gamma, lambda x, g: x * g), beta, lambda x, b: x + b)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written into the checkpoint folder; local mode has a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder; in local mode
+    a temporary one where neither is set."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-lectern-", dir="/tmp"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="spark-lectern-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def checkpointed(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """df, written once as a table into the shared folder and read back: lineage is cut, and Spark knows the table's size.
+    batch_rows: rows of an Arrow batch while it is written, for rows that are large."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dense_index(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
@@ -134,7 +158,39 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     return ranges.withColumn("_in", inside).join(heads, "_range").select(*keys, (F.col("_head") + F.col("_in")).cast("long").alias(name))
 
 
-def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str = "lse") -> DataFrame:
-    """Stable logsumexp by keys: the largest value first, then the sum of exponentials of the differences."""
-    top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    return df.join(top, keys).groupBy(*keys).agg((F.max("_top") + F.log(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias(name))
+#: exp() of a value divided into steps of this size neither overflows nor vanishes.
+_STEP = 512.0
+
+
+def _batch_sums(keys: list[str], value: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            part = part[part[value].notna()]
+            group = part.groupby(keys, sort=False, dropna=False)
+            z, of = part[value].to_numpy(float), group.ngroup().to_numpy()
+            top = np.full(group.ngroups, -np.inf)
+            np.maximum.at(top, of, z)
+            finite = np.where(np.isfinite(top), top, 0.0)
+            total = np.bincount(of, np.exp(np.minimum(z, 1e300) - finite[of], where=np.isfinite(top[of]), out=np.zeros(len(z))), group.ngroups)
+            yield part.loc[~part.duplicated(keys), keys].assign(_top=top, _sum=total)
+
+    return run
+
+
+def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str = "lse", within: float | None = None) -> DataFrame:
+    """keys, name: logsumexp of the values of each key, with one shuffle; nulls are left out.
+
+    Values that cannot leave [-within, within] (cosines over a temperature) are summed as they are, in one aggregate. Others
+    become, for each key in a batch of rows, their largest and the sum scaled by it; these pairs are shuffled by key, those whose largest values lie in
+    the same step of 512 are added, and the steps of a key are added last. So a key with very many rows sends a pair for each batch, and none is joined back."""
+    if within is not None:
+        if within > _STEP:
+            raise ValueError(f"within must not exceed {_STEP}")
+        return df.groupBy(*keys).agg(F.log(F.sum(F.exp(value))).alias(name))
+    schema = df.select(*keys).schema.add("_top", "double").add("_sum", "double")
+    pairs = df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(_batch_sums(keys, value), schema).repartition(*keys)
+    step = F.when(F.abs("_top") < float("inf"), F.floor(F.col("_top") / _STEP) * _STEP)  # null for infinite values
+    near = pairs.withColumn("_step", step).groupBy(*keys, "_step").agg(F.sum(F.col("_sum") * F.exp(F.col("_top") - F.col("_step"))).alias("_sum"), F.max("_top").alias("_top"))
+    lists = near.groupBy(*keys).agg(F.max("_top").alias("_top"), F.max("_step").alias("_most"), F.collect_list(F.struct("_step", "_sum")).alias("_parts"))
+    total = F.aggregate("_parts", F.lit(0.0), lambda s, x: s + F.coalesce(x["_sum"] * F.exp(x["_step"] - F.col("_most")), F.lit(0.0)))
+    return lists.select(*keys, F.when(F.abs("_top") < float("inf"), F.col("_most") + F.log(total)).otherwise(F.col("_top")).alias(name))

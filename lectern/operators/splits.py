@@ -15,64 +15,80 @@ OCCURRENCE, GROUP, SIZE = 0.1, 0.9, 0.25
 THRESHOLDS = {"1_1_1": (1, 1, 1), "10_3_3": (10, 3, 3), "20_5_5": (20, 5, 5)}
 
 
+def label_counts(labels: DataFrame) -> DataFrame:
+    """group_id, label, n: how often each group has each label; from rows (group_id, label)."""
+    return labels.groupBy("group_id", "label").agg(F.count("*").alias("n"))
+
+
+def totals_of(counts: DataFrame) -> DataFrame:
+    """label, total occurrences, total groups; from label_counts."""
+    return counts.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("group_total"))
+
+
 def label_totals(labels: DataFrame) -> DataFrame:
-    """label, total occurrences, total groups; from rows (group_id, label)."""
-    each = labels.groupBy("group_id", "label").agg(F.count("*").alias("n"))
-    return each.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("group_total"))
+    return totals_of(label_counts(labels))
+
+
+def rarity_of(counts: DataFrame) -> DataFrame:
+    """group_id, rarity, label (its rarest); from label_counts, in one join and one aggregate."""
+    share = OCCURRENCE * F.sum(F.col("n") / F.col("total")) + GROUP * F.sum(1.0 / F.col("group_total"))
+    return counts.join(totals_of(counts), "label").groupBy("group_id").agg(F.round(share, 6).alias("rarity"), F.min(F.struct("group_total", "label"))["label"].alias("label"))
 
 
 def rarity(labels: DataFrame) -> DataFrame:
     """group_id, rarity: rare labels make a group come first."""
-    each = labels.groupBy("group_id", "label").agg(F.count("*").alias("n"))
-    with_totals = each.join(label_totals(labels), "label")
-    share = OCCURRENCE * F.sum(F.col("n") / F.col("total")) + GROUP * F.sum(1.0 / F.col("group_total"))
-    return with_totals.groupBy("group_id").agg(F.round(share, 6).alias("rarity"))
+    return rarity_of(label_counts(labels)).drop("label")
 
 
 def deal(groups: DataFrame, labels: DataFrame, k: int, inner: int) -> DataFrame:
     """group_id, rarity, size, fold, inner_fold, label (the rarest): groups of each rarest label are dealt in turn, rare and large ones first.
 
-    Places are numbered by ranges of (label, rarity, size, group), so a label that holds very many groups is no one task's."""
-    totals = label_totals(labels)
-    each = labels.select("group_id", "label").distinct().join(totals, "label")
-    rare = each.groupBy("group_id").agg(F.min(F.struct("group_total", "label"))["label"].alias("label"))
-    rank = Window.orderBy("label")  # over distinct labels only
-    ranked = rare.select("label").distinct().withColumn("label_rank", F.row_number().over(rank) - 1)
-    dealt = rare.join(F.broadcast(ranked), "label").join(rarity(labels), "group_id").join(groups, "group_id")
-    dealt = dealt.withColumn("down", -F.col("rarity")).withColumn("less", -F.col("size"))
-    placed = dense_index(dealt, ["label_rank", "down", "less", "group_id"], "place")
-    first = placed.groupBy("label_rank").agg(F.min("place").alias("first"))
-    placed = placed.join(F.broadcast(first), "label_rank").join(F.broadcast(ranked), "label_rank").withColumn("at", F.col("place") - F.col("first"))
-    dealt = placed.withColumn("rarity", -F.col("down")).withColumn("size", -F.col("less"))
-    fold = (F.col("at") + F.col("label_rank")) % k
-    inner_fold = (F.floor(F.col("at") / k) + F.col("label_rank")) % inner
-    return dealt.select("group_id", "rarity", "size", fold.cast("int").alias("fold"), inner_fold.cast("int").alias("inner_fold"), "label")
-
-
-def role_arrays(members: DataFrame, dealt: DataFrame, k: int, inner: int) -> DataFrame:
-    """members with roles, their role in each of k outer folds: test in their own fold, validation by the inner fold, else train."""
-    one = lambda i: F.when(F.col("fold") == i, "test").when(F.col("inner_fold") == i % inner, "validation").otherwise("train")
-    return members.join(dealt.select("group_id", "fold", "inner_fold"), "group_id").withColumn("roles", F.array(*[one(i) for i in range(k)])).drop("fold", "inner_fold")
+    A group without any label is dealt under the label "none", so no group is lost; group_id must not be null. Places are numbered
+    by ranges of (label, rarity, size, group), so a label that holds very many groups is no one task's."""
+    counts = checkpointed(label_counts(labels))  # read for totals and for groups
+    dealt = groups.select("group_id", "size").join(rarity_of(counts), "group_id", "left")
+    keys = dealt.select(F.coalesce("label", F.lit("none")).alias("label"), (-F.coalesce("rarity", F.lit(0.0))).alias("down"), (-F.col("size")).alias("less"), "group_id")
+    placed = checkpointed(dense_index(keys, ["label", "down", "less", "group_id"], "place"))
+    heads = placed.groupBy("label").agg(F.min("place").alias("first")).withColumn("label_rank", F.row_number().over(Window.orderBy("label")) - 1)  # a row for each label
+    at = F.col("place") - F.col("first")
+    fold, inner_fold = (at + F.col("label_rank")) % k, (F.floor(at / k) + F.col("label_rank")) % inner
+    return placed.join(heads, "label").select("group_id", (0.0 - F.col("down")).alias("rarity"), (-F.col("less")).alias("size"), fold.cast("int").alias("fold"), inner_fold.cast("int").alias("inner_fold"), "label")
+
+
+ROLES = ("train", "validation", "test")
+
+
+def role(i: int | Column, inner: int) -> Column:
+    """Place in ROLES of a group with fold and inner_fold in outer fold i: test in its own fold, validation by the inner fold, else train."""
+    return F.when(F.col("fold") == i, 2).when(F.col("inner_fold") == i % inner, 1).otherwise(0)
+
+
+def role_codes(members: DataFrame, dealt: DataFrame, k: int, inner: int) -> DataFrame:
+    """doc_id, grp, roles of members (doc_id, group_id); dealt also has grp, a number for the group. roles: the places in ROLES in the k outer folds as the digits of one number (base 3, fold 0 lowest)."""
+    code = sum((role(i, inner) * len(ROLES) ** i for i in range(1, k)), role(0, inner))
+    return members.join(dealt.select("group_id", "grp", code.cast("long").alias("roles")), "group_id").select("doc_id", "grp", "roles")
 
 
 def nested_roles(members: DataFrame, dealt: DataFrame, k: int, inner: int) -> DataFrame:
     """members x k outer folds with role."""
-    rows = role_arrays(members, dealt, k, inner)
-    return rows.select(*[c for c in rows.columns if c != "roles"], F.posexplode("roles").alias("outer_fold", "role"))
+    names = F.array(*[F.element_at(F.array(*map(F.lit, ROLES)), role(i, inner) + 1) for i in range(k)])
+    rows = members.join(dealt.select("group_id", names.alias("roles")), "group_id")  # a row for each group is made before members meet it
+    return rows.select(*members.columns, F.posexplode("roles").alias("outer_fold", "role"))
 
 
 def df_by_role(members: DataFrame, words: DataFrame, k: int, least: int) -> DataFrame:
     """outer_fold, keyword, df and the sentence and group document frequency of each word in each role, zeros included,
     for words of at least so many sentences.
 
-    members: doc_id (unique), group_id, roles (one for each fold, the same in all of a group); words: a row for each doc_id
-    and word. Words are counted by group first, then all folds and roles in one aggregate, so nothing is multiplied by folds."""
-    by_group = words.join(members, "doc_id").groupBy("keyword", "group_id").agg(F.count("*").alias("n"), F.min("roles").alias("roles"))
-    names = ("train", "validation", "test")
-    at = lambda i, r: F.get("roles", F.lit(i)) == r
-    counts = [c for i in range(k) for r in names for c in (F.sum(F.when(at(i, r), F.col("n")).otherwise(0)).alias(f"n_{i}_{r}"), F.count_if(at(i, r)).alias(f"g_{i}_{r}"))]
-    flat = by_group.groupBy("keyword").agg(F.sum("n").alias("df"), *counts).where(F.col("df") >= least)
-    row = lambda i: F.struct(F.lit(i).alias("outer_fold"), *[F.col(f"n_{i}_{r}").alias(f"{r}_df") for r in names], *[F.col(f"g_{i}_{r}").alias(f"{r}_group_df") for r in names])
+    members: doc_id (unique), grp, roles (of role_codes, the same in all of a group); words: a row for each doc_id and word.
+    Words are counted by group, then by the few role codes that there are, and the counts of those make all folds and roles, so
+    nothing is multiplied by folds."""
+    by_group = words.join(members, "doc_id").groupBy("keyword", "grp").agg(F.count("*").alias("n"), F.min("roles").alias("roles"))
+    by_code = by_group.groupBy("keyword", "roles").agg(F.sum("n").alias("n"), F.count("*").alias("g"))
+    at = lambda i, r: F.floor(F.col("roles") / len(ROLES) ** i) % len(ROLES) == r
+    counts = [F.sum(F.when(at(i, r), F.col(c)).otherwise(0)).alias(f"{c}_{i}_{r}") for i in range(k) for r in range(len(ROLES)) for c in ("n", "g")]
+    flat = by_code.groupBy("keyword").agg(F.sum("n").alias("df"), *counts).where(F.col("df") >= least)
+    row = lambda i: F.struct(F.lit(i).alias("outer_fold"), *[F.col(f"{c}_{i}_{j}").alias(f"{r}_{name}") for c, name in (("n", "df"), ("g", "group_df")) for j, r in enumerate(ROLES)])
     return flat.select("keyword", "df", F.inline(F.array(*[row(i) for i in range(k)])))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import common as C
 
+from . import transport as T
+
 TAU = 0.07
 
 
@@ -43,11 +45,10 @@ def cosines(states: DataFrame, prototypes: DataFrame) -> DataFrame:
 
 
 def log_mean_exp(found: DataFrame, unit: str) -> DataFrame:
-    """tau (logsumexp_t(cos / tau) - ln T) by (unit, keyword): partial maxima and sums, so long units split over tasks."""
-    scaled = found.withColumn("z", F.col("cos") / TAU)
-    top = scaled.groupBy(unit, "keyword").agg(F.max("z").alias("top"))
-    sums = scaled.join(top, [unit, "keyword"]).groupBy(unit, "keyword").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("z") - F.col("top"))).alias("s"), F.count("*").alias("n"))
-    return sums.select(unit, "keyword", (TAU * (F.col("top") + F.log("s") - F.log("n"))).alias("score"))
+    """tau (logsumexp_t(cos / tau) - ln T) by (unit, keyword). Cosines are bounded, so one aggregate of exponentials does, and long
+    units split over tasks."""
+    sums = found.groupBy(unit, "keyword").agg(F.sum(F.exp(F.col("cos") / TAU)).alias("s"), F.count("cos").alias("n"))
+    return sums.select(unit, "keyword", (TAU * (F.log("s") - F.log("n"))).alias("score"))
 
 
 def unavailable(units: DataFrame, prototypes: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def cross_entropy(found: DataFrame, query: str, target: str) -> DataFrame:
 
     found holds a row for each (query, keyword) with cos and the query's target."""
     z = found.withColumn("z", F.col("cos") / TAU)
-    lse = C.log_sum_exp(z, [query], "z")
+    lse = C.log_sum_exp(z, [query], "z", within=2 / TAU)
     own = z.where(F.col(target) == F.col("keyword"))
     return own.join(lse, query).withColumn("loss", F.col("lse") - F.col("z"))
 
@@ -93,10 +94,7 @@ def info_nce(queries: DataFrame, keys: DataFrame) -> DataFrame:
     k = keys.select("batch", F.col("id").alias("k_id"), F.col("context").alias("k_context"), F.col("surface").alias("k_surface"), F.col("vector").alias("k_vector"))
     pairs = queries.join(k, "batch").where((F.col("context") == F.col("k_context")) | (F.col("surface") != F.col("k_surface")))
     z = pairs.select("id", (F.col("context") == F.col("k_context")).alias("pos"), (C.dot(C.unit(F.col("vector")), C.unit(F.col("k_vector"))) / TAU).alias("z"))
-    top = z.groupBy("id").agg(F.max("z").alias("top"))
-    sums = z.join(top, "id").groupBy("id").agg(
-        F.sum(F.exp(F.col("z") - F.col("top"))).alias("den"), F.sum(F.when(F.col("pos"), F.exp(F.col("z") - F.col("top")))).alias("num"), F.count_if(~F.col("pos")).alias("negatives"),
-    )
+    sums = z.groupBy("id").agg(F.sum(F.exp("z")).alias("den"), F.sum(F.when(F.col("pos"), F.exp("z"))).alias("num"), F.count_if(~F.col("pos")).alias("negatives"))  # cosines are bounded
     kept = sums.where("num is not null and negatives > 0").select("id", (F.log("den") - F.log("num")).alias("loss"))
     return queries.drop("vector").join(kept, "id")
 
@@ -124,8 +122,8 @@ def project(df: DataFrame, vector: str, weights: np.ndarray, names: list[str]) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             x = np.array(part[vector].tolist(), dtype=float).reshape(len(part), -1)
-            x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) if len(part) else np.zeros((0, len(shared.value)))
-            yield pd.concat([part[kept].reset_index(drop=True), pd.DataFrame(x @ shared.value, columns=names)], axis=1)
+            x = layer_projection(x, shared.value) if len(part) else np.zeros((0, len(names)))
+            yield pd.concat([part[kept].reset_index(drop=True), pd.DataFrame(x, columns=names)], axis=1)
 
     schema = df.select(*kept).schema
     for n in names:
@@ -155,28 +153,42 @@ def sinkhorn(cost: np.ndarray, epsilon: float, rounds: int) -> np.ndarray:
 
 
 def plans(costs: DataFrame, sample: str, epsilon: float = 0.05, rounds: int = 50, most_cells: int = 4_000_000) -> DataFrame:
-    """sample, t, j, mass, cost: one pandas group for each sample, whose cells must not exceed most_cells."""
+    """sample, t, j, mass, cost. Samples are counted: those of up to most_cells cells are solved as one pandas group each, larger
+    ones in blocks of cells (``transport``), by the same steps."""
+    sizes = costs.groupBy(sample).agg(F.count("*").alias("cells"))
+    large = C.checkpointed(sizes.where(F.col("cells") > most_cells).select(sample))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most_cells:
-            raise ValueError(f"sample {part[sample].iloc[0]}: {len(part)} cells")
         part = part.sort_values(["t", "j"])
         n = part["j"].nunique()
         return part.assign(mass=sinkhorn(part["cost"].to_numpy().reshape(-1, n), epsilon, rounds).ravel())[[sample, "t", "j", "mass", "cost"]]
 
-    return costs.groupBy(sample).applyInPandas(solve, f"{sample} long, t long, j long, mass double, cost double")
+    schema = f"{sample} long, t long, j long, mass double, cost double"
+    if large.isEmpty():
+        return costs.groupBy(sample).applyInPandas(solve, schema)
+    small = costs.join(large, sample, "left_anti").groupBy(sample).applyInPandas(solve, schema)
+    blocks = T.cell_blocks(costs.join(large, sample, "left_semi"), sample)
+    found = T.plan(blocks, *T.potentials(blocks, sample, epsilon, rounds), sample, epsilon)
+    return small.unionByName(found.withColumn(sample, F.col(sample).cast("long")))
+
+
+def layer_projection(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """LayerNorm of the rows, then the linear map."""
+    return (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) @ weights
 
 
-def align(states: DataFrame, words: DataFrame, sample: str, epsilon: float = 0.05, rounds: int = 50) -> DataFrame:
-    """sample, j, mean_cost, pooled: cost, plan and pooling in one pass over each sample, which holds a bounded number of
-    states and words (both sides of a sample meet in one pandas group)."""
+def align(states: DataFrame, words: DataFrame, sample: str, epsilon: float = 0.05, rounds: int = 50, weights: np.ndarray | None = None) -> DataFrame:
+    """sample, j, mean_cost, pooled: projection of the words to the states' width (where weights are given), cost, plan and pooling in
+    one pass over each sample, which holds a bounded number of states and words (both sides of a sample meet in one pandas group)."""
     kind = "array<double>"
+    shared = states.sparkSession.sparkContext.broadcast(weights)
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({sample: [], "j": [], "mean_cost": [], "pooled": []})
         right = right.sort_values("j")
         x, y = np.array(left["vector"].tolist(), float), np.array(right["w"].tolist(), float)
+        y = y if shared.value is None else layer_projection(y, shared.value)
         unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), C.EPS)
         cost = 1 - np.clip(unit(x) @ unit(y).T, -1, 1)
         plan = sinkhorn(cost, epsilon, rounds)

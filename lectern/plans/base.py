@@ -59,9 +59,9 @@ def views(spark: SparkSession, d: str) -> DataFrame:
 K, INNER = 5, 8
 
 LABELS_SQL = r"""sent AS (SELECT doc_id, lang, source, text, regexp_replace(text, '^[\t-\r\x1c-\x1f ]+|[\t-\r\x1c-\x1f ]+$', '', 'g') AS norm FROM documents
-), s AS (SELECT doc_id, lang, source, text, norm, 'grp:' || sha256(norm) AS group_id FROM sent
-), sl AS (SELECT doc_id, group_id, 'lang=' || lang AS label FROM s UNION ALL SELECT doc_id, group_id, 'source=' || source FROM s
-  UNION ALL SELECT s.doc_id, group_id, 'quality=' || quality FROM s JOIN labels l ON s.doc_id = l.doc_id UNION ALL SELECT s.doc_id, group_id, 'toxic=' || toxic FROM s JOIN labels l ON s.doc_id = l.doc_id
+), s AS (SELECT doc_id, lang, source, text, norm, 'grp:' || coalesce(sha256(norm), 'none') AS group_id FROM sent
+), sl AS (SELECT doc_id, group_id, 'lang=' || coalesce(lang, 'none') AS label FROM s UNION ALL SELECT doc_id, group_id, 'source=' || coalesce(source, 'none') FROM s
+  UNION ALL SELECT s.doc_id, group_id, 'quality=' || coalesce(CAST(quality AS VARCHAR), 'none') FROM s JOIN labels l ON s.doc_id = l.doc_id UNION ALL SELECT s.doc_id, group_id, 'toxic=' || coalesce(CAST(toxic AS VARCHAR), 'none') FROM s JOIN labels l ON s.doc_id = l.doc_id
 ), gl AS (SELECT group_id, label, count(*) AS n FROM sl GROUP BY group_id, label
 ), tot AS (SELECT label, CAST(sum(n) AS BIGINT) AS total, count(*) AS group_total FROM gl GROUP BY label
 ), gs AS (SELECT group_id, count(*) AS size, min(doc_id) AS first_id FROM s GROUP BY group_id
@@ -76,18 +76,24 @@ FOLDS_SQL = LABELS_SQL + """, rare AS (SELECT group_id, label FROM (SELECT group
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with norm and group_id. LABELS_SQL strips only, as DuckDB has no NFKC: it agrees where NFKC changes no text."""
+    """doc_id, group_id, lang, source of all documents; null texts are one group. Texts are normalised in one pass and left behind:
+    queries that use the groups more than once write this table first (``written_sentences``).
+    LABELS_SQL strips only, as DuckDB has no NFKC: it agrees where NFKC changes no text."""
     from lectern.functions.common import group_id, normalize_text
 
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    return docs.withColumn("norm", normalize_text(F.col("text"))).withColumn("group_id", group_id(F.col("norm")))
+    return table(spark, d, "documents").select("doc_id", group_id(normalize_text(F.col("text"))).alias("group_id"), "lang", "source")
 
 
-def sentence_labels(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, group_id, label: language and source for all, quality and toxicity where they are marked."""
-    s = sentences(spark, d).select("doc_id", "group_id", "lang", "source")
+def written_sentences(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.functions.common import checkpointed
+
+    return checkpointed(sentences(spark, d))
+
+
+def sentence_labels(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """doc_id, group_id, label of written sentences: language and source for all (a null is "none"), quality and toxicity where they are marked."""
     marks = table(spark, d, "labels")
-    names = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("lang", "source", "quality", "toxic")]
+    names = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in ("lang", "source", "quality", "toxic")]
     own = s.select("doc_id", "group_id", F.explode(F.array(*names[:2])).alias("label"))
     marked = s.join(marks, "doc_id").select("doc_id", "group_id", F.explode(F.array(*names[2:])).alias("label"))
     return own.unionByName(marked)

@@ -10,7 +10,7 @@ from lectern.operators import protocol as T
 from lectern.operators import quality as Q
 from lectern.operators import splits as P
 
-from .base import FOLDS_SQL, K, LABELS_SQL, VIEWS_SQL, keywords, query, sentence_labels, sentences, table, views
+from .base import FOLDS_SQL, K, LABELS_SQL, VIEWS_SQL, keywords, query, sentence_labels, table, views, written_sentences
 from .splitting import _DF_SQL, LEXICON_SQL, OCC_FOLDS_SQL, document_words, eligibility_flags, folds, lexicon, occurrence_folds, order_views
 from .texts import _POS_SQL, word_table
 from .vectoring import PROTO_SQL, embeddings, prototypes, sample_of
@@ -63,8 +63,9 @@ def identity_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LABELS_SQL}, m AS (SELECT group_id, count(*) AS size, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM s GROUP BY group_id), c AS (SELECT group_id, string_agg(label || ':' || n, ',' ORDER BY label) AS label_counts FROM gl GROUP BY group_id) SELECT m.group_id, size, members, label_counts FROM m LEFT JOIN c USING (group_id)")
 def group_members(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal texts with their members and how often they have each label."""
-    m = sentences(spark, d).groupBy("group_id").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("members"))
-    each = sentence_labels(spark, d).groupBy("group_id", "label").agg(F.count("*").alias("n"))
+    w = written_sentences(spark, d)
+    m = w.groupBy("group_id").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("members"))
+    each = sentence_labels(spark, d, w).groupBy("group_id", "label").agg(F.count("*").alias("n"))
     counts = each.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("c"))
     said = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["label"], x["n"])), ",")
     return m.join(counts.select("group_id", said.alias("label_counts")), "group_id", "left")

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.common import words
+from lectern.functions.common import checkpointed, words
 from lectern.operators import splits as P
 from lectern.operators.contains import contained
 
-from .base import FOLDS_SQL, INNER, K, LABELS_SQL, order_views, query, sentence_labels, sentences, table
+from .base import FOLDS_SQL, INNER, K, LABELS_SQL, order_views, query, sentence_labels, sentences, table, written_sentences
 
 
 @query(f"WITH {LABELS_SQL} SELECT group_id, size, first_id FROM gs")
 def sentence_groups(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(spark, d).groupBy("group_id").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id"))
+    return groups_of(sentences(spark, d))
 
 
 @query(f"WITH {LABELS_SQL} SELECT count(*) AS n_groups, count(*) FILTER (size > 1) AS n_repeated, max(size) AS largest FROM gs")
@@ -24,25 +24,32 @@ def group_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LABELS_SQL} SELECT * FROM tot")
 def label_totals(spark: SparkSession, d: str) -> DataFrame:
-    return P.label_totals(sentence_labels(spark, d))
+    return P.label_totals(sentence_labels(spark, d, written_sentences(spark, d)))
 
 
 @query(f"WITH {LABELS_SQL} SELECT * FROM rar")
 def group_rarity(spark: SparkSession, d: str) -> DataFrame:
-    return P.rarity(sentence_labels(spark, d))
+    return P.rarity(sentence_labels(spark, d, written_sentences(spark, d)))
 
 
-def _deal(spark: SparkSession, d: str) -> DataFrame:
-    return P.deal(sentence_groups(spark, d).select("group_id", "size"), sentence_labels(spark, d), K, INNER).drop("label")
+def groups_of(s: DataFrame) -> DataFrame:
+    """group_id, size, first_id."""
+    return s.groupBy("group_id").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_id"))
 
 
-def folds(spark: SparkSession, d: str) -> DataFrame:
-    return P.nested_roles(sentences(spark, d).select("doc_id", "group_id"), _deal(spark, d), K, INNER)
+def _deal(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    return P.deal(groups_of(s), sentence_labels(spark, d, s), K, INNER).drop("label")
+
+
+def folds(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    """outer_fold, doc_id, group_id, role of written sentences."""
+    s = written_sentences(spark, d) if s is None else s
+    return P.nested_roles(s.select("doc_id", "group_id"), _deal(spark, d, s), K, INNER)
 
 
 @query(f"WITH {FOLDS_SQL} SELECT group_id, rarity, size, fold, inner_fold FROM deal")
 def fold_deal(spark: SparkSession, d: str) -> DataFrame:
-    return _deal(spark, d)
+    return _deal(spark, d, written_sentences(spark, d))
 
 
 @query(f"WITH {FOLDS_SQL} SELECT * FROM folds")
@@ -70,7 +77,9 @@ _DF_SQL = f"""{FOLDS_SQL}, {LEXICON_SQL}, fw AS (SELECT outer_fold, keyword, rol
 
 
 def _dfs(spark: SparkSession, d: str) -> DataFrame:
-    members = P.role_arrays(sentences(spark, d).select("doc_id", "group_id"), _deal(spark, d), K, INNER)
+    s = written_sentences(spark, d)
+    named = _deal(spark, d, s).join(groups_of(s).select("group_id", F.col("first_id").alias("grp")), "group_id")  # a number in place of the long id
+    members = P.role_codes(s.select("doc_id", "group_id"), named, K, INNER)
     return P.df_by_role(members, document_words(spark, d), K, 50)
 
 
@@ -171,7 +180,7 @@ def views_by_sentence(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'legal_role', count(*) FROM folds WHERE role NOT IN ('train', 'validation', 'test')
   UNION ALL SELECT 'unique_key', count(*) FROM (SELECT outer_fold, doc_id FROM folds GROUP BY outer_fold, doc_id HAVING count(*) > 1)) SELECT * FROM bad""")
 def fold_audit(spark: SparkSession, d: str) -> DataFrame:
-    f = folds(spark, d)
+    f = checkpointed(folds(spark, d))  # five checks read it
     return P.union_all([
         P.check("group_role_atomic", P.role_atomic(f)),
         P.check("tested_exactly_once", P.tested_once(f)),
@@ -205,8 +214,9 @@ def benchmark_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FOLDS_SQL}, held AS (SELECT fold, label, CAST(sum(n) AS BIGINT) AS n, count(*) AS g FROM deal JOIN gl USING (group_id) GROUP BY fold, label), cells AS (SELECT outer_fold AS fold, tot.label, total, group_total, coalesce(n, 0) AS n, coalesce(g, 0) AS g FROM ks CROSS JOIN tot LEFT JOIN held ON held.fold = outer_fold AND held.label = tot.label), lab AS (SELECT 5 * (0.1 * avg(pow((n - total / 5) / greatest(total / 5, 1), 2)) + 0.9 * avg(pow((g - group_total / 5) / greatest(group_total / 5, 1), 2))) AS c FROM cells), sz AS (SELECT sum(pow((have - want / 5) / greatest(want / 5, 1), 2)) AS c FROM (SELECT fold, sum(size) AS have, sum(sum(size)) OVER () AS want FROM deal GROUP BY fold)) SELECT 0 AS restart, round(lab.c + 0.25 * sz.c, 6) AS objective FROM lab, sz")
 def fold_objective(spark: SparkSession, d: str) -> DataFrame:
-    assigned = _deal(spark, d).select(F.lit(0).alias("restart"), "group_id", "size", "fold")
-    return P.objective(assigned, sentence_labels(spark, d), K)
+    s = written_sentences(spark, d)
+    assigned = _deal(spark, d, s).select(F.lit(0).alias("restart"), "group_id", "size", "fold")
+    return P.objective(assigned, sentence_labels(spark, d, s), K)
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import common as C
+from lectern.operators import transport as T
 from lectern.operators import vectors as V
 
 from .base import SQL, query, table
@@ -153,13 +154,15 @@ def cosine_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The same iterations by recursion: u from the rows' logsumexp, then v from the columns', 50 times.
-_PLAN_SQL = "WITH RECURSIVE " + _COST_SQL + """, k0 AS (SELECT sample, t, j, cost, -cost / 0.05 AS k, ln(count(*) OVER (PARTITION BY sample, j)) AS ln_t, ln(count(*) OVER (PARTITION BY sample, t)) AS ln_n FROM cost
+_ITERATED = """, k0 AS (SELECT sample, t, j, cost, -cost / 0.05 AS k, ln(count(*) OVER (PARTITION BY sample, j)) AS ln_t, ln(count(*) OVER (PARTITION BY sample, t)) AS ln_n FROM cost
 ), it AS (SELECT 0 AS round, sample, t, j, cost, k, ln_t, ln_n, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v FROM k0
   UNION ALL SELECT round + 1, sample, t, j, cost, k, ln_t, ln_n, u, -ln_n - (m + ln(sum(exp(k + u - m)) OVER (PARTITION BY sample, j))) FROM (
     SELECT *, max(k + u) OVER (PARTITION BY sample, j) AS m FROM (
       SELECT round, sample, t, j, cost, k, ln_t, ln_n, v, -ln_t - (m + ln(sum(exp(k + v - m)) OVER (PARTITION BY sample, t))) AS u FROM (
         SELECT *, max(k + v) OVER (PARTITION BY sample, t) AS m FROM it WHERE round < 50)))
 ), plan AS (SELECT sample, t, j, cost, exp(k + u + v) AS mass, ln_t, ln_n FROM it WHERE round = 50)"""
+_PLAN_SQL = "WITH RECURSIVE " + _COST_SQL + _ITERATED
+_WHOLE_SQL = "WITH RECURSIVE " + _COST_SQL.replace("vec_id // 64 AS sample", "0 AS sample") + _ITERATED  # all embeddings are one sample
 
 
 @query(f"{_PLAN_SQL} SELECT sample, t, j, round(mass, 7) AS mass, round(cost, 6) AS cost FROM plan")
@@ -174,12 +177,12 @@ def sinkhorn_equal_cost(spark: SparkSession, d: str) -> DataFrame:
     return V.plans(equal, "sample").select("sample", "t", "j", F.round("mass", 9).alias("mass"))
 
 
-@query(f"{_PLAN_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word) SELECT plan.sample, j, dim, round(sum(mass * x) / sum(mass), 5) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim")
+@query(f"{_PLAN_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word) SELECT plan.sample, j, dim, round(sum(mass * x) / sum(mass), 5) + CAST(0 AS DOUBLE) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim")
 def transport_pool(spark: SparkSession, d: str) -> DataFrame:
     """States pooled for each word by the solver's plan."""
     states, words = _sides(spark, d)
     plan = V.plans(V.pair_costs(states, words, "sample"), "sample")
-    return V.pool(plan, states, "sample").select("sample", "j", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
+    return V.pool(plan, states, "sample").select("sample", "j", F.col("dim").cast("long").alias("dim"), (F.round("value", 5) + 0.0).alias("value"))  # no negative zero
 
 
 @query(f"{_PLAN_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word), pool AS (SELECT plan.sample, j, dim, sum(mass * x) / sum(mass) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim) SELECT sample, j, round(sum(mass * cost) * any_value(exp(ln_n)), 6) AS mean_cost, (SELECT round(sum(value), 4) FROM pool WHERE pool.sample = plan.sample AND pool.j = plan.j) AS total FROM plan GROUP BY sample, j")
@@ -214,6 +217,44 @@ def alignment_report(spark: SparkSession, d: str) -> DataFrame:
     return V.weighted_total(terms, {"transport": 1.0, "contrast": 1.0, "prototype": 0.5}).select(F.round("weighted_total", 4).alias("weighted_total"))
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    s = embeddings(spark, d).withColumn("sample", F.lit(0).cast("long"))
+    return T.cost_blocks(s.where(F.col("id") % 3 != 0), s.where(F.col("id") % 3 == 0), "sample")
+
+
+@query(f"{_WHOLE_SQL} SELECT sample, t, j, round(mass * 1e4, 6) AS mass, round(cost, 6) AS cost FROM plan")
+def sinkhorn_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of one sample that holds all embeddings, however many: solved in blocks of cells. Masses in ten-thousandths."""
+    blocks = _whole(spark, d)
+    plan = T.plan(blocks, *T.potentials(blocks, "sample"), "sample")
+    return plan.select(F.col("sample").cast("int").alias("sample"), "t", "j", F.round(F.col("mass") * 1e4, 6).alias("mass"), F.round("cost", 6).alias("cost"))
+
+
+@query(f"{_WHOLE_SQL}, tot AS (SELECT sample, sum(mass * cost) AS transport_cost, -sum(mass * ln(mass)) FILTER (mass > 0) AS entropy, sum(mass) AS mass, count(DISTINCT t) AS n_t, count(DISTINCT j) AS n_j FROM plan GROUP BY sample), re AS (SELECT max(abs(m - 1 / n_t)) AS row_error FROM (SELECT t, sum(mass) AS m FROM plan GROUP BY t), (SELECT n_t FROM tot)), ce AS (SELECT max(abs(m - 1 / n_j)) AS column_error FROM (SELECT j, sum(mass) AS m FROM plan GROUP BY j), (SELECT n_j FROM tot)) SELECT round(transport_cost, 6) AS transport_cost, round(entropy, 5) AS entropy, round(mass, 6) AS mass, n_t, n_j, round(row_error, 8) AS row_error, round(column_error, 8) AS column_error, row_error <= 1e-3 AND column_error <= 1e-3 AND abs(mass - 1) <= 1e-3 AS sound FROM tot, re, ce")
+def transport_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Cost, entropy, mass and errors of that plan, summed by blocks."""
+    blocks = _whole(spark, d)
+    r = T.report(blocks, *T.potentials(blocks, "sample"), "sample")
+    sound = (F.abs(F.col("mass") - 1) <= 1e-3) & (F.col("row_error") <= 1e-3) & (F.col("column_error") <= 1e-3)
+    said = [F.round(c, n).alias(c) for c, n in (("transport_cost", 6), ("entropy", 5), ("mass", 6), ("row_error", 8), ("column_error", 8))]
+    return r.select(*said[:3], "n_t", "n_j", *said[3:], sound.alias("sound"))
+
+
+_PROJECTED_SQL = "WITH RECURSIVE " + E_SQL + """, y AS (SELECT vec_id, list_transform(v, lambda x: (x - m) / sqrt(s + 1e-5)) AS y FROM (SELECT vec_id, v, list_avg(v) AS m, list_var_pop(v) AS s FROM e WHERE vec_id % 3 = 0)
+), q AS (SELECT vec_id, list_transform(range(0, 64), lambda j: list_dot_product(y, list_transform(range(0, 64), lambda i: ((i * 7 + j * 13) % 11 - 5) / 10.0))) AS q FROM y
+), s AS (SELECT vec_id, vec_id // 64 AS sample, false AS word, u, v FROM e WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, vec_id // 64, true, list_transform(q, lambda x: x / greatest(sqrt(list_dot_product(q, q)), 1e-8)), q FROM q
+), cost AS (SELECT a.sample, a.vec_id AS t, b.vec_id AS j, 1 - least(1.0, greatest(-1.0, list_dot_product(a.u, b.u))) AS cost FROM s a JOIN s b ON a.sample = b.sample AND NOT a.word AND b.word)""" + _ITERATED
+
+
+@query(f"{_PROJECTED_SQL}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS dim FROM s WHERE NOT word), pool AS (SELECT plan.sample, j, dim, sum(mass * x) / sum(mass) AS value FROM plan JOIN x ON plan.t = x.vec_id GROUP BY plan.sample, j, dim) SELECT sample, j, round(sum(mass * cost) * any_value(exp(ln_n)), 6) AS mean_cost, (SELECT round(sum(value), 4) + CAST(0 AS DOUBLE) FROM pool WHERE pool.sample = plan.sample AND pool.j = plan.j) AS total FROM plan GROUP BY sample, j")
+def align_projected(spark: SparkSession, d: str) -> DataFrame:
+    """The whole alignment: words normalised and projected by given weights, cost, plan, pooling."""
+    states, words = _sides(spark, d)
+    total = F.aggregate("pooled", F.lit(0.0), lambda s, x: s + x)
+    weights = np.array([[((i * 7 + j * 13) % 11 - 5) / 10 for j in range(64)] for i in range(64)])
+    return V.align(states, words, "sample", weights=weights).select("sample", "j", F.round("mean_cost", 6).alias("mean_cost"), (F.round(total, 4) + 0.0).alias("total"))
+
+
 #: Scalar mix of the fixture: weights of the layers before the softmax.
 MIX = (0.2, -0.1, 0.4)
 
