@@ -117,57 +117,6 @@ def objective(assigned: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return by_label.join(by_size, "restart").select("restart", F.round(F.col("labels") + SIZE * F.col("size_cost"), 6).alias("objective"))
 
 
-def _starts(groups: DataFrame, labels: DataFrame, k: int, restarts: int, seed: int) -> DataFrame:
-    """restart, group_id, size, fold: the deal, with each label's first fold drawn anew for every restart but the first."""
-    dealt = deal(groups, labels, k, 1).select("group_id", "size", "fold", "label")
-    rows = dealt.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    turn = F.when(F.col("restart") == 0, 0).otherwise(F.pmod(F.xxhash64("label", "restart", F.lit(seed)), F.lit(k)))
-    return rows.select("restart", "group_id", "size", ((F.col("fold") + turn) % k).cast("int").alias("fold"))
-
-
-def greedy_folds(groups: DataFrame, labels: DataFrame, k: int, restarts: int, rounds: int = 8, seed: int = 42) -> DataFrame:
-    """restart, group_id, size, fold: each restart's deal, improved by moving groups for as long as the objective falls.
-
-    In a round every group's best move is worked out from the folds' totals; for each restart and pair of folds the best one
-    is made, and kept if the restart's objective is lower for it. Totals and moves are aggregates, so no task holds all groups."""
-    each = checkpointed(labels.groupBy("group_id", "label").agg(F.count("*").alias("n")))
-    totals = each.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("group_total"))
-    n_labels = totals.agg(F.count("*").alias("n_labels"))
-    off = lambda have, want: F.pow((have - want) / F.greatest(want, F.lit(1.0)), F.lit(2.0))
-    per_fold = lambda value, name: [F.sum(F.when(F.col("fold") == i, value).otherwise(0)).alias(f"{name}{i}") for i in range(k)]
-    own = lambda name: F.get(F.array(*[F.col(f"{name}{i}") for i in range(k)]), F.col("fold"))
-
-    def change(name: str, i: int, add: Column, want: Column) -> Column:
-        """What a move of ``add`` from a group's fold to fold i adds to the squared deviations."""
-        here, there = own(name), F.col(f"{name}{i}")
-        return off(here - add, want) - off(here, want) + off(there + add, want) - off(there, want)
-
-    state = checkpointed(_starts(groups, labels, k, restarts, seed))
-    score = checkpointed(objective(state, labels, k))
-    for _ in range(rounds):
-        with_labels = state.join(each, "group_id")
-        cells = with_labels.groupBy("restart", "label").agg(*per_fold(F.col("n"), "n"), *per_fold(F.lit(1), "g")).join(totals, "label")
-        sizes = state.groupBy("restart").agg(*per_fold(F.col("size"), "s"), F.sum("size").alias("whole"))
-        moved = with_labels.join(cells, ["restart", "label"]).crossJoin(F.broadcast(n_labels))  # one row
-        want_n, want_g = F.col("total") / k, F.col("group_total") / k
-        cost = lambda i: (OCCURRENCE * change("n", i, F.col("n"), want_n) + GROUP * change("g", i, F.lit(1), want_g)) / F.col("n_labels")
-        by_group = moved.groupBy("restart", "group_id", "size", "fold").agg(*[F.sum(cost(i)).alias(f"c{i}") for i in range(k)]).join(F.broadcast(sizes), "restart")
-        whole = [F.struct((F.col(f"c{i}") + SIZE * change("s", i, F.col("size"), F.col("whole") / k)).alias("change"), F.lit(i).alias("to")) for i in range(k)]
-        best = by_group.select("restart", "group_id", "fold", F.array_min(F.filter(F.array(*whole), lambda x: x["to"] != F.col("fold"))).alias("x")).where("x.change < -1e-12")
-        made = best.groupBy("restart", "fold", "x.to").agg(F.min_by("group_id", F.struct("x.change", "group_id")).alias("group_id"))
-        next_ = state.join(made.select("restart", "group_id", "to"), ["restart", "group_id"], "left").withColumn("to", F.coalesce("to", "fold"))
-        tried = checkpointed(next_.select("restart", "group_id", "size", F.col("to").alias("fold"), F.col("fold").alias("before")))
-        new = objective(tried.drop("before"), labels, k).select("restart", F.col("objective").alias("new"))
-        both = checkpointed(score.join(new, "restart"))
-        if both.where("new < objective").isEmpty():
-            break
-        better = both.select("restart", (F.col("new") < F.col("objective")).alias("better"))
-        kept = F.when(F.col("better"), F.col("fold")).otherwise(F.col("before")).alias("fold")
-        state = checkpointed(tried.join(F.broadcast(better), "restart").select("restart", "group_id", "size", kept))
-        score = both.select("restart", F.least("new", "objective").alias("objective"))
-    return state
-
-
 def role_atomic(folds: DataFrame) -> DataFrame:
     """(fold, group) whose members stand in more than one role."""
     return folds.groupBy("outer_fold", "group_id").agg(F.countDistinct("role").alias("roles")).where("roles > 1")

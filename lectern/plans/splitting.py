@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.common import checkpointed, words
+from lectern.operators import greedy as G
 from lectern.operators import splits as P
 from lectern.operators.contains import contained
 
@@ -221,10 +222,13 @@ def fold_objective(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_folds(spark: SparkSession, d: str) -> DataFrame:
-    """The best of 32 restarts: its groups' folds, its objective, and the worst restart's."""
-    groups, labels = sentence_groups(spark, d).select("group_id", "size"), sentence_labels(spark, d)
-    assigned = P.greedy_folds(groups, labels, K, restarts=32, rounds=3)
-    scored = P.objective(assigned, labels, K)
-    best = scored.agg(F.min(F.struct("objective", "restart")).alias("best"), F.max("objective").alias("worst"))
-    rows = assigned.crossJoin(F.broadcast(best)).where(F.col("restart") == F.col("best.restart"))  # one row
-    return rows.select("restart", "group_id", "size", "fold", F.col("best.objective").alias("objective"), "worst")
+    """The best of 32 restarts at rest: its groups' folds, its objective, and the worst restart's."""
+    s = written_sentences(spark, d)
+    return G.best_folds(groups_of(s), sentence_labels(spark, d, s), K)
+
+
+@query()
+def greedy_nested_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their role in each outer fold, by greedy outer and inner folds."""
+    s = written_sentences(spark, d)
+    return s.select("doc_id", "group_id").join(G.nested_greedy_folds(groups_of(s), sentence_labels(spark, d, s), K, INNER), "group_id")

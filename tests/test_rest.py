@@ -80,19 +80,3 @@ def test_deal_is_even_and_atomic(spark):
     groups = labels.select("group_id").withColumn("size", F.lit(1).cast("long"))
     dealt = P.deal(groups, labels, 5, 8)
     assert {r["count"] for r in dealt.groupBy("fold").count().collect()} == {12}
-    greedy = P.greedy_folds(groups, labels, 5, restarts=2)
-    assert greedy.count() == 120 and P.objective(greedy, labels, 5).where("objective > 0.01").count() == 0
-
-
-def test_moves_lower_the_objective(spark):
-    import random
-
-    rng = random.Random(3)
-    rows = [(f"g{i:03d}", f"l{j}") for i in range(150) for j in range(9) for _ in range(rng.randrange(3)) if rng.random() < 0.4] + [(f"g{i:03d}", "all") for i in range(150)]
-    labels = spark.createDataFrame(rows, "group_id string, label string")
-    groups = spark.createDataFrame([(f"g{i:03d}", rng.randrange(1, 9)) for i in range(150)], "group_id string, size long")
-    score = lambda n: {r.restart: r.objective for r in P.objective(P.greedy_folds(groups, labels, 5, 2, rounds=n), labels, 5).collect()}
-    start, end = score(0), score(3)
-    assert all(end[r] < 0.8 * start[r] for r in start)
-    done = P.greedy_folds(groups, labels, 5, 2, rounds=2)
-    assert done.count() == 300 and done.select("restart", "group_id").distinct().count() == 300 and done.where("fold < 0 or fold > 4").count() == 0
