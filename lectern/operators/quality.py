@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,39 @@ def require(checks: dict[str, DataFrame]) -> None:
         raise ValueError(", ".join(f"{name}: {n}" for name, n in bad))
 
 
+class Watch:
+    """Counts of rows that break row-wise checks, collected while a job's own pass over the rows runs: no scan is added.
+
+        watch = Watch(length=F.length("text") != F.col("n_chars"))
+        written = watch.on(documents).transform(job).write.parquet(path)
+        watch.require()  # the job fails here if a row broke a check
+
+    A check that is null for a row is broken by it. counts() waits for the job's end; it has "rows" besides."""
+
+    def __init__(self, **checks: Column):
+        self.names, self._seen = list(checks), Observation()
+        self._counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in checks.items()]]
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen, *self._counts)
+
+    def counts(self) -> dict[str, int]:
+        return {k: v or 0 for k, v in self._seen.get.items()}
+
+    def require(self) -> None:
+        found = self.counts()
+        bad = [f"{name}: {found[name]}" for name in self.names if found[name]]
+        if bad:
+            raise ValueError(", ".join(bad))
+
+
+def in_one_pass(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """check_name, violations: each check is an aggregate (a count of violations); all of them are worked out in one scan of df."""
+    one = df.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in checks.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(f"`{name}`").alias("violations")) for name in checks])
+    return one.select(F.inline(rows))
+
+
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """One row that does not depend on the rows' order: count, XOR and sum of row hashes, and the schema's hash."""
     h = F.xxhash64(F.to_json(F.struct(*df.columns)))

@@ -32,6 +32,36 @@ def balanced_prototypes(rows: DataFrame, least_groups: int) -> DataFrame:
     return out.select("keyword", "group_df", "sentence_df", "available", F.when(available, C.unit(F.col("v"))).otherwise(F.transform("v", lambda x: F.lit(0.0))).alias("vector"))
 
 
+def contributors(rows: DataFrame, member: str) -> DataFrame:
+    """keyword, bucket, bits: the ids (whole numbers from 0) of the rows that a keyword's prototype is made of, as bitmaps of 32,768 ids."""
+    place = F.col(member).cast("long") + 1  # positions count from 1
+    return rows.select("keyword", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("keyword", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def traced_prototypes(rows: DataFrame, least_groups: int, member: str) -> tuple[DataFrame, DataFrame]:
+    """(balanced_prototypes, contributors) of the same rows: what the prototypes are made of goes with them."""
+    return balanced_prototypes(rows, least_groups), contributors(rows, member)
+
+
+def contributor_report(made_of: DataFrame, members: DataFrame, member: str) -> DataFrame:
+    """keyword, contributors, from_train, leaked, unknown, missing. made_of: contributors(); members: keyword, member, role.
+
+    Counted on bitmaps: what two sets share is the sum of their sizes less that of their union, so only bitmaps meet, a few for
+    each keyword, and no ids. leaked: contributors of any other role than train; unknown: of none; missing: train members that do not contribute."""
+    size = lambda df, *keys: df.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    side = F.when(F.col("role") == "train", "train").otherwise("other")
+    place = F.col(member).cast("long") + 1
+    of_role = members.select("keyword", side.alias("side"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("keyword", "side", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    with_side = made_of.withColumn("side", F.explode(F.array(F.lit("train"), F.lit("other"))))
+    united = of_role.unionByName(with_side).groupBy("keyword", "side", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    sizes = size(of_role, "keyword", "side").withColumnRenamed("n", "own").join(size(united, "keyword", "side"), ["keyword", "side"], "right").na.fill(0, ["own"])
+    whole = size(made_of, "keyword").withColumnRenamed("n", "contributors")
+    both = sizes.join(whole, "keyword", "left").na.fill(0, ["contributors"]).withColumn("shared", F.col("own") + F.col("contributors") - F.col("n"))
+    pick = lambda s, c: F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0))
+    out = both.groupBy("keyword").agg(F.max("contributors").alias("contributors"), pick("train", "shared").alias("from_train"), pick("other", "shared").alias("leaked"), pick("train", "own").alias("train"))
+    return out.select("keyword", "contributors", "from_train", "leaked", (F.col("contributors") - F.col("from_train") - F.col("leaked")).alias("unknown"), (F.col("train") - F.col("from_train")).alias("missing"))
+
+
 def prototype_faults(prototypes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """Available prototypes that are not finite or not of unit length, unavailable ones that are not zero."""
     n = C.norm(F.col("vector"))

@@ -79,9 +79,13 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, group_id, lang, source of all documents; null texts are one group. Texts are normalised in one pass and left behind:
     queries that use the groups more than once write this table first (``written_sentences``).
     LABELS_SQL strips only, as DuckDB has no NFKC: it agrees where NFKC changes no text."""
+    return sentences_of(table(spark, d, "documents"))
+
+
+def sentences_of(docs: DataFrame) -> DataFrame:
     from lectern.functions.common import group_id, normalize_text
 
-    return table(spark, d, "documents").select("doc_id", group_id(normalize_text(F.col("text"))).alias("group_id"), "lang", "source")
+    return docs.select("doc_id", group_id(normalize_text(F.col("text"))).alias("group_id"), "lang", "source")
 
 
 def written_sentences(spark: SparkSession, d: str) -> DataFrame:

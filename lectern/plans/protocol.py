@@ -9,11 +9,12 @@ from lectern.functions import common as C
 from lectern.operators import protocol as T
 from lectern.operators import quality as Q
 from lectern.operators import splits as P
+from lectern.operators import vectors as V
 
 from .base import FOLDS_SQL, K, LABELS_SQL, VIEWS_SQL, keywords, query, sentence_labels, table, views, written_sentences
 from .splitting import _DF_SQL, LEXICON_SQL, OCC_FOLDS_SQL, document_words, eligibility_flags, folds, lexicon, occurrence_folds, order_views
 from .texts import _POS_SQL, word_table
-from .vectoring import PROTO_SQL, embeddings, prototypes, sample_of
+from .vectoring import E_SQL, PROTO_SQL, embeddings, prototypes, sample_of, traced_prototypes, vector_roles
 
 # ---- sentences and identities --------------------------------------------------------------------------------
 
@@ -91,11 +92,20 @@ def role_sentences(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(F.broadcast(first), ["outer_fold", "role"]).select("outer_fold", "role", "occ", (F.col("at") - F.col("first")).alias("place"))
 
 
-@query(f"WITH {OCC_FOLDS_SQL} SELECT outer_fold, count(*) AS views, count(DISTINCT fo.occ) AS sentences, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'validation') AS validation, count(*) FILTER (role = 'test') AS test, 0 AS crossing, 0 AS uncovered FROM fo JOIN vw ON fo.occ = vw.occ GROUP BY outer_fold")
+@query(f"""WITH {OCC_FOLDS_SQL}, li AS (SELECT l_orderkey AS occ, l_orderkey || '/' || l_linenumber AS view_id, l_partkey AS pk, l_suppkey AS sk FROM lineitem
+), good AS (SELECT outer_fold, occ, view_id, role, pk, sk FROM fo JOIN li USING (occ)), odd AS (SELECT * FROM good WHERE sk % 40 <> 3 OR outer_fold <> 2),
+ rows_ AS (SELECT outer_fold, occ, view_id, role FROM odd UNION ALL SELECT outer_fold, occ, view_id, 'test' FROM odd WHERE pk % 50 = 7 AND role = 'train'),
+ cr AS (SELECT outer_fold, count(*) AS crossing FROM (SELECT outer_fold, view_id FROM rows_ GROUP BY ALL HAVING count(DISTINCT role) > 1) GROUP BY outer_fold),
+ un AS (SELECT outer_fold, count(*) AS uncovered FROM (SELECT DISTINCT outer_fold, view_id FROM good EXCEPT SELECT outer_fold, view_id FROM rows_) GROUP BY outer_fold)
+ SELECT outer_fold, count(*) AS views, count(DISTINCT occ) AS sentences, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'validation') AS validation, count(*) FILTER (role = 'test') AS test, coalesce(any_value(crossing), 0) AS crossing, coalesce(any_value(uncovered), 0) AS uncovered
+ FROM rows_ LEFT JOIN cr USING (outer_fold) LEFT JOIN un USING (outer_fold) GROUP BY outer_fold""")
 def views_by_role(spark: SparkSession, d: str) -> DataFrame:
-    """Views of each fold by role, those that cross roles, and valid ones that the fold lacks."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("occ"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("view_id"))
-    rows = lines.join(occurrence_folds(spark, d).select("outer_fold", "role", "occ"), "occ")
+    """Views of each fold by role, those that cross roles, and valid ones that the fold lacks, on folds with planted faults: fold 2
+    lacks the views of some suppliers, and some training views are in testing too."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("occ"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("view_id"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"))
+    odd = lines.join(occurrence_folds(spark, d).select("outer_fold", "role", "occ"), "occ").where((F.col("sk") % 40 != 3) | (F.col("outer_fold") != 2))
+    twice = F.when((F.col("pk") % 50 == 7) & (F.col("role") == "train"), F.array(F.lit("train"), F.lit("test"))).otherwise(F.array("role"))
+    rows = odd.withColumn("role", F.explode(twice))
     roles = [F.count_if(F.col("role") == r).alias(r) for r in ("train", "validation", "test")]
     out = rows.groupBy("outer_fold").agg(F.count("*").alias("views"), F.countDistinct("occ").alias("sentences"), *roles)
     per_fold = lambda df, name: df.groupBy("outer_fold").agg(F.count("*").alias(name))
@@ -103,14 +113,21 @@ def views_by_role(spark: SparkSession, d: str) -> DataFrame:
     return out.na.fill(0, ["crossing", "uncovered"])
 
 
-@query(f"WITH {PROTO_SQL}, roles AS (SELECT vec_id, CASE WHEN (vec_id % 25) % 5 > 0 THEN 'train' ELSE 'test' END AS role FROM e) SELECT role, count(*) AS n, count(*) FILTER (role = 'train') AS contributors, 0 AS faults FROM roles GROUP BY role")
+_MADE_SQL = "SELECT keyword, count(*) FILTER (used) AS contributors, count(*) FILTER (used AND train) AS from_train, count(*) FILTER (used AND NOT train) AS leaked, CAST(0 AS BIGINT) AS unknown, count(*) FILTER (train AND NOT used) AS missing FROM x GROUP BY keyword"
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT label AS keyword, (vec_id % 25) % 5 > 0 AS train, vec_id IN (SELECT DISTINCT vec_id FROM e, (SELECT DISTINCT grp FROM (SELECT vec_id % 25 AS grp FROM e) WHERE grp % 5 > 0) WHERE vec_id % 25 = grp) AS used FROM e) {_MADE_SQL}")
 def prototype_contributors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of each role, those that contribute to prototypes, and contributors that must not, or fail to, be there."""
-    rows = embeddings(spark, d).withColumn("role", F.when(F.col("id") % 25 % 5 > 0, "train").otherwise("test"))
-    used = rows.where(F.col("id") % 25 % 5 > 0).select("id")  # what ``prototypes`` averages
-    faults = T.contributor_faults(used, rows, "id").join(rows.select("id", "role"), "id", "left").groupBy("role").agg(F.count("*").alias("faults"))
-    n = rows.join(used.withColumn("used", F.lit(True)), "id", "left").groupBy("role").agg(F.count("*").alias("n"), F.count("used").alias("contributors"))
-    return n.join(faults, "role", "left").na.fill(0, ["faults"])
+    """What each prototype is made of, as the prototypes themselves carry it, against the roles of the vectors."""
+    return V.contributor_report(traced_prototypes(spark, d)[1], vector_roles(spark, d), "id")
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT label AS keyword, (vec_id % 25) % 5 > 0 AS train, (vec_id % 25) % 5 > 0 AND vec_id % 40 <> 7 OR vec_id % 50 = 0 AS used FROM e) {_MADE_SQL}")
+def prototype_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """The same of prototypes that are wrong: some test vectors are in them, some training vectors are not."""
+    rows = embeddings(spark, d).withColumn("sentence", F.floor(F.col("id") / 2)).withColumn("grp", F.col("id") % 25)
+    wrong = rows.where((F.col("grp") % 5 > 0) & (F.col("id") % 40 != 7) | (F.col("id") % 50 == 0))
+    return V.contributor_report(V.traced_prototypes(wrong, 19, "id")[1], vector_roles(spark, d), "id")
 
 
 @query(f"WITH {_DF_SQL}, re AS (SELECT outer_fold, keyword, count(*) AS train_df, count(DISTINCT group_id) AS train_group_df FROM fw WHERE role = 'train' GROUP BY outer_fold, keyword) SELECT outer_fold, count(*) AS keywords, CAST(sum(coalesce(train_df, 0)) AS BIGINT) AS train_df, CAST(sum(coalesce(train_group_df, 0)) AS BIGINT) AS train_group_df, 0 AS differences FROM ks CROSS JOIN lex LEFT JOIN re USING (outer_fold, keyword) GROUP BY outer_fold")
@@ -136,18 +153,16 @@ def occurrence_members(spark: SparkSession, d: str) -> DataFrame:
 # ---- prototypes, recordings, batches -------------------------------------------------------------------------
 
 
-@query(f"WITH {PROTO_SQL}, x AS (SELECT CASE WHEN sentence_df >= 75 THEN 'large' WHEN sentence_df >= 60 THEN 'middle' ELSE 'small' END AS tier, *, sqrt(list_dot_product(p, p)) AS length FROM pr) SELECT tier, count(*) AS n_keywords, count(*) FILTER (available) AS n_available, min(group_df) AS least_group_df, max(group_df) AS most_group_df, round(min(length), 6) AS least_length, round(max(length), 6) AS most_length, 0 AS leaks FROM x GROUP BY tier")
+@query(f"WITH {PROTO_SQL}, lk AS (SELECT label AS keyword, count(*) FILTER (vec_id % 50 = 0 AND (vec_id % 25) % 5 = 0) AS leaks FROM e GROUP BY label), x AS (SELECT CASE WHEN sentence_df >= 75 THEN 'large' WHEN sentence_df >= 60 THEN 'middle' ELSE 'small' END AS tier, *, sqrt(list_dot_product(p, p)) AS length FROM pr JOIN lk USING (keyword)) SELECT tier, count(*) AS n_keywords, count(*) FILTER (available) AS n_available, min(group_df) AS least_group_df, max(group_df) AS most_group_df, round(min(length), 6) AS least_length, round(max(length), 6) AS most_length, CAST(sum(leaks) AS BIGINT) AS planted_leaks FROM x GROUP BY tier")
 def prototype_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Prototypes by tier of their sentence frequency: availability, ranges, and contributors that leak from testing."""
+    """Prototypes by tier of their sentence frequency: availability, ranges, and the leaks of the wrong prototypes of prototype_leaks."""
     n = C.norm(F.col("vector"))
     tier = F.when(F.col("sentence_df") >= 75, "large").when(F.col("sentence_df") >= 60, "middle").otherwise("small")
-    rows = embeddings(spark, d).withColumn("role", F.when(F.col("id") % 25 % 5 > 0, "train").otherwise("test"))
-    leaks = T.contributor_faults(rows.where(F.col("id") % 25 % 5 > 0).select("id"), rows, "id").where("fault <> 'missing'").agg(F.count("*").alias("leaks"))
-    out = prototypes(spark, d).withColumn("tier", tier).groupBy("tier").agg(
+    rows = prototypes(spark, d).withColumn("tier", tier).join(prototype_leaks(spark, d).select("keyword", "leaked"), "keyword", "left")
+    return rows.groupBy("tier").agg(
         F.count("*").alias("n_keywords"), F.count_if("available").alias("n_available"), F.min("group_df").alias("least_group_df"), F.max("group_df").alias("most_group_df"),
-        F.round(F.min(n), 6).alias("least_length"), F.round(F.max(n), 6).alias("most_length"),
+        F.round(F.min(n), 6).alias("least_length"), F.round(F.max(n), 6).alias("most_length"), F.sum("leaked").alias("planted_leaks"),
     )
-    return out.crossJoin(leaks)  # one row
 
 
 @query("WITH w AS (SELECT l_suppkey AS recording, l_linenumber * 50 AS start, l_linenumber * 50 + CAST(l_quantity AS BIGINT) AS stop, CAST(round(l_tax * 100) AS BIGINT) AS sfreq FROM lineitem), h AS (SELECT s_suppkey AS recording, 300 + s_nationkey * 10 AS samples FROM supplier) SELECT recording, count(*) AS n_windows, count(DISTINCT sfreq) AS rates, 1 AS channels, max(stop) AS last_stop, samples, min(start) >= 0 AND max(stop) <= samples AS within FROM w JOIN h USING (recording) GROUP BY recording, samples")
@@ -176,42 +191,50 @@ _WORDS = r"len(list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda w: w
 
 @query(f"""WITH {FOLDS_SQL}, x(check_name, violations) AS (
   SELECT 'K3 declared turns', count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(turn) + 1 <> count(*))
-  UNION ALL SELECT 'K4 every word aligned', 0
+  UNION ALL SELECT 'K4 every word aligned', count(*) FROM benchmark WHERE length(text) % 7 = 0
   UNION ALL SELECT 'K6 frozen counts', (SELECT CAST(count(*) <> 5 AS INT) FROM region) + (SELECT CAST(count(*) <> 25 AS INT) FROM nation) + (SELECT CAST(count(DISTINCT c_mktsegment) <> 5 AS INT) FROM customer) + (SELECT CAST(max(len(embedding)) <> 64 AS INT) FROM embeddings)
   UNION ALL SELECT 'K8 unknown references', (SELECT count(*) FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))) + (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) + (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier))
   UNION ALL SELECT 'K11 groups stable, folds contiguous', count(*) FROM (SELECT doc_id FROM folds GROUP BY doc_id HAVING min(group_id) <> max(group_id))
-  UNION ALL SELECT 'K22 scores', 0
-  UNION ALL SELECT 'K23 token has one surface', 0
-  UNION ALL SELECT 'K24 id collisions', 0
-  UNION ALL SELECT 'K25 vector store order', count(*) FROM (SELECT vec_id // 4 AS sentence FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id) <> count(*))
+  UNION ALL SELECT 'K22 scores', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 97 = 0)) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 101 = 0))
+  UNION ALL SELECT 'K23 token has one surface', count(DISTINCT text) FROM documents WHERE doc_id % 40 = 1 AND len(list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda w: w <> '')) > 0
+  UNION ALL SELECT 'K24 id collisions', count(*) FROM (SELECT vec_id % 100 AS i FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id // 2) > 1)
+  UNION ALL SELECT 'K25 vector store order', count(*) FROM (SELECT vec_id // 4 AS sentence FROM embeddings GROUP BY 1 HAVING bool_or(vec_id % 41 = 0) OR (vec_id // 4) % 37 = 5 AND count(*) > 1)
   UNION ALL SELECT 'K28 recordings', count(*) FROM (SELECT l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey, s_nationkey HAVING max(l_linenumber * 50 + CAST(l_quantity AS BIGINT)) > 300 + s_nationkey * 10)
   UNION ALL SELECT 'K29 batches of one language', count(*) FROM (SELECT doc_id // 16 FROM documents GROUP BY 1 HAVING count(DISTINCT coalesce(lang, 'null')) > 1)
-  UNION ALL SELECT 'K30 eligibility keys', 0
+  UNION ALL SELECT 'K30 eligibility keys', count(*) FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%2')
   UNION ALL SELECT 'K32 recount', count(*) FROM documents WHERE n_chars <> length(text)
   UNION ALL SELECT 'K35 shapes', count(*) FROM (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) FILTER (vec_id % 3 = 0) * 2 <> count(*) FILTER (vec_id % 3 <> 0))
 ) SELECT check_name, CAST(violations AS BIGINT) AS violations FROM x""")
 def protocol_report(spark: SparkSession, d: str) -> DataFrame:
-    """The protocol's checks on the given tables: name and number of violating rows."""
+    """The protocol's checks: name and number of violating rows. K3, K6, K8, K11, K28, K29, K32 and K35 check the given tables; the
+    others, which no given table breaks, check tables derived from them that do, by rules on ids."""
     t = lambda name: table(spark, d, name)
     docs, vectors = t("documents"), embeddings(spark, d)
     turns = t("conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
-    words = word_table(spark, d)
-    items = t("benchmark").select("item_id", C.normalize_text(F.col("text")).alias("text"))
-    aligned = items.select("item_id", C.align_words(F.col("text"), C.words(F.col("text"))).alias("spans"))
+    items = t("benchmark").select("item_id", C.normalize_text(F.col("text")).alias("text"), (F.length("text") % 7 == 0).alias("odd"))
+    said = C.words(F.col("text"))
+    aligned = items.select("item_id", C.align_words(F.col("text"), F.when(F.col("odd"), F.concat(F.array(F.lit("\x01")), said)).otherwise(said)).alias("spans"))
     counts = [t("region").agg(F.count("*").alias("n")).withColumn("name", F.lit("regions")), t("nation").agg(F.count("*").alias("n")).withColumn("name", F.lit("nations"))]
     counts += [keywords(spark, d).agg(F.count("*").alias("n")).withColumn("name", F.lit("keywords")), vectors.agg(F.max(F.size("vector")).cast("long").alias("n")).withColumn("name", F.lit("embedding width"))]
     f = folds(spark, d).select("outer_fold", "doc_id", "group_id")
     ones = lambda df, c: df.select(F.array(F.col(c)).alias(c))
     refs = [T.unknown_references(ones(t(a), b), [b], t(c), k) for a, b, c, k in (("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"))]
-    scored = views(spark, d).select(F.concat_ws("/", "occ", "pk", "sk").alias("view_id"), "kw_idx", "score", F.lit(1).alias("members"))
+    occ, kw = F.col("occ"), F.col("kw_idx")
+    wrong = F.when((occ % 97 == 0) & (kw == 0), float("nan")).otherwise(F.col("score"))
+    scored = views(spark, d).where((occ % 101 != 0) | (kw != 1)).select(F.concat_ws("/", "occ", "pk", "sk").alias("view_id"), "kw_idx", wrong.alias("score"))
     per_view = scored.groupBy("view_id", "kw_idx").agg(F.max("score").alias("score"), F.count("*").alias("members"))
     groups = docs.select("doc_id", F.sha2("text", 256).alias("grp"))
-    tokens = words.join(groups, "doc_id").select("grp", "position", "surface")
-    ids = tokens.distinct().withColumn("token_id", C.context_token_id(F.col("grp"), F.col("position"), F.col("surface")))
-    occ = vectors.select(F.floor(F.col("id") / 4).alias("sentence"), F.col("id").alias("position"), F.col("id").alias("occurrence_id"))
+    tokens = word_table(spark, d).join(groups, "doc_id").select("doc_id", "grp", "position", "surface")
+    changed = tokens.where((F.col("doc_id") % 40 == 1) & (F.col("position") == 0)).withColumn("surface", F.concat("surface", F.lit("\x01")))
+    i = F.col("id")
+    named = vectors.select((i % 100).alias("token_id"), F.floor(i / 2).alias("identity"))
+    stored = vectors.select(F.floor(i / 4).alias("sentence"), i.alias("position"), i.alias("occurrence_id"))
+    lacking = stored.where(F.col("occurrence_id") % 41 != 0).withColumn("position", F.when(F.col("sentence") % 37 == 5, -F.col("position")).otherwise(F.col("position")))
     w = t("lineitem").select(F.col("l_suppkey").alias("recording"), (F.col("l_linenumber") * 50).alias("start"), (F.col("l_linenumber") * 50 + F.col("l_quantity").cast("long")).alias("stop"), F.lit(1).alias("sfreq"), F.lit(1).alias("n_channels"))
-    sides = vectors.select(sample_of().alias("sample"), (F.col("id") % 3).alias("r"), F.lit(True).alias("valid"))
+    sides = vectors.select(sample_of().alias("sample"), (i % 3).alias("r"), F.lit(True).alias("valid"))
     halves = {"words": sides.where("r = 0"), "first states": sides.where("r = 1"), "second states": sides.where("r = 2")}
+    brands = t("part").select("p_brand").distinct()
+    held = brands.withColumn("region", F.explode(F.sequence(F.lit(0), F.lit(4)))).where((F.col("region") != 2) | ~F.col("p_brand").endswith("2"))
     return P.union_all([
         P.check("K3 declared turns", T.count_differences(turns, t("conversations").groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")),
         P.check("K4 every word aligned", T.unaligned(aligned, "item_id")),
@@ -219,12 +242,12 @@ def protocol_report(spark: SparkSession, d: str) -> DataFrame:
         P.check("K8 unknown references", P.union_all([r.withColumn("reference", F.col("reference").cast("string")) for r in refs])),
         P.check("K11 groups stable, folds contiguous", T.fold_faults(f, K).where("n > 0")),
         P.check("K22 scores", T.score_faults(per_view, 5)),
-        P.check("K23 token has one surface", Q.conflicting(tokens, ["grp", "position"], "surface")),
-        P.check("K24 id collisions", T.collisions(ids, "token_id", ["grp", "position", "surface"])),
-        P.check("K25 vector store order", T.store_faults(occ, occ)),
+        P.check("K23 token has one surface", Q.conflicting(tokens.unionByName(changed), ["grp", "position"], "surface")),
+        P.check("K24 id collisions", T.collisions(named, "token_id", ["identity"])),
+        P.check("K25 vector store order", T.store_faults(stored, lacking)),
         P.check("K28 recordings", T.recording_faults(w, t("supplier").select(F.col("s_suppkey").alias("recording"), (300 + F.col("s_nationkey") * 10).alias("samples")))),
         P.check("K29 batches of one language", T.mixed_batches(docs.withColumn("batch", F.floor(F.col("doc_id") / 16)), ["lang"])),
-        P.check("K30 eligibility keys", T.key_set_differences(eligibility_flags(spark, d), lexicon(spark, d), "outer_fold", "keyword")),
+        P.check("K30 eligibility keys", T.key_set_differences(held, brands, "region", "p_brand")),
         P.check("K32 recount", T.recount_differences(docs.select("doc_id", F.col("n_chars").cast("long").alias("n")), docs.select("doc_id", F.length("text").cast("long").alias("n")), ["doc_id"], ["n"])),
         P.check("K35 shapes", T.shape_faults(halves, "sample")),
     ])

@@ -30,10 +30,20 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("keyword"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def prototypes(spark: SparkSession, d: str) -> DataFrame:
-    """From training groups only."""
+def traced_prototypes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Prototypes from training groups only, and what they are made of."""
     rows = embeddings(spark, d).withColumn("sentence", F.floor(F.col("id") / 2)).withColumn("grp", F.col("id") % 25)
-    return V.balanced_prototypes(rows.where(F.col("grp") % 5 > 0), 19)
+    return V.traced_prototypes(rows.where(F.col("grp") % 5 > 0), 19, "id")
+
+
+def prototypes(spark: SparkSession, d: str) -> DataFrame:
+    return traced_prototypes(spark, d)[0]
+
+
+def vector_roles(spark: SparkSession, d: str) -> DataFrame:
+    """keyword, id, role: by group, independent of what prototypes are made of."""
+    role = F.element_at(F.array(F.lit("test"), *[F.lit("train")] * 4), (F.col("id") % 25 % 5 + 1).cast("int"))
+    return embeddings(spark, d).select("keyword", "id", role.alias("role"))
 
 
 @query(f"WITH {E_SQL} SELECT vec_id, round(n, 6) AS length, round(list_sum(u), 6) AS total, round(u[1], 6) AS head FROM e")
