@@ -172,6 +172,15 @@ def asset_summary(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).crossJoin(tiers).crossJoin(h)  # one row each
 
 
+@query(f"WITH {_POS_SQL} SELECT doc_id, position, CASE WHEN doc_id % 23 = 5 AND position = 3 THEN chr(1) || surface ELSE surface END AS surface, CASE WHEN doc_id % 23 <> 5 OR position < 3 THEN char_start END AS char_start, CASE WHEN doc_id % 23 <> 5 OR position < 3 THEN char_end END AS char_end FROM words")
+def aligned_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every document found again in its text; in some documents the fourth word is one that the text lacks."""
+    listed = C.words(F.col("text"))
+    lacking = F.transform(listed, lambda w, i: F.when(i == 3, F.concat(F.lit("\x01"), w)).otherwise(w))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 23 == 5, lacking).otherwise(listed).alias("words"))
+    return C.aligned_words(rows)
+
+
 # ---- scenarios -----------------------------------------------------------------------------------------------
 
 
