@@ -9,6 +9,8 @@ from lectern.functions import common as C
 from lectern.operators import protocol as P
 from lectern.operators import quality as Q
 
+from . import store
+
 #: The columns of the given files.
 LEXICON = "rank int, keyword_id string, surface_form string, canonical_concept string, semantic_categories string, story_local_flag string, include_core string, include_main string, include_extended string"
 SENTENCES = (
@@ -102,26 +104,49 @@ def write_occurrences(occurrences: DataFrame, excluded: DataFrame, path: str) ->
 
 
 def write_identities(dims: dict[str, DataFrame], path: str) -> DataFrame:
-    """The dimensions of identities (surfaces, context tokens, groups), a table each; returns a fingerprint for each."""
+    """The dimensions of identities (surfaces, context tokens, groups), a committed table each; returns a fingerprint for each."""
     rows = None
     for name, df in sorted(dims.items()):
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        store.write(df, f"{path}/{name}", {"dimension": name})
         one = Q.fingerprint(df, name)
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
+def fold_faults(folds: DataFrame, k: int) -> dict[str, DataFrame]:
+    """The audits of a fold table (outer_fold, doc_id, group_id, role), by what they find."""
+    by_doc = folds.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("outer_fold").alias("folds"), F.count_if(F.col("role") == "test").alias("tested"), (F.min("group_id") != F.max("group_id")).alias("moved"),
+        F.count_if(~F.coalesce(F.col("role").isin("train", "validation", "test"), F.lit(False))).alias("odd"), F.min("outer_fold").alias("lo"), F.max("outer_fold").alias("hi"),
+    )
+    group_roles = folds.groupBy("outer_fold", "group_id").agg(F.countDistinct("role").alias("roles"))
+    return {
+        "rows": by_doc.where((F.col("n") != k) | (F.col("folds") != k) | (F.col("lo") != 0) | (F.col("hi") != k - 1)), "tested": by_doc.where("tested <> 1"), "group": by_doc.where("moved"), "role": by_doc.where("odd > 0"),
+        "group in two roles": group_roles.where("roles > 1"),
+    }
+
+
+def read_audited_folds(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """A fold table as write_folds left it, if its audits find nothing: every document in every fold once, tested once, in one group with
+    one role in each fold, and no other role than the three; else an error that says what they found."""
+    folds = spark.read.parquet(path)
+    Q.require(fold_faults(folds, k))
+    return folds
+
+
 def read_fold(spark: SparkSession, path: str, outer_fold: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("outer_fold") == outer_fold)
 
 
-def write_vectors(vectors: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A row a word; sorted by sentence, so a sentence's rows are close and row groups can be skipped."""
-    vectors.repartitionByRange("sentence").sortWithinPartitions("sentence", "position").write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def write_vectors(vectors: DataFrame, path: str, overwrite: bool = False, provenance: dict[str, str] | None = None) -> dict:
+    """A row a word, sorted by sentence over all files, committed with its provenance; returns the manifest."""
+    return store.write(vectors, path, provenance or {}, ["sentence", "position"], overwrite)
 
 
-def sentence_vectors(spark: SparkSession, path: str, sentence: int) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("sentence") == sentence)
+def sentence_vectors(spark: SparkSession, path: str, sentence: int, expected: dict[str, str] | None = None) -> DataFrame:
+    """The vectors of one sentence, from the files that can hold it; refused if the store's provenance is another than expected, or
+    says that it depends on folds, roles or signals."""
+    return store.read(spark, path, expected, ("fold", "role", "signal"), sentence)
 
 
 def write_prototypes(prototypes: DataFrame, path: str, provenance: dict[str, str]) -> None:
