@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.functions import common as C
 
@@ -68,10 +70,96 @@ def prototype_faults(prototypes: DataFrame, tolerance: float = 1e-5) -> DataFram
     return prototypes.where(F.isnan(n) | (F.col("available") & (F.abs(n - 1) > tolerance)) | (~F.col("available") & (n > 0)))
 
 
+#: Prototypes that every task holds as one matrix; more are dealt by blocks of so many.
+BLOCK = 4096
+#: States that meet a block of prototypes together.
+STATES = 512
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of a list column; zero vectors stay zero."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), C.EPS)
+
+
+def _products(states: DataFrame, prototypes: DataFrame, added: list[StructField], make: Callable[[pa.RecordBatch, np.ndarray, pa.Array], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """States times available prototypes, as matrix products of blocks. make(states, cosines, keywords) gives the places of the states
+    that come out, and the columns added to them, for each block of states and of prototypes.
+
+    The prototypes are counted. Up to BLOCK are sent to all tasks as one matrix. More are dealt by blocks, in the order of keywords;
+    the states are packed by STATES, and each pack meets each block in a row of its own, by a shuffle, so nothing is broadcast."""
+    known = prototypes.where("available").select("keyword", F.col("vector").cast("array<double>").alias("p"))
+    schema = StructType([*states.schema.fields, *added])
+    names = [f.name for f in schema.fields]
+    place = states.columns.index("vector")
+
+    def product(batch: pa.RecordBatch, keys: pa.Array, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(batch), STATES):
+            part = batch.slice(at, STATES)
+            rows, columns = make(part, _matrix(part.column(place)) @ p.T, keys)
+            yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, *columns], names)
+
+    if known.count() <= BLOCK:
+        table = known.orderBy("keyword").toArrow().combine_chunks()
+        flat = table.column("p").combine_chunks() if len(table) else None
+        p = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1) if len(table) else None
+        held = states.sparkSession.sparkContext.broadcast((table.column("keyword").combine_chunks(), p))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, p = held.value
+            for batch in batches:
+                if len(batch) and p is not None:
+                    yield from product(batch, keys, p)
+
+        return states.mapInArrow(run, schema)
+
+    placed = C.checkpointed(known.join(C.dense_index(known, ["keyword"], "_at"), "keyword").withColumn("_block", F.floor(F.col("_at") / BLOCK)))
+    lists = placed.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_at", "keyword", "p"))).alias("x"))
+    blocks = lists.select("_block", F.transform("x", lambda v: v["keyword"]).alias("keys"), F.flatten(F.transform("x", lambda v: v["p"])).alias("flat"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), STATES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, STATES))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                part = pa.ipc.open_stream(batch.column(0)[i].as_buffer()).read_next_batch()
+                keys = batch.column(1)[i].values
+                yield from product(part, keys, batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1))
+
+    last = placed.agg(F.max("_block")).first()[0]
+    each = states.mapInArrow(pack, "pack binary").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    return C.checkpointed(each.join(blocks.hint("shuffle_hash"), "_block").select("pack", "keys", "flat").mapInArrow(meet, schema), 4)
+
+
 def cosines(states: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """states x available prototypes with their cosine. The prototypes, a row for each keyword, go to every task."""
-    known = prototypes.where("available").select("keyword", F.col("vector").alias("p"))
-    return states.crossJoin(F.broadcast(known)).withColumn("cos", C.dot(C.unit(F.col("vector")), F.col("p"))).drop("p")
+    """states x available prototypes: the states' columns, keyword and cos."""
+
+    def every(part: pa.RecordBatch, cos: np.ndarray, keys: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        n, k = cos.shape
+        return np.repeat(np.arange(n), k), [keys.take(pa.array(np.tile(np.arange(k), n))), pa.array(cos.ravel())]
+
+    return _products(states, prototypes, [prototypes.schema["keyword"], StructField("cos", DoubleType())], every)
+
+
+def nearest(states: DataFrame, prototypes: DataFrame, decimals: int = 9) -> DataFrame:
+    """The states' columns but the vector, with pred and cos: the available prototype with the largest cosine, of equal ones (to so many
+    decimals) that with the smallest keyword. Each block of prototypes gives one candidate a state; states are told by all their columns."""
+
+    def best(part: pa.RecordBatch, cos: np.ndarray, keys: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        cos = cos.round(decimals)
+        first = cos.argmax(1)  # keywords are in order
+        return np.arange(len(cos)), [keys.take(pa.array(first)), pa.array(cos[np.arange(len(cos)), first])]
+
+    found = _products(states, prototypes, [StructField("pred", prototypes.schema["keyword"].dataType), StructField("cos", DoubleType())], best)
+    kept = [c for c in states.columns if c != "vector"]
+    least = found.groupBy(*kept).agg(F.min(F.struct((-F.col("cos")).alias("less"), "pred")).alias("x"))
+    return least.select(*kept, "x.pred", (-F.col("x.less")).alias("cos"))
 
 
 def log_mean_exp(found: DataFrame, unit: str) -> DataFrame:
@@ -82,9 +170,9 @@ def log_mean_exp(found: DataFrame, unit: str) -> DataFrame:
 
 
 def unavailable(units: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """units x keywords without an available prototype: no score, available false. Keywords go to every task."""
+    """units x keywords without an available prototype: no score, available false. Spark broadcasts the side that it knows to be small."""
     rest = prototypes.where("not available").select("keyword")
-    return units.crossJoin(F.broadcast(rest)).select(*units.columns, "keyword", F.lit(None).cast("double").alias("score"), F.lit(False).alias("available"))
+    return units.crossJoin(rest).select(*units.columns, "keyword", F.lit(None).cast("double").alias("score"), F.lit(False).alias("available"))
 
 
 def exported(scores: DataFrame, sentinel: float = -1e9) -> DataFrame:

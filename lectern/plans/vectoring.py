@@ -90,8 +90,7 @@ def mean_pool_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {COS_SQL}, best AS (SELECT vec_id, label, arg_max(keyword, (round(cos, 9), -keyword)) AS pred FROM c GROUP BY vec_id, label) SELECT label, count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM best GROUP BY label")
 def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
     states = embeddings(spark, d).withColumnRenamed("keyword", "label")
-    found = V.cosines(states, prototypes(spark, d))
-    best = found.groupBy("id", "label").agg(F.max_by("keyword", F.struct(F.round("cos", 9), -F.col("keyword"))).alias("pred"))
+    best = V.nearest(states, prototypes(spark, d))
     return best.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 6).alias("accuracy"))
 
 

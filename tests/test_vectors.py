@@ -54,3 +54,25 @@ def test_projection_and_padding(spark):
     assert [r.a, r.b, r.c] == pytest.approx([-1.2247, 0, 1.2247], abs=1e-3)
     seq = spark.createDataFrame([(1, [1, 2]), (2, [3]), (3, [4])], "id long, a array<int>")
     assert [x.a for x in V.padded(seq, "a", 2, "id").orderBy("id").collect()] == [[1, 2], [3, -1], [4]]
+
+
+@pytest.mark.parametrize("block", [V.BLOCK, 3])
+def test_products_of_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "STATES", 4)
+    rng = np.random.default_rng(7)
+    p, x = rng.normal(size=(11, 5)), rng.normal(size=(23, 5))
+    p[4], x[6] = p[2], 0.0  # a tie, and a state without direction
+    p /= np.sqrt((p * p).sum(1, keepdims=True))
+    known = spark.createDataFrame([(f"k{i:02d}", i != 8, [float(v) for v in p[i]]) for i in range(11)], "keyword string, available boolean, vector array<double>")
+    states = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(23)], "id long, vector array<double>").repartition(3)
+    n = np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
+    want = {(i, f"k{j:02d}"): (x / n @ p.T)[i, j] for i in range(23) for j in range(11) if j != 8}
+    got = {(r.id, r.keyword): r.cos for r in V.cosines(states, known).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    best = {r.id: (r.pred, round(r.cos, 9)) for r in V.nearest(states, known).collect()}
+    assert best == {i: min((-round(want[i, k], 9), k) for k in {k for _, k in want})[::-1][:1] + (max(round(want[i, k], 9) for k in {k for _, k in want}),) for i in range(23)}
+    if block == 3:
+        plan = V.nearest(states, known)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
+    assert V.cosines(states, known.where("not available")).count() == 0
