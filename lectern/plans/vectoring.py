@@ -126,6 +126,18 @@ def infonce(spark: SparkSession, d: str) -> DataFrame:
     return _nce(spark, d).select(F.round("e", 6).alias("words_to_states"), F.round("t", 6).alias("states_to_words"), F.round((F.col("e") + F.col("t")) / 2, 6).alias("loss"), F.col("n_e").alias("n_words"), F.col("n_t").alias("n_states"))
 
 
+@query(f"""WITH {E_SQL}, s AS (SELECT vec_id, vec_id // 64 AS batch, vec_id // 6 AS context, (vec_id // 6) % 7 AS surface, vec_id % 25 AS grp, u FROM e WHERE vec_id % 3 = 0
+), p AS (SELECT a.vec_id, a.batch, a.context = b.context AS pos, list_dot_product(a.u, list_reverse(b.u)) / 0.07 AS z FROM s a JOIN s b ON a.batch = b.batch WHERE a.context = b.context OR a.surface <> b.surface
+), l AS (SELECT vec_id, batch, ln(sum(exp(z))) - ln(sum(exp(z)) FILTER (pos)) AS loss, count(*) FILTER (pos) AS positives, count(*) FILTER (NOT pos) AS negatives FROM p GROUP BY vec_id, batch)
+SELECT batch, count(*) AS n_words, round(avg(loss), 6) AS loss FROM l WHERE positives > 0 AND negatives > 0 GROUP BY batch""")
+def infonce_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words against the words of their own batch in a second view (components in reverse order): loss by batch."""
+    i = F.col("id")
+    words = embeddings(spark, d).where(i % 3 == 0).select("id", "vector", sample_of().alias("batch"), F.floor(i / 6).alias("context"), (F.floor(i / 6) % 7).alias("surface"))
+    each = V.info_nce(words, words.withColumn("vector", F.reverse("vector")))
+    return each.groupBy("batch").agg(F.count("*").alias("n_words"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
 #: The fixture's projection: 64 inputs, 4 outputs.
 WEIGHTS = np.array([[((i * 7 + j * 13) % 11 - 5) / 10 for j in range(4)] for i in range(64)])
 
@@ -289,19 +301,19 @@ def vector_diff(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count("*").alias("n"), F.count_if(F.col("e") > 4.9e-4).alias("beyond"), F.round(F.max("e"), 6).alias("largest"))
 
 
-_STORE_SQL = "SELECT count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) AS unknown, " + ", ".join(f"count(*) FILTER (l.doc_id IS NOT NULL AND d.{c} IS DISTINCT FROM l.{c}) AS changed_{c}" for c in ("lang", "source", "n_chars", "text", "n_words"))
+_STORE_SQL = "SELECT count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) AS unknown, " + ", ".join(f"count(*) FILTER (l.doc_id IS NOT NULL AND d.{c} IS DISTINCT FROM l.{c}) AS changed_{c}" for c in ("lang", "source", "n_chars", "text", "n_words", "n_lines", "text_sha256"))
 
 
-@query(_STORE_SQL + """ FROM (SELECT doc_id, lang, source, n_chars, text, len(regexp_split_to_array(text, ' ')) AS n_words FROM documents) d FULL JOIN (
-  SELECT l.doc_id, d.lang, CASE WHEN quality = 0 THEN NULL ELSE source END AS source, length(text) AS n_chars, regexp_replace(text, '[ \\n\\t]+', ' ', 'g') AS text, len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> '')) AS n_words FROM labels l JOIN documents d ON l.doc_id = d.doc_id) l ON d.doc_id = l.doc_id""")
+@query(_STORE_SQL + """ FROM (SELECT doc_id, lang, source, n_chars, text, len(regexp_split_to_array(text, ' ')) AS n_words, len(string_split(text, chr(10))) AS n_lines, sha256(text) AS text_sha256 FROM documents) d FULL JOIN (
+  SELECT l.doc_id, d.lang, CASE WHEN quality = 0 THEN NULL ELSE source END AS source, length(text) AS n_chars, regexp_replace(text, '[ \\n\\t]+', ' ', 'g') AS text, len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> '')) AS n_words, 1 AS n_lines, sha256(trim(text)) AS text_sha256 FROM labels l JOIN documents d ON l.doc_id = d.doc_id) l ON d.doc_id = l.doc_id""")
 def store_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Two stores of documents compared on id and five attributes, nulls equal to nulls: all documents, and those that
-    labels mark, with texts of single spaces, words counted otherwise, and no source where the quality is 0."""
-    docs, names = table(spark, d, "documents"), ("lang", "source", "n_chars", "text", "n_words")
-    a = docs.select("doc_id", "lang", "source", "n_chars", "text", F.size(F.split("text", " ")).alias("n_words"))
+    """Two stores of documents compared on id and seven attributes, nulls equal to nulls: all documents, and those that
+    labels mark, with texts of single spaces on one line, words and hashes told otherwise, and no source where the quality is 0."""
+    docs, names = table(spark, d, "documents"), ("lang", "source", "n_chars", "text", "n_words", "n_lines", "text_sha256")
+    a = docs.select("doc_id", "lang", "source", "n_chars", "text", F.size(F.split("text", " ")).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
     marked = docs.join(table(spark, d, "labels"), "doc_id")
     source = F.when(F.col("quality") == 0, None).otherwise(F.col("source")).alias("source")
-    b = marked.select("doc_id", "lang", source, F.length("text").alias("n_chars"), F.regexp_replace("text", r"[ \n\t]+", " ").alias("text"), F.size(C.words(F.col("text"))).alias("n_words"))
+    b = marked.select("doc_id", "lang", source, F.length("text").alias("n_chars"), F.regexp_replace("text", r"[ \n\t]+", " ").alias("text"), F.size(C.words(F.col("text"))).alias("n_words"), F.lit(1).alias("n_lines"), F.sha2(F.trim("text"), 256).alias("text_sha256"))
     return V.compare_stores(a, b, "doc_id", names)
 
 
