@@ -24,11 +24,11 @@ any of its texts does, and n_shingles is that of the row's text. Rows with a nul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared as S
@@ -37,6 +37,7 @@ WORDS = 5  #: words of a shingle
 PERCENT = 75  #: similarity of linked documents, in percent
 SHARED, STAR = 24, 32
 BITS = 8  #: 64-bit words of a signature
+BLOCK = 256  #: documents of a tile that meet as many others in one cell
 
 _SIG = [f"s{i}" for i in range(BITS)]
 _SKETCHED = "doc_id long, n long, fp0 long, fp1 long, " + ", ".join(f"{s} long" for s in _SIG) + ", sketch array<long>"
@@ -65,7 +66,7 @@ def sketch_size(n: int) -> int:
     return n - need + min(SHARED, need)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -85,7 +86,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 sig.append((bits.reshape(BITS, 64).astype(np.uint64) << shifts).sum(1, dtype=np.uint64))
                 sketch.append(s[: sketch_size(len(s))])
             fps, sigs = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64), np.array(sig, np.uint64).reshape(-1, BITS).view(np.int64)
-            cols = [part.column(0), pa.array(size, pa.int64()), *(pa.array(fps[:, i].copy()) for i in (0, 1)), *(pa.array(sigs[:, i].copy()) for i in range(BITS)), _lists(sketch)]
+            cols = [part.column(0), pa.array(size, pa.int64()), *(pa.array(fps[:, i].copy()) for i in (0, 1)), *(pa.array(sigs[:, i].copy()) for i in range(BITS)), lists(sketch)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp0", "fp1", *_SIG, "sketch"])
 
 
@@ -93,7 +94,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1))))], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(list(shingle_sets(part.column(1))))], ["doc_id", "grams"])
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _may_link(x: str, y: str):
+def _may_link(x: str, y: str) -> Column:
     """Whether sizes and bit counts allow an overlap that links (overlap o of sizes n, m: o >= 75/175 (n + m))."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     only_x = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{s}")))) for s in _SIG), F.lit(0))
@@ -217,8 +218,8 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share an index shingle and may link. A document with several texts has
-    the sketches of all, and sets as few shingles aside as the text that sets aside the fewest."""
+    """Pairs (a, b) of different components that share an index shingle and may link; a written table. A document with several
+    texts has the sketches of all, and sets as few shingles aside as the text that sets aside the fewest."""
     comp = label.select(F.col("id").alias("doc_id"), "comp")
     named = first.select("doc_id", "sketch").join(comp, "doc_id", "left").select(F.coalesce("comp", "doc_id").alias("comp"), F.explode("sketch").alias("gram"))
     mixed = S.staged(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram"), "mixed")
@@ -231,16 +232,28 @@ def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame
     indexed = of_doc.join(aside, "doc_id").where(free > 0)
     indexed = indexed.select("doc_id", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("x")).select("doc_id", F.col("x.gram").alias("gram"))
     indexed = S.staged(indexed.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "indexed")
-    # tiles whose documents are all of one component, once hot shingles are set aside, make no pair
-    ends = indexed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    rest = indexed.join(ends, "gram").join(facts, "doc_id").select("doc_id", "comp", "m", "gram")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.m", "y.m"))
-    out = S.staged(cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "cross")
+    out = S.staged(tile_pairs(indexed.join(facts, "doc_id"), _may_link), "cross")
     S.forget(mixed, held, indexed)
     return out
 
 
+def tile_pairs(rows: DataFrame, may_link: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of different components of a tile that may link. rows: gram, doc_id, comp, m (what may_link tells it by).
+
+    A tile's documents are dealt into blocks of about BLOCK; the blocks meet two by two, so no task holds more than two of them
+    at once, however many documents a tile has. Tiles of one component make no pair."""
+    ends = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    blocks = ends.select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rest = rows.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", "doc_id", "comp", "block", "m", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.two") == F.col("y.two"))
+    once = (F.col("x.one") == F.col("x.two")) | (F.col("x.block") != F.col("y.block"))  # documents of one block meet in its own cell only
+    cross = x.join(y, same & once & (F.col("x.comp") < F.col("y.comp")) & may_link("x.m", "y.m"))
+    return cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reached by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -14,8 +14,8 @@ verified on their whole sets, made again from their texts.
 Equal sets are one class, and the class's smallest id stands for it. Then rounds: of a band's documents, each component's
 smallest is compared with the smallest of all (a star, whose rows grow with the documents), each document with the closest
 such partner; found links form components by union-find (labels pass along links, and are shortened through the
-label's own label). When a round finds no link, the pairs of different components that still share a band are compared, all of them.
-There a band's documents are dealt into blocks of about BLOCK, so that no task has more than two blocks.
+label's own label). When a round finds no link, all other pairs of different components that share a band are compared, but for
+those that their overlaps with a common third document rule out (``_crossing``).
 
 Defined results: null text, text without words: empty set, linked with nothing, component_id = doc_id. Fewer than
 three words: one shingle, the whole sequence. Rows with one doc_id are one document, whatever their texts: it links where
@@ -40,7 +40,6 @@ WORDS, PERCENT = 3, 85
 ROWS, BANDS = 6, 40
 COMPONENTS = ROWS * BANDS
 MOST_BITS = 50
-BLOCK = 256  #: documents of a band that are compared with as many others in one task
 HOT = 500  #: pairs of one document that one task reads, before its text is given to several
 CHUNK = 1 << 15  #: elements whose permutations are held at once
 
@@ -119,18 +118,24 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents do link; a written table. A document of very many pairs is given to several tasks."""
-    pairs = S.staged(pairs, "pairs")
+def _with_texts(pairs: DataFrame, docs: DataFrame, one_text: bool = False) -> DataFrame:
+    """a, b, text_a, text_b of written pairs (a, b). A document that is a of very many pairs is given to several tasks, by shares of
+    its pairs. one_text: of the texts of a, the smallest alone."""
     ids = S.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = S.by_id(docs.where("doc_id is not null"), ids, "left_semi")
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("shares"))
     dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
-    of_a = texts.join(shares.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    of_a = texts.join(shares.withColumnRenamed("a", "doc_id"), "doc_id")
+    if one_text:
+        of_a = of_a.groupBy("doc_id", "shares").agg(F.min("text").alias("text"))
+    of_a = of_a.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     both = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(of_a, ["a", "share"])
-    links = S.staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long").distinct(), "links")
-    S.forget(ids, pairs)
-    return links
+    return both.select("a", "b", "text_a", "text_b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table whose documents do link; a written table."""
+    return S.staged(_with_texts(pairs, docs).mapInArrow(_verify_batches, "a long, b long").distinct(), "links")
 
 
 def _star(tiles: DataFrame, label: DataFrame, facts: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -146,20 +151,46 @@ def _star(tiles: DataFrame, label: DataFrame, facts: DataFrame, tried: DataFrame
     return closest.select("m.a", "m.b").distinct()
 
 
-def _crossing(tiles: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that share a band and may link."""
+def _trace_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            size, inside, prefixes = [], [], []
+            for r, x in zip(J.shingle_sets(part.column(2), WORDS), J.shingle_sets(part.column(3), WORDS), strict=True):
+                rest = np.setdiff1d(x, r, assume_unique=True)
+                lacking = -(-PERCENT * len(x) // 100) - (len(x) - len(rest))  # of what any link needs, the pivot cannot give so many
+                size.append(len(x))
+                inside.append(len(x) - len(rest))
+                prefixes.append(rest[: len(rest) - max(0, lacking - 1)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(size, pa.int64()), pa.array(inside, pa.int64()), J.lists(prefixes)], ["r", "doc_id", "n", "inside", "prefix"])
+
+
+def _crossing(tiles: DataFrame, label: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a band and may link.
+
+    Near copies of one text need not be near to each other, and share bands in all their pairs. So each band has a pivot r, the first
+    document of its largest component, and every document of the band is compared with it once. What two documents x and y share lies in
+    r or outside: at most the smaller of their overlaps with r, and what their rests have in common. If the rests have nothing
+    in common, the overlaps with r must be large enough for a link; this is a test of two numbers. If they have, they share more than either
+    lacks, and so a hash among the first of both rests; those are joined. No link is lost, and few pairs come up that do not link."""
     comp = F.coalesce("comp", "doc_id")
-    held = S.staged(tiles.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("gram", "doc_id", comp.alias("comp")), "held")
-    ends = held.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = held.join(ends, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(facts, "doc_id")
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", "doc_id", "comp", "block", "m", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    x, y = dealt.alias("x"), dealt.alias("y")
-    same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.two") == F.col("y.two"))
-    once = (F.col("x.one") == F.col("x.two")) | (F.col("x.block") != F.col("y.block"))  # documents of one block meet in its own cell only
-    cross = x.join(y, same & once & (F.col("x.comp") < F.col("y.comp")) & _sized("x.m", "y.m") & (_differ("x.m", "y.m") <= MOST_BITS))
-    out = S.staged(cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "cross")
-    S.forget(held)
+    named = S.staged(tiles.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("gram", "doc_id", comp.alias("comp")), "named")
+    sizes = named.groupBy("gram", "comp").agg(F.count("*").alias("n"))
+    pivots = sizes.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("r")).where("lo < hi").select("gram", "r")
+    held = S.staged(named.join(pivots, "gram"), "held")
+    S.forget(named)
+    asked = S.staged(held.select(F.col("r").alias("a"), F.col("doc_id").alias("b")).distinct(), "asked")
+    traced = S.staged(_with_texts(asked, docs, one_text=True).mapInArrow(_trace_batches, "r long, doc_id long, n long, inside long, prefix array<long>").where("n > 0"), "traced")
+    m = F.struct("n", "inside", *[F.col(f"f.{s}").alias(s) for s in _SIG]).alias("m")
+    known = traced.join(facts.select("doc_id", F.col("m").alias("f")), "doc_id")
+    by_band = held.join(known, ["doc_id", "r"]).select("gram", "doc_id", "comp", m)
+    of_doc = held.select("doc_id", "r", "comp").distinct()
+    by_rest = known.join(of_doc, ["doc_id", "r"]).select(F.explode("prefix").alias("x"), "r", "doc_id", "comp", m).select(F.xxhash64("r", "x").alias("gram"), "doc_id", "comp", "m")
+    near = lambda x, y: _sized(x, y) & (_differ(x, y) <= MOST_BITS)
+    shared = lambda x, y: F.least(F.col(f"{x}.inside"), F.col(f"{y}.inside"))
+    enough = lambda x, y: near(x, y) & ((100 + PERCENT) * shared(x, y) >= PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+    out = S.staged(J.tile_pairs(by_band, enough).unionByName(J.tile_pairs(by_rest, near)).distinct(), "cross")
+    S.forget(held, asked, traced)
     return out
 
 
@@ -181,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         links = S.staged(links.unionByName(found), "links")
         label = J.linked_components(links)
-    cross = S.staged(_crossing(tiles, label, facts).join(tried, ["a", "b"], "left_anti"), "cross")
+    cross = S.staged(_crossing(tiles, label, facts, docs).join(tried, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = S.staged(links.unionByName(verified(cross, docs)), "links")
         label = J.linked_components(links)

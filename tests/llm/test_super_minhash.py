@@ -97,7 +97,7 @@ def test_near_duplicates(documents, folder, spark, seed):
 
 
 def test_links_at_the_threshold_chains_and_a_hot_passage(documents, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M.J, "BLOCK", 4)
     monkeypatch.setattr(M, "HOT", 3)
     rng = random.Random(5)
     texts = []
