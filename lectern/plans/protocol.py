@@ -51,12 +51,15 @@ def keyword_index(spark: SparkSession, d: str) -> DataFrame:
 def identity_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every occurrence with the integer indexes of its surface, keyword (-1: none), group and context token."""
     groups = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("grp"))
-    rows = word_table(spark, d).join(groups, "doc_id").select("doc_id", "position", "surface", "grp")
+    rows = C.checkpointed(word_table(spark, d).join(groups, "doc_id").select("doc_id", "position", "surface", "grp"))
     lex = indexed_lexicon(spark, d)
-    named = rows.join(lex.select(F.col("keyword").alias("surface"), "keyword"), "surface", "left")
-    out = T.lookup(named, C.dense_index(rows, ["surface"], "surface_idx"), ["surface"], "surface_idx")
+    # a document asks once for each of its words, and for its group: the commonest word is as many rows as there are documents
+    asked = rows.groupBy("doc_id", "grp", "surface").agg(F.collect_list("position").alias("at"))
+    named = asked.join(lex.select(F.col("keyword").alias("surface"), "keyword"), "surface", "left")
+    out = T.lookup(named, C.dense_index(asked, ["surface"], "surface_idx"), ["surface"], "surface_idx")
     out = T.lookup(out, lex, ["keyword"], "keyword_idx", empty=F.col("keyword").isNull())
     out = T.lookup(out, C.dense_index(groups, ["grp"], "group_idx"), ["grp"], "group_idx")
+    out = out.withColumn("position", F.explode("at"))
     out = T.lookup(out, C.dense_index(rows, ["grp", "position", "surface"], "token_idx"), ["grp", "position", "surface"], "token_idx")
     return out.select("doc_id", "position", "surface_idx", "keyword_idx", "group_idx", "token_idx")
 
@@ -74,10 +77,14 @@ def group_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LEXICON_SQL}, core AS (SELECT keyword FROM lex WHERE df >= 200), u AS (SELECT doc_id FROM documents) SELECT u.doc_id, core.keyword, dw.keyword IS NOT NULL AS present FROM u CROSS JOIN core LEFT JOIN dw ON dw.doc_id = u.doc_id AND dw.keyword = core.keyword")
 def presence_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Documents x core keywords from the documents' keyword lists; the keywords, a bounded dimension, go to every task."""
+    """Documents x core keywords from the documents' keyword lists. Keywords are dealt in blocks of 1024, which documents meet by the
+    block's number, so a vocabulary of any size is neither broadcast nor a cross join."""
     lists = table(spark, d, "documents").select("doc_id", F.array_distinct(C.words(F.coalesce("text", F.lit("")))).alias("listed"))
-    core = lexicon(spark, d).where("df >= 200").select("keyword")
-    return lists.crossJoin(F.broadcast(core)).select("doc_id", "keyword", F.array_contains("listed", F.col("keyword")).alias("present"))
+    core = C.checkpointed(C.dense_index(lexicon(spark, d).where("df >= 200"), ["keyword"], "at").withColumn("block", F.floor(F.col("at") / 1024)))
+    blocks = core.groupBy("block").agg(F.collect_list("keyword").alias("keywords"))
+    last = core.agg(F.max("block")).first()[0]
+    each = lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(blocks, "block")
+    return each.select("doc_id", F.explode("keywords").alias("keyword"), "listed").select("doc_id", "keyword", F.array_contains("listed", F.col("keyword")).alias("present"))
 
 
 # ---- folds and views -----------------------------------------------------------------------------------------
