@@ -366,3 +366,19 @@ def padded(df: DataFrame, array: str, size: int, order: str, pad: int = -1) -> D
     n = F.size(array).cast("long")
     out = numbered.withColumn("length", n).withColumn("width", F.max(n).over(Window.partitionBy("batch")))
     return out.withColumn(array, F.concat(F.col(array), F.array_repeat(F.lit(pad), (F.col("width") - F.col("length")).cast("int"))))
+
+
+def padded_together(df: DataFrame, arrays: list[str], size: int, order: str, pad: int = -1) -> DataFrame:
+    """The same for several arrays of their own lengths: batch, place, and for each array its length, its width in the batch, the padded
+    array and its mask (true where a value is real). A null array counts as empty."""
+    placed = df.join(C.dense_index(df.select(order), [order], "place"), order).withColumn("batch", F.floor(F.col("place") / size).cast("long"))
+    widest = placed.groupBy("batch").agg(*[F.max(F.coalesce(F.size(a), F.lit(0))).cast("long").alias(f"{a}_width") for a in arrays])
+    out = placed.join(widest, "batch")
+    for a in arrays:
+        held, width = F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)), F.col(f"{a}_width")
+        n = F.size(held).cast("long")
+        out = out.withColumns({
+            f"{a}_length": n, f"{a}_mask": F.concat(F.transform(held, lambda _: F.lit(True)), F.array_repeat(F.lit(False), (width - n).cast("int"))),
+            a: F.concat(held, F.array_repeat(F.lit(pad), (width - n).cast("int")).cast(df.schema[a].dataType)),
+        })
+    return out

@@ -343,3 +343,21 @@ def pad_batches(spark: SparkSession, d: str) -> DataFrame:
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     out = V.padded(_turns(spark, d), "a", SIZE, "conv_id")
     return out.groupBy("batch").agg(F.count("*").alias("rows"), F.max("length").alias("width"), F.round(F.sum("length") / (F.max("length") * F.count("*")), 6).alias("valid_fraction"))
+
+
+_PAIR_SQL = r"""t AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda w: w <> '')) AS n FROM conversations
+), c AS (SELECT conv_id, coalesce(list(n ORDER BY turn, n) FILTER (role = 'user'), []) AS asked, coalesce(list(n ORDER BY turn, n) FILTER (role = 'assistant'), []) AS said FROM t GROUP BY conv_id
+), b AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 16 AS batch FROM c), p AS (SELECT *, max(len(asked)) OVER (PARTITION BY batch) AS aw, max(len(said)) OVER (PARTITION BY batch) AS sw FROM b)"""
+_FILLED = "array_to_string(list_concat({0}, list_transform(range(0, {1} - len({0})), lambda i: -1)), ',')"
+_MASK = "array_to_string(list_transform(range(0, {1}), lambda i: CASE WHEN i < len({0}) THEN 1 ELSE 0 END), '')"
+
+
+@query(f"WITH {_PAIR_SQL} SELECT conv_id, batch, len(asked) AS asked_length, aw AS asked_width, {_FILLED.format('asked', 'aw')} AS asked, {_MASK.format('asked', 'aw')} AS asked_mask, len(said) AS said_length, sw AS said_width, {_FILLED.format('said', 'sw')} AS said, {_MASK.format('said', 'sw')} AS said_mask FROM p")
+def pad_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of conversations with two ragged arrays, the words of questions and of answers, each padded with a mask of its own."""
+    n = table(spark, d, "conversations").select("conv_id", "turn", "role", F.size(C.words(F.col("text"))).alias("n"))
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "n")))), lambda x: x["n"])
+    lists = n.groupBy("conv_id").agg(of("user").alias("asked"), of("assistant").alias("said"))
+    out = V.padded_together(lists, ["asked", "said"], SIZE, "conv_id")
+    mask = lambda c: F.array_join(F.transform(f"{c}_mask", lambda x: x.cast("int")), "").alias(f"{c}_mask")
+    return out.select("conv_id", "batch", *[x for c in ("asked", "said") for x in (f"{c}_length", f"{c}_width", F.array_join(c, ",").alias(c), mask(c))])
