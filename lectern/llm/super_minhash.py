@@ -183,7 +183,8 @@ def _crossing(tiles: DataFrame, label: DataFrame, facts: DataFrame, docs: DataFr
     traced = S.staged(_with_texts(asked, docs, one_text=True).mapInArrow(_trace_batches, "r long, doc_id long, n long, inside long, prefix array<long>").where("n > 0"), "traced")
     m = F.struct("n", "inside", *[F.col(f"f.{s}").alias(s) for s in _SIG]).alias("m")
     known = traced.join(facts.select("doc_id", F.col("m").alias("f")), "doc_id")
-    by_band = held.join(known, ["doc_id", "r"]).select("gram", "doc_id", "comp", m)
+    could = known.where(100 * F.col("inside") >= PERCENT * F.col("n"))  # others cannot reach a link by the pivot's part alone, whatever the other's size
+    by_band = held.join(could, ["doc_id", "r"]).select("gram", "doc_id", "comp", m)
     of_doc = held.select("doc_id", "r", "comp").distinct()
     by_rest = known.join(of_doc, ["doc_id", "r"]).select(F.explode("prefix").alias("x"), "r", "doc_id", "comp", m).select(F.xxhash64("r", "x").alias("gram"), "doc_id", "comp", "m")
     near = lambda x, y: _sized(x, y) & (_differ(x, y) <= MOST_BITS)
