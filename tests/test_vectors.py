@@ -76,3 +76,12 @@ def test_products_of_blocks(spark, monkeypatch, block):
         plan = V.nearest(states, known)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
     assert V.cosines(states, known.where("not available")).count() == 0
+
+
+def test_arrays_padded_together(spark):
+    df = spark.createDataFrame([(1, [1, 2], [5.0]), (2, [3], None), (3, [], [6.0, 7.0]), (4, [4], [])], "id long, a array<int>, b array<double>")
+    got = {r.id: (r.batch, r.a, r.a_mask, r.a_length, r.a_width, r.b, r.b_mask, r.b_length, r.b_width) for r in V.padded_together(df, ["a", "b"], 2, "id").collect()}
+    assert got == {
+        1: (0, [1, 2], [True, True], 2, 2, [5.0], [True], 1, 1), 2: (0, [3, -1], [True, False], 1, 2, [-1.0], [False], 0, 1),
+        3: (1, [-1], [False], 0, 1, [6.0, 7.0], [True, True], 2, 2), 4: (1, [4], [True], 1, 1, [-1.0, -1.0], [False, False], 0, 2),
+    }
