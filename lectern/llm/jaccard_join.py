@@ -14,7 +14,9 @@ documents share are thus seldom indexed, with t = SHARED (or need, if that is le
 The join goes in two steps. First the STAR smallest hashes of each set alone make tiles, in which each class is compared
 with the smallest and the largest id (a star, not all pairs); components are formed from the links. So a group of
 thousands of near copies costs a few comparisons a document. Then the whole sketches are gathered, but only shingles that
-stand in sketches of different components; these make the tiles in which pairs of different components are compared.
+stand in sketches of different components; these make the tiles in which pairs of different components are compared. Tiles with
+the same smallest and largest id are one, so near copies that do not link meet a few times, not once for each shingle that they
+share; and there each set has a finer signature of 8 to 16 bits a shingle, which tells them from those that link, so few are compared exactly.
 
 Defined results: null text, text without words: empty set, linked with nothing, component_id = doc_id. Fewer than
 five words: one shingle, the whole sequence. Rows with one doc_id are one document, whatever their texts: it links where
@@ -97,6 +99,19 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), lists(list(shingle_sets(part.column(1))))], ["doc_id", "grams"])
 
 
+def _fine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, fine: a signature of 8 to 16 bits a shingle; a power of two of words, so that the longer of two folds onto the shorter."""
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part, size, fine = batch.slice(at, 512), [], []
+            for s in shingle_sets(part.column(1)):
+                bits = np.zeros(64 << max(0, len(s) - 1 >> 3).bit_length(), bool)
+                bits[s % np.uint64(len(bits))] = True
+                size.append(len(s))
+                fine.append(np.packbits(bits, bitorder="little").view(np.uint64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), lists(fine)], ["doc_id", "n", "fine"])
+
+
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose sorted arrays overlap enough."""
     for batch in batches:
@@ -118,8 +133,24 @@ def _may_link(x: str, y: str) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     only_x = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{s}")))) for s in _SIG), F.lit(0))
     only_y = sum((F.bit_count(F.col(f"{y}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{x}.{s}")))) for s in _SIG), F.lit(0))
-    bound = F.least(n - only_x, m - only_y)
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * bound >= PERCENT * (n + m))
+    return _sized(n, m) & _enough(F.least(n - only_x, m - only_y), n, m)
+
+
+def _sized(n: Column, m: Column) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def _enough(overlap: Column, n: Column, m: Column) -> Column:
+    return (100 + PERCENT) * overlap >= PERCENT * (n + m)
+
+
+def _may_link_finely(x: str, y: str) -> Column:
+    """The same by finer signatures, for documents that share one of their grams. Linked sizes differ by a third at most, so one folding is enough."""
+    n, m, a, b = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.fine", f"{y}.fine"))
+    width = F.least(F.size(a), F.size(b))
+    folded = lambda v: F.when(F.size(v) == width, v).otherwise(F.zip_with(F.slice(v, F.lit(1), width), F.slice(v, width + 1, width), lambda p, q: p.bitwiseOR(q)))
+    only = lambda v, w: F.aggregate(F.zip_with(folded(v), folded(w), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    return _sized(n, m) & F.arrays_overlap(f"{x}.grams", f"{y}.grams") & _enough(n - only(a, b), n, m) & _enough(m - only(b, a), n, m)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,9 +248,12 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(facts.toDF("a", "x"), "a").join(facts.toDF("b", "y"), "b").where(_may_link("x", "y")).select("a", "b").distinct()
 
 
-def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame:
+def _crossing(first: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share an index shingle and may link; a written table. A document with several
-    texts has the sketches of all, and sets as few shingles aside as the text that sets aside the fewest."""
+    texts has the sketches of all, and sets as few shingles aside as the text that sets aside the fewest.
+
+    Near copies of one text share many shingles, and most of these tiles have the same smallest and largest document: such tiles are
+    brought together, with a row for each document that lists its shingles in them, so a pair comes up in a few places."""
     comp = label.select(F.col("id").alias("doc_id"), "comp")
     named = first.select("doc_id", "sketch").join(comp, "doc_id", "left").select(F.coalesce("comp", "doc_id").alias("comp"), F.explode("sketch").alias("gram"))
     mixed = S.staged(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram"), "mixed")
@@ -232,8 +266,14 @@ def _crossing(first: DataFrame, label: DataFrame, facts: DataFrame) -> DataFrame
     indexed = of_doc.join(aside, "doc_id").where(free > 0)
     indexed = indexed.select("doc_id", F.explode(F.slice("found", F.lit(1), free.cast("int"))).alias("x")).select("doc_id", F.col("x.gram").alias("gram"))
     indexed = S.staged(indexed.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "indexed")
-    out = S.staged(tile_pairs(indexed.join(facts, "doc_id"), _may_link), "cross")
-    S.forget(mixed, held, indexed)
+    tiles = indexed.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    homes = tiles.select("gram", F.xxhash64("low", "high").alias("home"))
+    met = S.staged(indexed.join(homes, "gram").groupBy("home", "doc_id", "comp").agg(F.collect_list("gram").alias("grams")), "met")
+    ids = S.staged(met.select("doc_id").distinct(), "ids")
+    fine = S.by_id(docs, ids, "left_semi").mapInArrow(_fine_batches, "doc_id long, n long, fine array<long>").where("n > 0").distinct()
+    rows = S.staged(met.join(fine, "doc_id").select(F.col("home").alias("gram"), "doc_id", "comp", F.struct("n", "fine", "grams").alias("m")), "rows")
+    out = S.staged(tile_pairs(rows, _may_link_finely), "cross")
+    S.forget(mixed, held, indexed, met, ids, rows)
     return out
 
 
@@ -264,7 +304,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = S.staged(_linked(star_pairs, docs).unionByName(same), "links")
     label = linked_components(links)
 
-    pairs = S.staged(_crossing(first, label, facts).join(star_pairs, ["a", "b"], "left_anti"), "cross")
+    pairs = S.staged(_crossing(first, label, docs).join(star_pairs, ["a", "b"], "left_anti"), "cross")
     S.forget(first)
     if not pairs.isEmpty():
         links = S.staged(links.unionByName(_linked(pairs, docs)), "links")

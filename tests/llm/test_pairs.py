@@ -218,3 +218,50 @@ def test_jaccard_one_id_with_several_texts_and_repeated_rows(documents, spark, f
     assert got == {(3, 3): 2, (7, 3): 1, (5, 3): 2, (9, 3): 1, (8, 3): 2, (11, 11): 1}
     assert sorted((r.doc_id, r.text) for r in J.keep_one(docs).collect()) == sorted([(3, a), (3, b), (11, "x y")])
     assert J.op8_jaccard_join(spark, folder(documents=docs.limit(0))).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
+
+
+def test_jaccard_near_copies_that_do_not_link_are_seldom_compared(documents, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(80):  # about 0.6 similar to each other; the last ones also to a copy with one word changed
+        words = list(base)
+        for i in rng.sample(range(300), 10):
+            words[i] = f"x{k}_{i}"
+        texts.append(" ".join(words))
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[-3:]]
+    asked, plain = [], J._linked
+
+    def counted(pairs, docs):
+        asked.append(pairs.count())
+        return plain(pairs, docs)
+
+    monkeypatch.setattr(J, "_linked", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(documents(texts)).collect()}
+    want = classes(texts)
+    assert got == want and len({c for _, c in want.values()}) > 60
+    assert sum(asked) < 4 * len(texts)  # of 3,403 pairs
+
+
+def test_finer_signatures_bound_the_overlap(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        n, m = int(rng.integers(50, 300)), int(rng.integers(50, 300))
+        both = rng.integers(0, 1 << 62, int(rng.integers(1, min(n, m))), dtype=np.uint64)
+        rows.append([np.unique(np.concatenate((both, rng.integers(0, 1 << 62, x - len(both), dtype=np.uint64)))) for x in (n, m)])
+
+    def side(sets):
+        out = []
+        for s in sets:
+            bits = np.zeros(64 << max(0, len(s) - 1 >> 3).bit_length(), bool)
+            bits[s % np.uint64(len(bits))] = True
+            out.append((len(s), np.packbits(bits, bitorder="little").view(np.int64).tolist(), [1]))
+        return out
+
+    pairs = [(i, x, y) for i, (x, y) in enumerate(zip(side([r[0] for r in rows]), side([r[1] for r in rows]), strict=True))]
+    kind = "struct<n:long,fine:array<long>,grams:array<long>>"
+    kept = {r.i for r in spark.createDataFrame(pairs, f"i int, x {kind}, y {kind}").where(J._may_link_finely("x", "y")).collect()}
+    share = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in rows]
+    assert {i for i, s in enumerate(share) if s >= 0.75} <= kept
+    assert not {i for i, s in enumerate(share) if s < 0.6} & kept
