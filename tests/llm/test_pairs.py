@@ -265,3 +265,18 @@ def test_finer_signatures_bound_the_overlap(spark):
     share = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in rows]
     assert {i for i, s in enumerate(share) if s >= 0.75} <= kept
     assert not {i for i, s in enumerate(share) if s < 0.6} & kept
+
+
+def test_suffix_dedup_steps_shuffle_nothing(documents, monkeypatch):
+    plans, plain = [], X.S.staged
+
+    def watched(df, name, *more):
+        if name in ("columns", "spans"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(X.S, "staged", watched)
+    line = "the same line of more than fifty bytes stands in several texts here"
+    spans = {r.doc_id: (list(r.starts), list(r.ends)) for r in X.repeated_spans(documents([line, "x " + line, line + " y", "other"])).collect()}
+    assert set(spans) == {1, 2} and min(spans[1][0]) == 2 and max(spans[1][1]) == 2 + len(line) and max(spans[2][1]) == len(line)
+    assert len(plans) >= 2 and not any("Exchange" in p for p in plans)
