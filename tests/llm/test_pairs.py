@@ -280,3 +280,23 @@ def test_suffix_dedup_steps_shuffle_nothing(documents, monkeypatch):
     spans = {r.doc_id: (list(r.starts), list(r.ends)) for r in X.repeated_spans(documents([line, "x " + line, line + " y", "other"])).collect()}
     assert set(spans) == {1, 2} and min(spans[1][0]) == 2 and max(spans[1][1]) == 2 + len(line) and max(spans[2][1]) == len(line)
     assert len(plans) >= 2 and not any("Exchange" in p for p in plans)
+
+
+def test_aligned_transform_ranks_each_suffix_once(monkeypatch):
+    rng = random.Random(5)
+    left, right = ("".join(rng.choice("ab") for _ in range(k)) for k in (X.REACH, X.LENGTH))
+    cut = [(rng.randrange(X.REACH + 1), rng.randrange(X.LENGTH - 16)) for _ in range(300)]  # of the longest string, at its start and its end
+    cut = [(a, b) for a, b in cut if X.LONGEST - a - b >= X.LENGTH]
+    strings = sorted({("".join(c if rng.random() < 0.98 else "z" for c in left + right)[a : X.LONGEST - b], a, b) for a, b in cut})
+    sizes, late = (np.array(x) for x in zip(*((len(x), b) for x, _, b in strings), strict=True))
+    ranked, plain = [], X.Transform._ranked
+    monkeypatch.setattr(X.Transform, "_ranked", staticmethod(lambda bwt: ranked.append(len(bwt)) or plain(bwt)))
+    t = X.Transform(np.frombuffer("".join(x for x, _, _ in strings).encode(), np.uint8), sizes, late=late)
+    while t.insert():
+        pass
+    assert len(t.bwt) == len(t.common) == sizes.sum() + len(sizes) and sum(ranked) <= len(t.bwt)
+    low = np.array([rng.randrange(1000) for _ in strings])
+    least = t.least_by_window(low)
+    for i, (x, a, _) in enumerate(strings):
+        for k in range(len(x) - X.LENGTH + 1):
+            assert least[i, k] == min(low[j] for j, (y, c, _) in enumerate(strings) if a + k >= c and y[a + k - c :].startswith(x[k : k + X.LENGTH]))
