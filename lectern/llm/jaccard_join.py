@@ -158,7 +158,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = S.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = S.by_id(docs, ids, "left_semi").mapInArrow(_set_batches, "doc_id long, grams array<long>")
     written = S.staged(sets, "sets")
-    sets = written.distinct()
+    sets = written.repartition("doc_id").distinct()  # dealt once, for both sides
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a")
     links = S.staged(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_compare_batches, "a long, b long").distinct(), "links")
@@ -210,8 +210,13 @@ def class_tables(sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     some = sketched.where("n > 0 and doc_id is not null")
     classes = S.staged(some.groupBy(*KEY).agg(F.min("doc_id").alias("class_id")), "classes")
     leads = classes.withColumnRenamed("class_id", "doc_id")
-    first = S.staged(sketches.join(leads, ["doc_id", *KEY], "left_semi").dropDuplicates(["doc_id", *KEY]), "first")
-    S.forget(sketches)
+    # most documents have one row, which is its class's smallest: their sketches stay where they are
+    leading = some.join(leads.withColumn("lead", F.lit(1)), ["doc_id", *KEY], "left").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("lead").alias("leads"))
+    other = S.staged(leading.where("rows > 1 or leads = 0").select("doc_id"), "other")
+    alone = S.by_id(sketches.where("n > 0 and doc_id is not null"), other, "left_anti")
+    rest = S.by_id(sketches, other, "left_semi").join(leads, ["doc_id", *KEY], "left_semi").dropDuplicates(["doc_id", *KEY])
+    first = S.staged(alone.unionByName(rest), "first")
+    S.forget(sketches, other)
     several = S.staged(some.groupBy("doc_id").agg(F.min("fp0").alias("lo"), F.max("fp0").alias("hi")).where("lo < hi").select("doc_id"), "several")
     of_doc = S.by_id(some, several, "left_semi").join(classes, KEY).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("all"))
     same = S.staged(of_doc.select("a", F.explode("all").alias("b")).where("a < b").distinct(), "same")
@@ -268,11 +273,12 @@ def _crossing(first: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     indexed = S.staged(indexed.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "indexed")
     tiles = indexed.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     homes = tiles.select("gram", F.xxhash64("low", "high").alias("home"))
-    met = S.staged(indexed.join(homes, "gram").groupBy("home", "doc_id", "comp").agg(F.collect_list("gram").alias("grams")), "met")
+    met = S.staged(indexed.join(homes, "gram").groupBy("home", "doc_id", "comp").agg(F.collect_list("gram").alias("grams")).withColumnRenamed("home", "gram"), "met")
     ids = S.staged(met.select("doc_id").distinct(), "ids")
     fine = S.by_id(docs, ids, "left_semi").mapInArrow(_fine_batches, "doc_id long, n long, fine array<long>").where("n > 0").distinct()
-    rows = S.staged(met.join(fine, "doc_id").select(F.col("home").alias("gram"), "doc_id", "comp", F.struct("n", "fine", "grams").alias("m")), "rows")
-    out = S.staged(tile_pairs(rows, _may_link_finely), "cross")
+    with_fine = met.join(_blocks(met), "gram").join(fine, "doc_id")  # blocks come first, so the wide rows are dealt to their cells at once
+    rows = S.staged(with_fine.select("gram", "doc_id", "comp", "blocks", F.struct("n", "fine", "grams").alias("m")), "rows")
+    out = S.staged(_cell_pairs(rows, _may_link_finely), "cross")
     S.forget(mixed, held, indexed, met, ids, rows)
     return out
 
@@ -282,9 +288,18 @@ def tile_pairs(rows: DataFrame, may_link: Callable[[str, str], Column]) -> DataF
 
     A tile's documents are dealt into blocks of about BLOCK; the blocks meet two by two, so no task holds more than two of them
     at once, however many documents a tile has. Tiles of one component make no pair."""
+    return _cell_pairs(rows.join(_blocks(rows), "gram"), may_link)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """gram, blocks of the tiles with several components."""
     ends = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    blocks = ends.select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = rows.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    return ends.select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+
+
+def _cell_pairs(rows: DataFrame, may_link: Callable[[str, str], Column]) -> DataFrame:
+    """tile_pairs() of rows that have the number of their tile's blocks."""
+    rest = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("gram", "doc_id", "comp", "block", "m", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     x, y = dealt.alias("x"), dealt.alias("y")

@@ -300,3 +300,28 @@ def test_aligned_transform_ranks_each_suffix_once(monkeypatch):
     for i, (x, a, _) in enumerate(strings):
         for k in range(len(x) - X.LENGTH + 1):
             assert least[i, k] == min(low[j] for j, (y, c, _) in enumerate(strings) if a + k >= c and y[a + k - c :].startswith(x[k : k + X.LENGTH]))
+
+
+@pytest.fixture
+def no_small_sides(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sets_are_dealt_once_and_lone_sketches_not_at_all(spark, no_small_sides, monkeypatch):
+    """Disk of the join: whole sets are dealt by their document alone, and sketches of documents with one row, their class's first, are not dealt."""
+    plans, plain = {}, J.S.staged
+
+    def noted(df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(J.S, "staged", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, text), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, "")]
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    assert "grams" in plans["links"] and not [x for x in plans["links"].splitlines() if "hashpartitioning" in x and ", grams" in x]
+    assert "LeftAnti" in plans["first"]
