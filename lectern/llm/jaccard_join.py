@@ -330,13 +330,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component one document stays, that with the smallest doc_id; of its rows one for each text that differs.
     Rows with a null doc_id stay."""
-    lead = S.staged(jaccard_classes(docs).where("component_id = doc_id").select("doc_id").distinct(), "leads")
-    kept = S.by_id(docs, lead, "left_semi")
-    again = S.staged(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    leads = jaccard_classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("component_id") == F.col("doc_id")).alias("n"))
+    gone = S.staged(leads.where("n = 0").select("doc_id"), "gone")  # far fewer than those that stay, so the texts stay where they are
+    kept = S.by_id(docs, gone, "left_anti")
+    again = S.staged(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     once, twice = S.by_id(kept, again, "left_anti"), S.by_id(kept, again, "left_semi")
     order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*twice.columns)))  # the same row in every attempt
     twice = twice.withColumn("_lectern_row", F.row_number().over(order)).where("_lectern_row = 1").drop("_lectern_row")
-    return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
+    return once.unionByName(twice)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -310,6 +310,19 @@ def no_small_sides(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_texts_stay_where_they_are_however_many_documents_stay(spark, no_small_sides, monkeypatch):
+    """Documents that go are few, so only they are sent: the texts of those that stay are not dealt by a shuffle."""
+    monkeypatch.setattr(J.S, "BROADCAST_IDS", 2)
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{i} " * 8) for i in range(10, 16)] + [(1, same), (2, same), (None, same), (3, "x"), (3, "x"), (3, "y"), (4, ""), (4, same)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = J.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect())
+    assert got == sorted([(i, f"{i} " * 8) for i in range(10, 16)] + [(1, same), (-1, same), (3, "x"), (3, "y"), (4, ""), (4, same)])
+
+
 def test_sets_are_dealt_once_and_lone_sketches_not_at_all(spark, no_small_sides, monkeypatch):
     """Disk of the join: whole sets are dealt by their document alone, and sketches of documents with one row, their class's first, are not dealt."""
     plans, plain = {}, J.S.staged
