@@ -338,3 +338,22 @@ def test_sets_are_dealt_once_and_lone_sketches_not_at_all(spark, no_small_sides,
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
     assert "grams" in plans["links"] and not [x for x in plans["links"].splitlines() if "hashpartitioning" in x and ", grams" in x]
     assert "LeftAnti" in plans["first"]
+
+
+def test_collections_of_segments_stay_small_when_all_text_is_shared(documents, spark, folder, monkeypatch):
+    """Copies share all their anchors, so their segments are many for their text: more collections take them, none is much larger."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(1500)) for _ in range(12)]
+    seen, plain = {}, X.S.staged
+
+    def noted(df, name, *more):
+        out = plain(df, name, *more)
+        if name == "collection":
+            seen[len(seen)] = [r.n for r in out.select("n").collect()]
+        return out
+
+    monkeypatch.setattr(X.S, "staged", noted)
+    monkeypatch.setattr(X, "SEGMENTS", 32, raising=False)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in X.op6_suffix_dedup(spark, folder(documents=documents(texts * 3))).collect()}
+    assert sorted(got.values()) == [(0, 0)] * 12 + [(1500, 1)] * 24
+    assert sum(seen[0]) > 2000 and max(seen[0]) < 5 * 32
